@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trialforge.llm import packing, token_files
+from trialforge.llm import mixing, packing, pii, rules, token_files, webp
 from trialforge.llm.common import documents
 
 
@@ -18,9 +19,25 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(token_files.write_tokens(documents(spark, sf_dir)))
 
 
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).withColumn("target", F.round("target", 6))
+
+
+def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(documents(spark, sf_dir)).withColumn("host_rate", F.round("host_rate", 9))
+
+
+def op9_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.media_features(webp.encode_media(documents(spark, sf_dir)))
+
+
+def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op5_token_files)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op5_token_files, op6_source_mixing, op8_host_quality_rules, op9_lossless_webp, op10_contextual_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {op6_source_mixing.__name__: mixing.ORACLE, op8_host_quality_rules.__name__: rules.ORACLE}
