@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialforge.llm import mixing, packing, pii, rules, token_files, webp
+from trialforge.llm import mixing, packing, pii, rules, substring, token_files, webp
 from trialforge.llm.common import documents
 
 
@@ -15,6 +15,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.suffix_dedup(documents(spark, sf_dir), keep_first=False)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(token_files.write_tokens(documents(spark, sf_dir)))
 
@@ -23,6 +27,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).withColumn("target", F.round("target", 6))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(documents(spark, sf_dir))
+
+
 def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(documents(spark, sf_dir)).withColumn("host_rate", F.round("host_rate", 9))
 
@@ -36,7 +44,7 @@ def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op5_token_files, op6_source_mixing, op8_host_quality_rules, op9_lossless_webp, op10_contextual_pii)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op4_suffix_array_dedup, op5_token_files, op6_source_mixing, op7_substring_dedup, op8_host_quality_rules, op9_lossless_webp, op10_contextual_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
