@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialforge.llm import mixing, neardup, packing, pii, rules, substring, token_files, webp
+from trialforge.llm import mixing, neardup, packing, pii, quality, rules, substring, token_files, webp
 from trialforge.llm.common import documents
 
 
@@ -19,6 +19,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.suffix_dedup(documents(spark, sf_dir), keep_first=False)
 
@@ -48,7 +52,7 @@ def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op4_suffix_array_dedup, op5_token_files, op6_source_mixing, op7_substring_dedup, op8_host_quality_rules, op9_lossless_webp, op10_contextual_pii)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_quality_classifier, op4_suffix_array_dedup, op5_token_files, op6_source_mixing, op7_substring_dedup, op8_host_quality_rules, op9_lossless_webp, op10_contextual_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
