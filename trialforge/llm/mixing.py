@@ -20,6 +20,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 MOST_EPOCHS = 3
 
 
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(text, SPACE), lambda w: w != "")
+
+
 def _draw(seed: int) -> Column:
     """A number in (0, 1) from 48 bits of md5(seed:doc_id)."""
     hex48 = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12)
@@ -30,7 +34,7 @@ def sized(docs: DataFrame, seed: int = 17) -> DataFrame:
     """doc_id, source, size in words, and the exponential key of each row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), symbols.cast("long").alias("symbols"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), symbols.cast("long").alias("symbols"), F.xxhash64(text).alias("text_hash"))
     # quality weight: 1 without symbols, down to 0.25 for two symbols a word or more
     weight = F.greatest(F.lit(0.25), 1 - F.col("symbols") * 0.375 / F.greatest(F.col("size"), F.lit(1)))
     return d.withColumn("key", -F.ln(_draw(seed)) / weight).drop("symbols")
@@ -81,7 +85,7 @@ def mix(docs: DataFrame, seed: int = 17, buckets: int = 4096) -> DataFrame:
     upto = F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0).cast("long"))
     partly = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.col("rest") - upto))
     joined = joined.withColumn("last_words", partly)
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("last_words")).alias("taken"), "epochs", "last_words")
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("last_words")).alias("taken"), "epochs", "last_words", "text_hash")
 
 
 ORACLE = r"""

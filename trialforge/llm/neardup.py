@@ -240,12 +240,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: str = "0.8", m
     component_id is the least doc_id that links reach; kept is doc_id = component_id. Rows with
     equal sets are linked; empty sets are linked with nothing and stay. Rows that share a doc_id
     share its verdict within a component; rows without a doc_id link like others and stay only
-    where no row of their component has one. No rows, no result. Other columns are ignored.
+    where no row of their component has one. key_id and text_hash tell rows apart; first holds for
+    the rows of one of them in each component. No rows, no result. Other columns are ignored.
     """
     share = Fraction(threshold)
     sketches = written(sketch(docs, shingle), "sketches")
-    key = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("th").alias("th"))
-    nodes = sketches.where("digest is not null").groupBy("digest").agg(F.min(key).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    own = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("th").alias("th"))
+    nodes = sketches.where("digest is not null").groupBy("digest").agg(F.min(own).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     # buckets with two nodes or more; of buckets with the same members, one
@@ -270,9 +271,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: str = "0.8", m
     sets = written(found, "sets")
 
     # first round: each chunk with itself and with chunk 0
-    own = members.select("bucket", "node", F.col("chunk").alias("q"), F.lit(1).alias("side"))
+    each = members.select("bucket", "node", F.col("chunk").alias("q"), F.lit(1).alias("side"))
     hub = members.where("chunk = 0 and chunks > 1").select("bucket", "node", F.explode(F.sequence(F.lit(1), F.col("chunks") - 1)).alias("q"), F.lit(0).alias("side"))
-    meet = own.unionByName(hub).join(light, "node").select(_group("bucket", "q").alias("group"), "node", F.lit(0).cast("long").alias("comp"), "side", "n_shingles", "signature")
+    meet = each.unionByName(hub).join(light, "node").select(_group("bucket", "q").alias("group"), "node", F.lit(0).cast("long").alias("comp"), "side", "n_shingles", "signature")
     pairs = written(_compare(meet.repartition("group").sortWithinPartitions("group"), share, miss, False), "pairs")
     links = written(verify(pairs, sets, share), "verified")
     comps = components(links)
@@ -293,9 +294,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: str = "0.8", m
     if not more.isEmpty():
         comps = components(comps.where("node > comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
 
-    joined = nodes.select("node", "digest", F.col("rep.id").alias("id")).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = joined.groupBy("comp").agg(F.min("id").alias("component_id"))
-    known = joined.join(least, "comp").select("digest", F.nullif("component_id", F.lit(LAST)).alias("component_id"))
-    out = sketches.select("doc_id", "n_shingles", "digest").join(known, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    joined = nodes.select("node", "digest", "rep").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = joined.groupBy("comp").agg(F.min("rep").alias("least"))
+    known = joined.join(least, "comp").select("digest", "least")
+    out = sketches.select("doc_id", "n_shingles", "digest", "th", own.alias("own")).join(known, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.nullif(F.col("least.id"), F.lit(LAST)))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), F.col("own.id").alias("key_id"), F.col("th").alias("text_hash"), F.coalesce(F.col("own") == F.col("least"), F.lit(True)).alias("first"))

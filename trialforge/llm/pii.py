@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trialforge.llm.common import written
 
@@ -123,9 +124,9 @@ def scan(docs: DataFrame) -> DataFrame:
                 rows.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(joined.encode()).hexdigest(), joined, nodes(text, spans)))
             columns = list(zip(*rows)) or [()] * 7
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.list_(_NODE)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "nodes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "text_hash", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "nodes"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(one, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, nodes array<struct<seed: boolean, start: bigint, end: bigint, instance: bigint, patterns: array<bigint>>>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).mapInArrow(one, "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, nodes array<struct<seed: boolean, start: bigint, end: bigint, instance: bigint, patterns: array<bigint>>>")
 
 
 def score_patterns(edges: DataFrame, rounds: int, prior: float) -> DataFrame:
@@ -162,7 +163,7 @@ def find_pii(docs: DataFrame, rounds: int = 3, prior: float = 2.0, sure: float =
     spans = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ids"))
     ids = F.transform("ids", lambda s: F.concat_ws(":", F.lit("id"), s["start"].cast("string"), s["end"].cast("string")))
     joined = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.array_join(ids, ","))
-    return rows.drop("nodes").join(spans, "row", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", joined.alias("spans"))
+    return rows.drop("nodes").join(spans, "row", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", joined.alias("spans"), "text_hash")
 
 
 def redact(text: str | None, spans: str) -> str | None:
@@ -177,3 +178,22 @@ def redact(text: str | None, spans: str) -> str | None:
         elif end > at:
             at = end
     return "".join([*out, text[at:]])
+
+
+def redacted(rows: DataFrame, schema: StructType) -> DataFrame:
+    """The columns of the schema, with the spans (null: none) taken out of text; n_chars follows the text."""
+    names = schema.fieldNames()
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.columns[:-1]
+            if batch.columns[-1].null_count < batch.num_rows:
+                texts = [redact(t, s) if s else t for t, s in zip(columns[at].to_pylist(), batch.columns[-1].to_pylist())]
+                columns[at] = pa.array(texts, columns[at].type)
+                if "n_chars" in names:
+                    k = names.index("n_chars")
+                    columns[k] = pa.array([len(t) if s and t else n for t, s, n in zip(texts, batch.columns[-1].to_pylist(), columns[k].to_pylist())], columns[k].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return rows.select(*names, "spans").mapInArrow(run, schema)

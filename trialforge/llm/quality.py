@@ -226,6 +226,19 @@ def score(docs: DataFrame, vectors: np.ndarray, net: Network, cut: float = 0.3)
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def keep(docs: DataFrame, vectors: np.ndarray, net: Network, cut: float = 0.3) -> DataFrame:
+    """The rows, with all their columns, whose score reaches the cut."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(batch.column(at))
+            p = [net.probabilities(features(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], vectors)) for x, y in slices(offsets)]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0), *p]) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, most: int = 20_000, cut: float = 0.3) -> DataFrame:
     """Score of every row; only labels of rows that aren't held out are learned from. Other columns are ignored."""
     return score(docs, *train(docs, labels, most), cut)

@@ -32,7 +32,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).withColumn("target", F.round("target", 6))
+    return mixing.mix(documents(spark, sf_dir)).drop("text_hash").withColumn("target", F.round("target", 6))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
