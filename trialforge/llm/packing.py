@@ -31,7 +31,7 @@ def pieces(docs: DataFrame, path: str, seq_len: int, end_id: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for batch in batches:
-            ids, offsets = tok.encode(batch.column(1).to_pylist(), end_id)
+            ids, offsets = tok.encode_column(batch.column(1), end_id)
             n = np.diff(offsets)
             count = np.maximum(1, -(-n // seq_len))
             doc = np.repeat(np.arange(len(n)), count)
@@ -39,9 +39,8 @@ def pieces(docs: DataFrame, path: str, seq_len: int, end_id: int) -> DataFrame:
             short = n - (count - 1) * seq_len
             start = np.where(piece == 0, 0, short[doc] + (piece - 1) * seq_len)
             length = np.where(piece == 0, short[doc], seq_len)
-            raw = ids.astype("<u4").tobytes()
-            at = (offsets[doc] + start) * 4
-            crc = [zlib.crc32(raw[a : a + b]) for a, b in zip(at.tolist(), (length * 4).tolist())]
+            at = offsets[doc] + start
+            crc = [zlib.crc32(ids[a : a + b].astype("<u4")) for a, b in zip(at.tolist(), length.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)

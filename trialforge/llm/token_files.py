@@ -79,44 +79,58 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 
 
 def pack_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, block: int) -> tuple[bytes, np.ndarray]:
-    """Bit stream of the ids and the bit offset of each block."""
-    n = lengths[ids].astype(np.int64)
-    at = np.cumsum(n) - n
-    total = int(n.sum())
-    window = codes[ids].astype(np.int64) << (24 - n - (at & 7))
-    byte, size = at >> 3, total // 8 + 9
-    stream = np.zeros(size + 2, np.float64)
-    for k in range(3):
-        part = np.bincount(byte, weights=(window >> (16 - 8 * k)) & 255)
-        stream[k : k + len(part)] += part
-    return stream[:size].astype(np.uint8).tobytes(), at[::block].astype("<u8")
+    """Bit stream of the ids and the bit offset of each block.
+
+    Codes are joined in pairs of at most 32 bits and summed into 32-bit words (no two share a
+    bit), in runs that stay in the processor's cache.
+    """
+    size = lengths.astype(np.uint8)
+    code = codes.astype(np.uint64)
+    total = int(np.bincount(ids, minlength=len(size)) @ size.astype(np.int64))
+    out, checkpoints, begin = np.zeros((total >> 5) + 4, np.float64), [], 0
+    run = 64 * block
+    for k in range(0, len(ids), run):
+        part = ids[k : k + run]
+        n = size[part].astype(np.int64)
+        c = code[part]
+        checkpoints.append(begin + (np.cumsum(n) - n)[::block])
+        if len(part) & 1:
+            n, c = np.append(n, 0), np.append(c, np.uint64(0))
+        c = (c[::2] << n[1::2].astype(np.uint64)) | c[1::2]
+        n = n[::2] + n[1::2]
+        at = begin + np.cumsum(n) - n
+        window = c << (64 - n - (at & 31)).astype(np.uint64)
+        first = int(at[0]) >> 5
+        word = (at >> 5) - first
+        high, low = np.bincount(word, weights=window >> np.uint64(32)), np.bincount(word, weights=window & np.uint64(0xFFFFFFFF))
+        out[first : first + len(high)] += high
+        out[first + 1 : first + 1 + len(low)] += low
+        begin = int(at[-1] + n[-1])
+    stream = out.astype(">u4").tobytes()[: total // 8 + 9]
+    return stream, np.concatenate(checkpoints or [np.zeros(0)]).astype("<u8")
 
 
 def unpack_bits(stream: bytes, checkpoints: np.ndarray, n_tokens: int, lengths: np.ndarray, block: int) -> np.ndarray:
     """The ids: all blocks in step, by a table over the next 16 bits."""
-    codes, table_id, table_n = canonical(lengths), np.zeros(1 << MAX_BITS, np.int32), np.ones(1 << MAX_BITS, np.int64)
+    table = np.ones(1 << MAX_BITS, np.uint32)
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
-    spans = 1 << (MAX_BITS - lengths[order].astype(np.int64))
-    filled = int(spans.sum())
-    table_id[:filled] = np.repeat(order, spans)
-    table_n[:filled] = np.repeat(lengths[order].astype(np.int64), spans)
-    assert len(order) == 0 or int(codes[order[0]]) == 0
+    size = lengths[order].astype(np.int64)
+    spans = 1 << (MAX_BITS - size)
+    table[: int(spans.sum())] = np.repeat((order << 5 | size).astype(np.uint32), spans)
     b = np.frombuffer(stream, np.uint8).astype(np.uint32)
     words = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
-    at, out = checkpoints.astype(np.int64), np.zeros(len(checkpoints) * block, np.int32)
-    whole = n_tokens // block
-    rest = n_tokens - whole * block
-    grid = out.reshape(-1, block)
+    whole, rest = divmod(n_tokens, block)
+    out, at = np.zeros((block, len(checkpoints)), np.int32), checkpoints.astype(np.int64)
     for step in range(block):
         if step == rest:
             at = at[:whole]
         if len(at) == 0:
             break
-        bits = (words[at >> 3] >> (8 - (at & 7)).astype(np.uint32)) & 0xFFFF
-        grid[: len(at), step] = table_id[bits]
-        at = at + table_n[bits]
-    return out[:n_tokens]
+        found = table[(words[at >> 3] >> (8 - (at & 7)).astype(np.uint32)) & np.uint32(0xFFFF)]
+        out[step, : len(at)] = found >> np.uint32(5)
+        at = at + (found & np.uint32(31))
+    return np.ascontiguousarray(out.T).reshape(-1)[:n_tokens]
 
 
 def write_shard(doc_ids: np.ndarray, null: np.ndarray, counts: np.ndarray, ids: np.ndarray, first: int, lengths: np.ndarray, table: bytes) -> bytes:
@@ -158,8 +172,8 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 2, part
         for batch in batches:
             key = batch.column(0).fill_null(LAST).to_numpy()
             null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
-            ids, offsets = tok.encode(batch.column(1).to_pylist(), end_id)
-            kind = np.dtype("<u2") if ids.max(initial=0) < 1 << 16 else np.dtype("<u4")
+            ids, offsets = tok.encode_column(batch.column(1), end_id)
+            kind = ids.dtype
             part = np.searchsorted(edges, key, side="right")
             order = np.argsort(part, kind="stable")
             cuts = np.flatnonzero(np.diff(part[order], prepend=-1, append=-1))

@@ -4,8 +4,12 @@ A text is cut before each ASCII space that is followed by a character that is no
 The byte-level pre-tokenizer always starts a pre-token at such a space, so the ids of the text
 are the ids of its units one after another; a unit is encoded by the library once and then
 remembered (a unit of Latin letters and then ASCII symbols is two pre-tokens at most, which go
-straight to the library's BPE model). A text with a cut that is not certain (runs of white space, very long units) is
-encoded whole. The memo is per worker process, and is emptied when it has `limit` units.
+straight to the library's BPE model). A text with a cut that is not certain (runs of white space,
+very long units) is encoded whole.
+
+Units are found by 64-bit hashes in a table of numpy arrays, a slice of texts at a time. The
+memo is per worker process and is emptied when it has `limit` units, so a wrong hit has a chance
+of limit / 2**64 for each new unit.
 """
 
 from __future__ import annotations
@@ -14,12 +18,14 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
-from trialforge.llm.common import quiet_env
+from trialforge.llm.common import _BYTE, buffers, mix, powers, quiet_env, slices
 
 LONGEST_UNIT = 200
 #: Letters, then symbols that cannot start a contraction.
-_PLAIN = re.compile(r"( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-;=?-@\[-`~]*)")
+_PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-;=?-@\[-`~]*)")
+_LATER = np.uint64(0x2545F4914F6CDD1D)
 
 
 def byte_letters() -> list[str]:
@@ -29,40 +35,51 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(rest)) for b in range(256)]
 
 
-class _Memo(dict):
-    """Unit -> number; a unit that is not there is numbered and put on the waiting list."""
-
-    def __init__(self, owner: "UnitTokenizer", prefix: str):
-        super().__init__()
-        self.owner, self.prefix = owner, prefix
-
-    def __missing__(self, part: str) -> int:
-        if self.prefix and (not part or part[0].isspace()) or len(part) > LONGEST_UNIT:
-            return -1
-        at = self[part] = self.owner.reserve(self.prefix + part)
-        return at
-
-
 class UnitTokenizer:
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 2_000_000):
         quiet_env()
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.limit = limit
+        self.mask = np.uint64((1 << (2 * limit).bit_length()) - 1)
+        self.narrow = self.library.get_vocab_size() <= 1 << 16
         self.letters = {b: ord(c) for b, c in enumerate(byte_letters())}
         self._clear()
 
     def _clear(self) -> None:
-        self.first, self.later = _Memo(self, ""), _Memo(self, " ")
+        self.keys = np.zeros(int(self.mask) + 1, np.uint64)
+        self.values = np.zeros(int(self.mask) + 1, np.int32)
         self.flat = np.zeros(1 << 16, np.int32)
         self.begin, self.size = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
         self.units = self.used = 0
-        self.waiting: list[str] = []
 
-    def reserve(self, unit: str) -> int:
-        self.waiting.append(unit)
-        return self.units + len(self.waiting) - 1
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Unit numbers by hash; -1: not there."""
+        at = h & self.mask
+        got = self.keys[at]
+        out = np.where(got == h, self.values[at], -1)
+        left = np.flatnonzero((got != h) & (got != 0))
+        at = at[left]
+        while len(left):
+            at = (at + np.uint64(1)) & self.mask
+            got = self.keys[at]
+            hit = got == h[left]
+            out[left[hit]] = self.values[at[hit]]
+            on = ~hit & (got != 0)
+            left, at = left[on], at[on]
+        return out
+
+    def _insert(self, h: np.ndarray, values: np.ndarray) -> None:
+        """Distinct hashes that are not there yet."""
+        at = h & self.mask
+        while len(h):
+            _, first = np.unique(at, return_index=True)
+            first = first[self.keys[at[first]] == 0]
+            self.keys[at[first]], self.values[at[first]] = h[first], values[first]
+            on = np.ones(len(h), bool)
+            on[first] = False
+            h, values, at = h[on], values[on], (at[on] + np.uint64(1)) & self.mask
 
     def _add(self, encoded: list[list[int]]) -> None:
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
@@ -95,52 +112,72 @@ class UnitTokenizer:
             out[k] = ids
         return out
 
-    def encode(self, texts: list[str | None], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts (None: empty), each followed by end_id, and offsets (n + 1) into them."""
+    def _encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a slice of texts and how many each text has."""
         if self.units > self.limit:
             self._clear()
-        rows: list[list[int]] = []
-        whole: list[int] = []
-        first, later = self.first, self.later.__getitem__
-        for k, text in enumerate(texts):
-            if not text:
-                rows.append([])
-                continue
-            head, *rest = text.split(" ")
-            row = list(map(later, rest))
-            row.append(first[head] if head else -2)
-            if -1 in row:
-                whole.append(k)
-                row = []
-            elif row[-1] == -2:
-                row.pop()
-            else:
-                row.insert(0, row.pop())
-            rows.append(row)
-        if self.waiting:
-            encoded = self._unit_ids(self.waiting)
-            self.waiting = []
-            self._add(encoded)
+        docs = len(offsets) - 1
+        spaces = np.flatnonzero(data == 0x20)
+        # a unit for each text's start and each space: empty ones are dropped or unsafe
+        starts = np.concatenate([offsets[:-1], spaces + 1])
+        later = np.concatenate([np.zeros(docs, bool), np.ones(len(spaces), bool)])
+        order = np.argsort(np.concatenate([offsets[:-1] * 2, spaces * 2 + 1]), kind="stable")
+        starts, later = starts[order], later[order]
+        doc = np.cumsum(~later) - 1
+        # text k starts before the units of its spaces; texts without bytes start at the same place
+        ends = np.minimum(np.append(starts[1:] - 1, len(data)), offsets[doc + 1])
+        ends = np.where(np.append(~later[1:], True), offsets[doc + 1], ends)
+        keep = later | (ends > starts)
+        starts, ends, later, doc = starts[keep], ends[keep], later[keep], doc[keep]
+        p, inverse = powers(len(data) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * p[:-1], out=total[1:])
+        h = mix((total[ends] - total[starts]) * inverse[starts] ^ np.where(later, _LATER, np.uint64(0)))
+        h[h == 0] = 1
+        unit = self._find(h)
+        missing = np.flatnonzero(unit < 0)
+        if len(missing):
+            fresh, first, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            raw, strings, safe = data.tobytes(), [], np.ones(len(fresh), bool)
+            for j, (a, b, sp) in enumerate(zip(starts[missing[first]].tolist(), ends[missing[first]].tolist(), later[missing[first]].tolist())):
+                part = raw[a:b].decode()
+                if b - a > LONGEST_UNIT or sp and (not part or part[0].isspace()):
+                    safe[j] = False
+                else:
+                    strings.append(" " + part if sp else part)
+            number = np.full(len(fresh), -1, np.int64)
+            number[safe] = self.units + np.arange(len(strings))
+            self._add(self._unit_ids(strings))
+            self._insert(fresh[safe], number[safe].astype(np.int32))
+            unit[missing] = number[back]
         kept = self.units, self.used
-        if whole:
+        whole = np.unique(doc[unit < 0])
+        if len(whole):
             at = self.units
-            self._add(self._library_ids([texts[k] for k in whole]))
-            for j, k in enumerate(whole):
-                rows[k] = [at + j]
+            raw = data.tobytes()
+            self._add(self._library_ids([raw[offsets[k] : offsets[k + 1]].decode() for k in whole]))
+            on = ~np.isin(doc, whole)
+            unit, doc = np.concatenate([unit[on], at + np.arange(len(whole))]), np.concatenate([doc[on], whole])
         if end_id is not None:
             self._add([[end_id]])
-            for row in rows:
-                row.append(self.units - 1)
-        counts = np.fromiter(map(len, rows), np.int64, len(rows))
-        unit = np.fromiter(chain.from_iterable(rows), np.int64, int(counts.sum()))
+            unit, doc = np.concatenate([unit, np.full(docs, self.units - 1)]), np.concatenate([doc, np.arange(docs)])
+        order = np.argsort(doc, kind="stable")
+        unit, doc = unit[order], doc[order]
         sizes = self.size[unit]
-        upto = np.zeros(len(unit) + 1, np.int64)
-        np.cumsum(sizes, out=upto[1:])
-        ids = self.flat[np.repeat(self.begin[unit] - upto[:-1], sizes) + np.arange(upto[-1])]
-        offsets = np.zeros(len(rows) + 1, np.int64)
-        np.cumsum(counts, out=offsets[1:])
+        upto = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.begin[unit] - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)]
         self.units, self.used = kept
-        return ids, upto[offsets]
+        return ids, np.bincount(doc, weights=sizes, minlength=docs).astype(np.int64)
+
+    def encode_column(self, column: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty), each followed by end_id, and offsets (n + 1) into them; ids of 16 bits if all fit."""
+        data, offsets = buffers(column)
+        out, sizes = [np.zeros(0, "<u2" if self.narrow else "<u4")], [np.zeros(1, np.int64)]
+        for a, b in slices(offsets):
+            ids, counts = self._encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], end_id)
+            out.append(ids.astype(out[0].dtype))
+            sizes.append(counts)
+        return np.concatenate(out), np.cumsum(np.concatenate(sizes))
 
 
 _LOADED: dict[str, UnitTokenizer] = {}
