@@ -81,7 +81,7 @@ def _context(text: str, start: int, end: int) -> list[str]:
     """Lower-cased words next to the span, as patterns."""
     before = text[max(0, start - 40) : start].split()
     after = text[end : end + 40].split()
-    return ["<" + before[-1].lower()] * bool(before) + [">" + after[0].lower()] * bool(after)
+    return ["<" + w.lower() for w in before[-1:]] + [">" + w.lower() for w in after[:1]]
 
 
 _NODE = pa.struct([("seed", pa.bool_()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))])
