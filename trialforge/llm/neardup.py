@@ -6,9 +6,9 @@
    bucket is dealt in chunks; first each chunk meets itself and chunk 0 only.
 3. Candidates are compared signature batch by batch. With a uniform prior on the similarity, a
    pair goes as soon as the posterior chance that it reaches the threshold is below `miss`. Of
-   what is left, the most similar pairs that join a chunk's nodes are verified on full sets.
+   what is left, pairs that join a chunk's nodes are verified on full sets.
 4. Verified links are closed to components. Then every node outside the largest component of its
-   bucket meets all other members, in blocks, and what is left of those pairs is verified.
+   bucket meets all other members, in blocks that verify what is left of those pairs.
 
 So links inside a component that is already joined are never made, a bucket of n copies costs
 about n pairs, and no candidate between different components is passed over. A pair is missed
@@ -139,9 +139,11 @@ def _pairs_of(begin: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray
             yield (at[k : k + each] + a).reshape(-1), (at[k : k + each] + b).reshape(-1)
 
 
-def _forest(i: np.ndarray, j: np.ndarray, matches: np.ndarray) -> np.ndarray:
-    """Pairs of a spanning forest, the most similar first."""
-    order = np.lexsort((j, i, -matches))
+def _forest(a: np.ndarray, b: np.ndarray, unsure: np.ndarray) -> np.ndarray:
+    """Pairs of a spanning forest: sure ones first, then by least node, so that buckets which share
+    members choose the same pairs."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((high, low, unsure))
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -151,41 +153,107 @@ def _forest(i: np.ndarray, j: np.ndarray, matches: np.ndarray) -> np.ndarray:
         return x
 
     kept = []
-    for k, a, b in zip(order.tolist(), i[order].tolist(), j[order].tolist()):
-        a, b = find(a), find(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
+    for k, x, y in zip(order.tolist(), low[order].tolist(), high[order].tolist()):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
             kept.append(k)
     return np.array(kept, np.int64)
 
 
-def _compare(rows: DataFrame, share: Fraction, miss: float, residual: bool) -> DataFrame:
-    """Pairs (a, b) to verify, from rows sorted by group with node, comp, side, size, signature.
+def sure_matches(threshold: float) -> int:
+    """Matches of whole signatures from which the threshold is reached with a chance of 0.99."""
+    j = (np.arange(4096) + 0.5) / 4096
+    s = j + (1 - j) / 256
+    for m in range(SIGNATURE + 1):
+        like = m * np.log(s) + (SIGNATURE - m) * np.log1p(-s)
+        like = np.exp(like - like.max())
+        if like[j >= threshold].sum() >= 0.99 * like.sum():
+            return m
+    return SIGNATURE
+
+
+def _table(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(c).to_numpy() for c in names]
+
 
-    First round: side 0 is chunk 0, which meets the group's side 1, and side 1 itself; a
-    spanning forest is kept. Residual round: side 0 meets side 1 in other components, all kept.
+def _signatures(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+
+
+def first_pairs(rows: DataFrame, share: Fraction, miss: float) -> DataFrame:
+    """Pairs (a, b) to verify, from rows sorted by group with node, side, n_shingles, signature.
+
+    Side 0 is chunk 0, which meets the group's side 1, and side 1 itself; of the pairs that
+    survive in a group, a spanning forest is kept.
     """
-    bounds = least_matches(float(share), miss)
+    bounds, sure = least_matches(float(share), miss), sure_matches(float(share))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped_rows(batches, "group"):
-            group, node, comp, side, size = (table.column(c).to_numpy() for c in ("group", "node", "comp", "side", "n_shingles"))
-            signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+            group, node, side, size = _table(table, "group", "node", "side", "n_shingles")
+            signature = _signatures(table)
             cuts = np.flatnonzero(np.diff(group, prepend=group[0] - 1, append=group[-1] + 1))
-            found: list[tuple[np.ndarray, np.ndarray]] = []
+            which = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+            found = [np.zeros((2, 0), np.int64)]
             for i, j in _pairs_of(cuts[:-1], np.diff(cuts)):
-                if residual:
-                    on = (side[i] != side[j]) & (comp[i] != comp[j])
-                else:
-                    on = ((side[i] == 1) | (side[j] == 1)) & (node[i] != node[j])
+                on = ((side[i] == 1) | (side[j] == 1)) & (node[i] != node[j])
                 i, j, matches = prune(signature, size, i[on], j[on], bounds, share)
-                if not residual and len(i):
-                    at = _forest(i, j, matches)
-                    i, j = i[at], j[at]
-                found.append((node[i], node[j]))
-            if found:
-                a, b = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+                # runs of one group; a single pair is its own forest
+                order = np.argsort(which[i], kind="stable")
+                i, j, matches = i[order], j[order], matches[order]
+                ends = np.flatnonzero(np.diff(which[i], append=-1)) + 1
+                starts = np.concatenate([[0], ends[:-1]])
+                single = starts[ends - starts == 1]
+                found.append(np.stack([node[i[single]], node[j[single]]]))
+                for x, y in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
+                    at = x + _forest(node[i[x:y]], node[j[x:y]], matches[x:y] < sure)
+                    found.append(np.stack([node[i[at]], node[j[at]]]))
+            a, b = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def residual_links(rows: DataFrame, share: Fraction, miss: float) -> DataFrame:
+    """Verified links (a, b) between components, from rows sorted by group that also have band, bands, comp and shingles.
+
+    Side 0 meets side 1 in other components. A pair belongs to its first common band alone. What
+    survives pruning is verified on the full sets here, so that a block sends each set once and
+    returns a spanning forest of its links, not its pairs.
+    """
+    bounds = least_matches(float(share), miss)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped_rows(batches, "group"):
+            group, node, comp, side, size, band = _table(table, "group", "node", "comp", "side", "n_shingles", "band")
+            signature = _signatures(table)
+            bands = np.stack(table.column("bands").to_numpy()) if table.num_rows else np.zeros((0, BANDS))
+            sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+            cuts = np.flatnonzero(np.diff(group, prepend=group[0] - 1, append=group[-1] + 1))
+            found = [np.zeros((2, 0), np.int64)]
+            for x, y in zip(cuts[:-1], cuts[1:]):
+                left, right = x + np.flatnonzero(side[x:y] == 0), x + np.flatnonzero(side[x:y] == 1)
+                i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+                on = comp[i] != comp[j]
+                i, j, _ = prune(signature, size, i[on], j[on], bounds, share)
+                on = ~((bands[i] == bands[j]) & (np.arange(BANDS) < band[x])).any(axis=1)
+                i, j = i[on], j[on]
+                links = np.zeros(len(i), bool)
+                for k in np.unique(i):
+                    at = np.flatnonzero(i == k)
+                    others = [sets[q] for q in j[at]]
+                    lengths = np.array([len(o) for o in others])
+                    flat = np.concatenate(others)
+                    place = np.searchsorted(sets[k], flat)
+                    place[place == len(sets[k])] = 0
+                    both = np.add.reduceat((sets[k][place] == flat).astype(np.int64), np.cumsum(lengths) - lengths)
+                    links[at] = both * share.denominator >= (len(sets[k]) + lengths - both) * share.numerator
+                i, j = i[links], j[links]
+                at = _forest(comp[i], comp[j], np.zeros(len(i)))
+                found.append(np.stack([node[i[at]], node[j[at]]]))
+            a, b = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -250,10 +318,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: str = "0.8", m
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     # buckets with two nodes or more; of buckets with the same members, one
-    rows = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", _group("band", "value").alias("bucket"))
-    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.pmod("node", F.lit(1000003))).alias("s")).where("n > 1")
-    buckets = buckets.groupBy("n", "least", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    members = written(rows.join(buckets, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "members")
+    rows = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", "band", _group("band", "value").alias("bucket"))
+    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("band").alias("band"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.pmod("node", F.lit(1000003))).alias("s")).where("n > 1")
+    # of equal buckets the first band's, so a pair's first common band always has its bucket
+    buckets = buckets.groupBy("n", "least", "x", "s").agg(F.min(F.struct("band", "bucket")).alias("first")).select("first.bucket", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    # chunk 0 holds the least hashes, whatever the number of chunks, so that buckets share it
+    share_of = F.pmod(F.xxhash64("node"), F.lit(1 << 20))
+    members = written(rows.join(buckets, "bucket").withColumn("chunk", F.floor(share_of * F.col("chunks") / (1 << 20)).cast("int")), "members")
     light = nodes.select("node", "n_shingles", "signature")
 
     # full sets of the nodes in buckets
@@ -273,8 +344,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: str = "0.8", m
     # first round: each chunk with itself and with chunk 0
     each = members.select("bucket", "node", F.col("chunk").alias("q"), F.lit(1).alias("side"))
     hub = members.where("chunk = 0 and chunks > 1").select("bucket", "node", F.explode(F.sequence(F.lit(1), F.col("chunks") - 1)).alias("q"), F.lit(0).alias("side"))
-    meet = each.unionByName(hub).join(light, "node").select(_group("bucket", "q").alias("group"), "node", F.lit(0).cast("long").alias("comp"), "side", "n_shingles", "signature")
-    pairs = written(_compare(meet.repartition("group").sortWithinPartitions("group"), share, miss, False), "pairs")
+    meet = each.unionByName(hub).join(light, "node").select(_group("bucket", "q").alias("group"), "node", "side", "n_shingles", "signature")
+    pairs = written(first_pairs(meet.repartition("group").sortWithinPartitions("group"), share, miss), "pairs")
     links = written(verify(pairs, sets, share), "verified")
     comps = components(links)
 
@@ -286,11 +357,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: str = "0.8", m
     rest = open_.where("comp <> top")
     blocks = rest.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("blocks"))
     rest = rest.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
-    left = rest.select("bucket", "node", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("q"), F.lit(0).alias("side"))
-    right = open_.join(blocks, "bucket").select("bucket", "node", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("chunk").alias("q"), F.lit(1).alias("side"))
-    meet = left.unionByName(right).join(light, "node").select(_group("bucket", "block", "q").alias("group"), "node", "comp", "side", "n_shingles", "signature")
-    more = written(_compare(meet.repartition("group").sortWithinPartitions("group"), share, miss, True).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    more = written(verify(more, sets, share), "more-links")
+    left = rest.select("bucket", "band", "node", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("q"), F.lit(0).alias("side"))
+    right = open_.join(blocks, "bucket").select("bucket", "band", "node", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("chunk").alias("q"), F.lit(1).alias("side"))
+    whole = nodes.select("node", "n_shingles", "signature", "bands").join(sets, "node")
+    meet = left.unionByName(right).join(whole, "node").select(_group("bucket", "block", "q").alias("group"), "band", "node", "comp", "side", "n_shingles", "signature", "bands", "shingles")
+    more = written(residual_links(meet.repartition("group").sortWithinPartitions("group"), share, miss), "more-links")
     if not more.isEmpty():
         comps = components(comps.where("node > comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
 
