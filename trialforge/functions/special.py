@@ -50,8 +50,19 @@ def log_gamma_tail(a: float, x: float) -> float:
     return head + math.log(h)
 
 
+#: ln of the least positive double.
+UNDERFLOW = -744.4
+
+
 def chi2_log10_p(x: float, k: int) -> float:
-    return log_gamma_tail(k / 2, x / 2) / LN10 if x > 0 else 0.0
+    """log10 of the upper tail. Where the tail itself underflows, published results have density * x / (x - k + 2) in its place."""
+    if x <= 0 or k <= 0:
+        return 0.0
+    tail = log_gamma_tail(k / 2, x / 2)
+    if tail < UNDERFLOW:
+        density = (k / 2 - 1) * math.log(x / 2) - x / 2 - math.log(2) - math.lgamma(k / 2)
+        tail = density + math.log(x / max(x - k + 2, 1))
+    return tail / LN10
 
 
 @lru_cache(maxsize=256)
