@@ -11,7 +11,8 @@ Rounds over one shuffle of the texts (every round reads the same exchange, which
 3. Each bucket applies the answers to its documents.
 
 Words (op7): anchors are windows at positions of a difference cover. Bytes (op4): anchors are the
-minimal hashes of each window, and the deciding buckets order suffixes.
+minimal hashes of each string; contents of segments that several buckets hold are named first and
+sent once, and the deciding buckets order suffixes.
 
 A document's place in its bucket is its rank by (doc_id, text), so rows that share a doc_id keep
 apart; equal rows share a bucket and stay in a fixed order. A null doc_id comes last.
@@ -284,48 +285,82 @@ def substring_dedup(docs: DataFrame, window: int = 20, texts: bool = False, each
 # Bytes: minimal hashes and suffix order.
 
 
+def nearest_smaller(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the previous value that is at most, and of the next that is below each one (-1, n: none).
+
+    Pointers start at the neighbour and jump along earlier answers until they fit.
+    """
+    n = len(values)
+    before, after = np.arange(-1, n - 1), np.arange(1, n + 1)
+    left = np.arange(1, n)
+    while len(left):
+        at = before[left]
+        left = left[(at >= 0) & (values[np.maximum(at, 0)] > values[left])]
+        before[left] = before[before[left]]
+    left = np.arange(0, n - 1)
+    while len(left):
+        at = after[left]
+        left = left[(at < n) & (values[np.minimum(at, n - 1)] >= values[left])]
+        after[left] = after[after[left]]
+    return before, after
+
+
 class ByteAnchors:
-    """Of each string of `length` bytes, the place of the least hash of `gram` bytes in it."""
+    """The anchor of each string of `length` bytes, by runs of strings that share one.
+
+    Places whose hash of `gram` bytes passes a mask (one in eight) are candidates. A string's
+    anchor is the first of the least hashes among the candidates in it, or its own start if it
+    has none, so equal strings have anchors at equal places with equal hashes. A candidate is
+    the anchor of the strings that start after the previous one that is no greater and end
+    before the next smaller one.
+    """
 
     def __init__(self, group: Group, length: int, gram: int):
-        self.window = length - gram + 1
-        starts, anchor, value, base = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
-        for _, _, data, offsets in group.parts():
+        w = length - gram + 1
+        empty = np.zeros(0, np.int64)
+        starts, ends, hashes, base = [empty], [empty], [empty.astype(np.uint64)], 0
+        table = constants(256, 23)
+        for a, b in slices(group.offsets, 1 << 17):
+            data, offsets = group.data[group.offsets[a] : group.offsets[b]], group.offsets[a : b + 1] - group.offsets[a]
             n = len(data)
             if n >= length:
                 p, inverse = powers(n + 1)
                 total = np.zeros(n + 1, np.uint64)
-                np.cumsum(constants(256, 23)[data] * p[:-1], out=total[1:])
-                h = mix((total[gram:] - total[:-gram]) * inverse[: n + 1 - gram])
-                bits = np.uint64(max(20, int(n).bit_length()))
-                key = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
-                least = self._sliding_min(key)[: n - length + 1]
-                at = np.arange(n - length + 1)
-                ends = np.repeat(offsets[1:], np.diff(offsets))[: len(at)]
-                ok = at + length <= ends
-                a = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-                starts.append(base + at[ok])
-                anchor.append(base + a[ok])
-                value.append(h[a[ok]])
+                np.cumsum(table[data] * p[:-1], out=total[1:])
+                raw = (total[gram:] - total[:-gram]) * inverse[: n + 1 - gram]
+                at = np.flatnonzero((raw * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(61) == 0)
+                doc = np.searchsorted(offsets, at, side="right") - 1
+                inside = at + gram <= offsets[doc + 1]
+                at, doc = at[inside], doc[inside]
+                h = mix(raw[at])
+                # a wall of the least hash between documents ends every run there
+                first = np.searchsorted(doc, np.arange(b - a))
+                walled, h_walled = np.insert(at, first, -1), np.insert(h, first, 0)
+                before, after = nearest_smaller(h_walled)
+                keep = np.flatnonzero(walled >= 0)
+                # a hash of 0 stands behind the wall of its document, and before the next one
+                low, high = before[keep], after[keep]
+                lo = np.where(low >= 0, walled[np.maximum(low, 0)], -1)
+                hi = np.where(high < len(walled), walled[np.minimum(high, len(walled) - 1)], -1)
+                begin, stop = offsets[doc], offsets[doc + 1]
+                run_start = np.maximum(np.maximum(np.where(lo >= 0, lo + 1, 0), begin), at - w + 1)
+                run_end = np.minimum(np.minimum(at, np.where(hi >= 0, hi - w, n)), stop - length) + 1
+                on = run_end > run_start
+                run_start, run_end, h = run_start[on], run_end[on], h[on]
+                # strings without a candidate
+                open_ = np.zeros(n + 1, np.int32)
+                np.add.at(open_, run_start, 1)
+                np.add.at(open_, run_end, -1)
+                rest = np.flatnonzero(np.cumsum(open_[: n - length + 1]) == 0)
+                owner = np.searchsorted(offsets, rest, side="right") - 1
+                rest = rest[rest + length <= offsets[owner + 1]]
+                starts += [base + run_start, base + rest]
+                ends += [base + run_end, base + rest + 1]
+                hashes += [h, mix(raw[rest])]
             base += n
-        self.start, anchor, value = np.concatenate(starts), np.concatenate(anchor), np.concatenate(value)
-        # runs of strings with the same anchor
-        new = np.ones(len(anchor), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (self.start[1:] != self.start[:-1] + 1)
-        first = np.flatnonzero(new)
-        self.run_start = self.start[first]
-        self.run_end = self.start[np.append(first[1:], len(anchor)) - 1] + 1 if len(first) else self.run_start
-        self.hash, self.anchor = value[first], anchor[first]
-
-    def _sliding_min(self, key: np.ndarray) -> np.ndarray:
-        w, n = self.window, len(key)
-        rows = -(-n // w) + 1
-        grid = np.full(rows * w, np.iinfo(np.uint64).max, np.uint64)
-        grid[:n] = key
-        grid = grid.reshape(rows, w)
-        ahead = np.minimum.accumulate(grid, axis=1).reshape(-1)
-        behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-        return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
+        start, end, h = np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
+        order = np.argsort(start, kind="stable")
+        self.run_start, self.run_end, self.hash = start[order], end[order], h[order]
 
 
 def suffix_classes(text: np.ndarray, length: int) -> np.ndarray:
@@ -366,38 +401,100 @@ def suffix_classes(text: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
-def _ask_bytes(length: int, gram: int) -> Callable:
-    def ask(group: Group, answers: pa.Table, buckets: int, deciders: int):
+class Segments:
+    """A bucket's strings with repeated anchors: runs of them, and the distinct contents of runs."""
+
+    def __init__(self, group: Group, answers: pa.Table, buckets: int, deciders: int, length: int, gram: int):
         found = ByteAnchors(group, length, gram)
         on = known(answers, found.hash, buckets)
-        start, end, h = found.run_start[on], found.run_end[on], found.hash[on]
-        # a segment: the strings of a run and what they cover; equal segments of the bucket go once
-        stop = end + length - 1
-        name = np.zeros(len(start), np.uint64)
+        self.group, self.start, self.end, h = group, found.run_start[on], found.run_end[on], found.hash[on]
+        self.stop = self.end + length - 1
+        self.doc = np.searchsorted(group.offsets, self.start, side="right") - 1
+        name = np.zeros(len(self.start), np.uint64)
         table = constants(256, 37)
-        doc = np.searchsorted(group.offsets, start, side="right") - 1
-        for a, b, data, offsets in group.parts():
+        for a, b in slices(group.offsets, 1 << 17):
+            data = group.data[group.offsets[a] : group.offsets[b]]
             p, inverse = powers(len(data) + 1)
             total = np.zeros(len(data) + 1, np.uint64)
             np.cumsum(table[data] * p[:-1], out=total[1:])
-            i, j = np.searchsorted(doc, (a, b))
-            x, y = start[i:j] - group.offsets[a], stop[i:j] - group.offsets[a]
+            i, j = np.searchsorted(self.doc, (a, b))
+            x, y = self.start[i:j] - group.offsets[a], self.stop[i:j] - group.offsets[a]
             name[i:j] = mix((total[y] - total[x]) * inverse[x] + (y - x).astype(np.uint64))
-        name ^= h
-        _, first, back, counts = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
-        to, _ = _split(h[first], deciders)
+        _, self.first, self.back, self.counts = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+        self.name = name[self.first]
+        self.by_name = self._dealt(self.name, deciders)
+        self.by_anchor = self._dealt(h[self.first], deciders)
+
+    @staticmethod
+    def _dealt(h: np.ndarray, deciders: int) -> tuple[np.ndarray, np.ndarray]:
+        """Order of the contents by decider, and where each decider's begin."""
+        to, _ = _split(h, deciders)
         order = np.argsort(to, kind="stable")
-        edges = np.searchsorted(to[order], np.arange(deciders + 1))
+        return order, np.searchsorted(to[order], np.arange(deciders + 1))
+
+    def places(self, at: np.ndarray) -> bytes:
+        """Where contents stand first: doc_id, document and place."""
+        seg = self.first[at]
+        doc = self.doc[seg]
+        return self.group.keys[doc].astype("<i8").tobytes() + doc.astype("<u4").tobytes() + (self.start[seg] - self.group.offsets[doc]).astype("<u4").tobytes()
+
+    def names(self) -> list[tuple[int, bytes]]:
+        order, edges = self.by_name
         rows = []
         for k in np.flatnonzero(np.diff(edges)):
             at = order[edges[k] : edges[k + 1]]
-            seg = first[at]
-            content = np.concatenate([group.data[x:y] for x, y in zip(start[seg].tolist(), stop[seg].tolist())])
-            place = start[seg] - group.offsets[doc[seg]]
-            rows.append((int(k), np.uint32(len(at)).tobytes() + (stop[seg] - start[seg]).astype("<u4").tobytes() + group.keys[doc[seg]].astype("<i8").tobytes() + doc[seg].astype("<u4").tobytes() + place.astype("<u4").tobytes() + (counts[at] > 1).astype("u1").tobytes() + content.tobytes()))
-        return rows, (start, end, first, back, order, edges)
+            rows.append((int(k), np.uint32(len(at)).tobytes() + self.name[at].tobytes() + self.places(at)))
+        return rows
+
+    def heard(self, verdicts: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """By content: whether another bucket has it earlier, and whether it is there twice at all."""
+        order, edges = self.by_name
+        later, shared = np.zeros(len(self.first), bool), self.counts > 1
+        for k, bits in verdicts.items():
+            at = order[edges[k] : edges[k + 1]]
+            both = np.unpackbits(np.frombuffer(bits, np.uint8), count=2 * len(at)) > 0
+            later[at] = both[: len(at)]
+            shared[at] |= both[len(at) :]
+        return later, shared
+
+    def contents(self, later: np.ndarray, shared: np.ndarray) -> list[tuple[int, bytes]]:
+        """Contents that no other bucket sends."""
+        order, edges = self.by_anchor
+        rows = []
+        for k in np.flatnonzero(np.diff(edges)):
+            at = order[edges[k] : edges[k + 1]]
+            at = at[~later[at]]
+            if len(at):
+                x, y = self.start[self.first[at]], self.stop[self.first[at]]
+                text = np.concatenate([self.group.data[i:j] for i, j in zip(x.tolist(), y.tolist())])
+                rows.append((int(k), np.uint32(len(at)).tobytes() + (y - x).astype("<u4").tobytes() + self.places(at) + shared[at].astype("u1").tobytes() + text.tobytes()))
+        return rows
 
-    return ask
+
+def _decide_names(table: pa.Table) -> pa.Table:
+    """Two bits for each content named: another bucket has it earlier; another bucket has it."""
+    columns: list[list[np.ndarray]] = [[], [], [], []]
+    counts = []
+    for b in table.column("blob").to_pylist():
+        n = int(np.frombuffer(b, "<u4", 1)[0])
+        counts.append(n)
+        for k, (kind, at) in enumerate((("<u8", 4), ("<i8", 4 + 8 * n), ("<u4", 4 + 16 * n), ("<u4", 4 + 20 * n))):
+            columns[k].append(np.frombuffer(b, kind, n, at))
+    h, key, doc, place = (np.concatenate(c) for c in columns)
+    of = np.array(table.column("of").to_pylist())
+    order = np.lexsort((place, doc, np.repeat(of, counts), key, h))
+    same = h[order[1:]] == h[order[:-1]]
+    later, shared = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    later[order[1:]] = same
+    shared[order[1:]] |= same
+    shared[order[:-1]] |= same
+    cuts = np.cumsum(counts)[:-1]
+    to = table.column("to")[0].as_py()
+    return _blobs([(int(o), to, np.packbits(np.concatenate([x, y])).tobytes()) for o, x, y in zip(of, np.split(later, cuts), np.split(shared, cuts)) if y.any()])
+
+
+def _blobs(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [(), (), ()], (pa.int32(), pa.int32(), pa.binary()))], names=["to", "of", "blob"])
 
 
 def _decide_bytes(length: int, keep_first: bool) -> Callable:
@@ -449,29 +546,56 @@ def suffix_dedup(docs: DataFrame, length: int = 200, keep_first: bool = True, te
     """
     if not 8 <= gram < length:
         raise ValueError("8 <= gram < length")
-    ask = _ask_bytes(length, gram)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
     empty = pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "n_spans": pa.array([], pa.int64()), "kept_sha256": pa.array([], pa.string())} | ({"kept": pa.array([], pa.binary())} if texts else {}))
+    buckets, deciders = n_parts(docs, each), n_parts(docs, max(1, each // 8))
 
-    def apply(group, answers, verdicts, buckets, deciders) -> pa.Table:
-        if group is None:
+    def open_group(t: pa.Table, answers: pa.Table) -> tuple[Segments, list[dict[int, bytes]]]:
+        kind = answers.column("kind").to_numpy()
+        heard = [answers.filter(pa.array(kind == k)) for k in (1, 2)]
+        segments = Segments(Group(t), answers.filter(pa.array(kind == 0)), buckets, deciders, length, gram)
+        return segments, [dict(zip(h.column("of").to_pylist(), h.column("blob").to_pylist())) for h in heard]
+
+    def names(t: pa.Table, answers: pa.Table) -> pa.Table:
+        if not t.num_rows or not answers.num_rows:
+            return _blobs([])
+        of = t.column("of")[0].as_py()
+        return _blobs([(to, of, blob) for to, blob in open_group(t, answers)[0].names()])
+
+    def contents(t: pa.Table, answers: pa.Table) -> pa.Table:
+        if not t.num_rows or not answers.num_rows:
+            return _blobs([])
+        of = t.column("of")[0].as_py()
+        segments, (verdicts, _) = open_group(t, answers)
+        return _blobs([(to, of, blob) for to, blob in segments.contents(*segments.heard(verdicts))])
+
+    def apply(t: pa.Table, answers: pa.Table) -> pa.Table:
+        if not t.num_rows:
             return empty
-        _, (start, end, first, back, order, edges) = ask(group, answers, buckets, deciders)
-        strings = end - start
-        sent = strings[first[order]]
+        segments, (named, decided) = open_group(t, answers)
+        group = segments.group
+        later, shared = segments.heard(named)
+        start, strings = segments.start, segments.end - segments.start
+        # bits of the contents sent, by decider
+        order, edges = segments.by_anchor
+        sent = np.where(later[order], 0, strings[segments.first[order]])
         upto = np.concatenate([[0], np.cumsum(sent)]).astype(np.int64)
         bits = np.zeros(upto[-1], bool)
-        for k, packed in verdicts.items():
+        for k, packed in decided.items():
             a, b = upto[edges[k]], upto[edges[k + 1]]
             bits[a:b] = np.unpackbits(np.frombuffer(packed, np.uint8), count=b - a)
         place = np.empty(len(order), np.int64)
         place[order] = upto[:-1]
         within = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
-        gone = bits[np.repeat(place[back], strings) + within]
+        # a content that is elsewhere earlier goes as a whole; without keep_first, one that is there twice
+        whole = (later if keep_first else later | shared)[segments.back]
         if keep_first:
             copy = np.ones(len(start), bool)
-            copy[first] = False
-            gone |= np.repeat(copy, strings)
+            copy[segments.first] = False
+            whole |= copy
+        gone = np.repeat(whole, strings)
+        ask = np.flatnonzero(~gone)
+        gone[ask] = bits[(np.repeat(place[segments.back], strings) + within)[ask]]
         at = (np.repeat(start, strings) + within)[gone]
         mark = np.zeros(len(group.data) + 1, np.int32)
         mark[at] += 1
@@ -492,4 +616,15 @@ def suffix_dedup(docs: DataFrame, length: int = 200, keep_first: bool = True, te
         columns = [group.ids, pa.array(np.diff(group.offsets), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string())] + ([pa.array(kept, pa.binary())] if texts else [])
         return pa.table(columns, names=empty.column_names)
 
-    return rounds(docs, lambda g: ByteAnchors(g, length, gram).hash, ask, _decide_bytes(length, keep_first), apply, schema, n_parts(docs, max(1, each // 4)), each)
+    def with_kind(df: DataFrame, kind: int) -> DataFrame:
+        return df.withColumn("kind", F.lit(kind))
+
+    # one lazy plan, so that exchanges are reused
+    documents = bucketed(docs, buckets)
+    first = documents.groupBy("of").applyInArrow(lambda t: name_hashes(t.column("of")[0].as_py(), ByteAnchors(Group(t), length, gram).hash, buckets), BLOBS)
+    repeats = with_kind(first.groupBy("to").applyInArrow(repeated_hashes, BLOBS), 0)
+    named = documents.groupBy("of").cogroup(repeats.groupBy("to")).applyInArrow(names, BLOBS)
+    answers = repeats.unionByName(with_kind(named.groupBy("to").applyInArrow(_decide_names, BLOBS), 1))
+    asked = documents.groupBy("of").cogroup(answers.groupBy("to")).applyInArrow(contents, BLOBS)
+    answers = answers.unionByName(with_kind(asked.groupBy("to").applyInArrow(_decide_bytes(length, keep_first), BLOBS), 2))
+    return documents.groupBy("of").cogroup(answers.groupBy("to")).applyInArrow(apply, schema)
