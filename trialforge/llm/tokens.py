@@ -147,8 +147,10 @@ class UnitTokenizer:
                     strings.append(" " + part if sp else part)
             number = np.full(len(fresh), -1, np.int64)
             number[safe] = self.units + np.arange(len(strings))
+            # the table stays at most two thirds full: what finds no room is used but not remembered
+            room = max(0, (len(self.keys) * 2) // 3 - self.units)
             self._add(self._unit_ids(strings))
-            self._insert(fresh[safe], number[safe].astype(np.int32))
+            self._insert(fresh[safe][:room], number[safe][:room].astype(np.int32))
             unit[missing] = number[back]
         kept = self.units, self.used
         whole = np.unique(doc[unit < 0])
