@@ -318,10 +318,10 @@ def generate(spark: SparkSession, family: str, *p: int) -> DataFrame:
         return spark.range(p[0]).select(F.col("id").alias("u"), F.explode(F.sequence(F.lit(p[0]).cast("long"), F.lit(p[0] + p[1] - 1).cast("long"))).alias("v"))
     if family == "turan":
         return _pairs(spark, p[0], u % p[1] != v % p[1])
-    if family in ("grid", "king_graph", "triangular_lattice"):
+    if family in ("grid", "king_graph", "frustrated_square", "triangular_lattice"):
         rows, columns = p
         at = spark.range(rows * columns).select(F.col("id").alias("u"), (F.col("id") % columns).alias("c"), F.floor(F.col("id") / columns).alias("r"))
-        steps = {"grid": [(0, 1), (1, 0)], "king_graph": [(0, 1), (1, 0), (1, 1), (1, -1)], "triangular_lattice": [(0, 1), (1, 0), (1, 1)]}[family]
+        steps = {"grid": [(0, 1), (1, 0)], "king_graph": [(0, 1), (1, 0), (1, 1), (1, -1)], "frustrated_square": [(0, 1), (1, 0), (1, 1), (1, -1)], "triangular_lattice": [(0, 1), (1, 0), (1, 1)]}[family]
         moves = at.withColumn("s", F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in steps])))
         inside = moves.where((F.col("r") + F.col("s.dr") < rows) & (F.col("c") + F.col("s.dc")).between(0, columns - 1))
         return inside.select("u", (u + F.col("s.dr") * columns + F.col("s.dc")).cast("long").alias("v"))
@@ -383,9 +383,88 @@ def generate(spark: SparkSession, family: str, *p: int) -> DataFrame:
         blocks, size, inside, outside, seed = p
         share = F.when(F.floor(u / size) == F.floor(v / size), inside).otherwise(outside)
         return _pairs(spark, blocks * size, F.pmod(F.xxhash64(u, v, F.lit(seed)), F.lit(10_000)) < share * 100)
+    if family in ("honeycomb", "shastry_sutherland"):
+        rows, columns = p
+        at = spark.range(rows * columns).select(F.col("id").alias("u"), (F.col("id") % columns).alias("c"), F.floor(F.col("id") / columns).alias("r"))
+        c, r = F.col("c"), F.col("r")
+        right = at.where(c < columns - 1).select("u", (u + 1).alias("v"))
+        if family == "honeycomb":  # a brick wall
+            return right.unionByName(at.where((r < rows - 1) & ((r + c) % 2 == 0)).select("u", (u + columns).alias("v")))
+        down = at.where(r < rows - 1).select("u", (u + columns).alias("v"))
+        falling = at.where((r < rows - 1) & (c < columns - 1) & (r % 2 == 0) & (c % 2 == 0)).select("u", (u + columns + 1).alias("v"))
+        rising = at.where((r < rows - 1) & (c > 0) & (r % 2 == 1) & (c % 2 == 0)).select("u", (u + columns - 1).alias("v"))
+        return right.unionByName(down).unionByName(falling).unionByName(rising)
+    if family == "kagome":
+        return line_graph(generate(spark, "honeycomb", *p))
+    if family == "bcc_lattice":
+        a, b, c = p
+        corner = spark.range(a * b * c).select(F.col("id").alias("u"), (F.col("id") % c).alias("z"), (F.floor(F.col("id") / c) % b).alias("y"), F.floor(F.col("id") / (b * c)).alias("x"))
+        steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (0, 1) for j in (0, 1) for k in (0, 1)]))
+        at = corner.withColumn("s", steps).select("u", (F.col("x") - F.col("s.i")).alias("x"), (F.col("y") - F.col("s.j")).alias("y"), (F.col("z") - F.col("s.k")).alias("z"))
+        inside = at.where(F.col("x").between(0, a - 2) & F.col("y").between(0, b - 2) & F.col("z").between(0, c - 2))
+        return inside.select("u", (a * b * c + (F.col("x") * (b - 1) + F.col("y")) * (c - 1) + F.col("z")).cast("long").alias("v"))
+    if family == "barabasi_albert":
+        n, m, seed = p
+        # copying form of preferential attachment: each of a node's m ends is an earlier node or an earlier end's node
+        rng, ends, rows = random.Random(seed), list(range(m)), []
+        for new in range(m, n):
+            picked: set[int] = set()
+            while len(picked) < m:
+                picked.add(rng.choice(ends) if ends else rng.randrange(new))
+            rows += [(old, new) for old in sorted(picked)]
+            ends += [x for old in picked for x in (old, new)]
+        return spark.createDataFrame(rows, "u long, v long")
+    if family == "watts_strogatz":
+        n, k, percent, seed = p
+        ring = spark.range(n).select(F.col("id").alias("u"), F.explode(F.sequence(F.lit(1), F.lit(k // 2))).alias("d"))
+        moved = F.pmod(F.xxhash64("u", "d", F.lit(seed)), F.lit(100)) < percent
+        far = F.pmod(F.xxhash64("u", "d", F.lit(seed + 1)), F.lit(n))
+        return undirected(ring.select("u", F.when(moved, far).otherwise((u + F.col("d")) % n).alias("v")))
+    if family == "weak_strong_cluster":
+        clusters, size, between, seed = p
+        inside = _pairs(spark, clusters * size, F.floor(u / size) == F.floor(v / size))
+        links = spark.range(clusters - 1).select(F.col("id").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(between - 1))).alias("i"))
+        draw = lambda k: F.pmod(F.xxhash64("c", "i", F.lit(seed), F.lit(k)), F.lit(size))
+        return inside.unionByName(links.select((F.col("c") * size + draw(0)).alias("u"), ((F.col("c") + 1) * size + draw(1)).alias("v")).distinct())
+    if family == "cubic_lcf":
+        return _lcf(spark, p[0], p[1:])
     raise ValueError(f"no such graph family: {family}")
 
 
+# LCF codes of named cubic graphs, node count and repeated shifts.
+NAMED_LCF = {
+    "heawood": (14, (5, -5)), "dodecahedral": (20, (10, 7, 4, -4, -7, 10, -4, 7, -7, 4)), "pappus": (18, (5, 7, -7, 7, -7, -5)), "desargues": (20, (5, -5, 9, -9)),
+    "moebius_kantor": (16, (5, -5)), "frucht": (12, (-5, -2, -4, 2, 5, -2, 2, 5, -2, -5, 4, 2)), "truncated_tetrahedron": (12, (2, 6, -2)), "cubical": (8, (3, -3)), "tutte_coxeter": (30, (-13, -9, 7, -7, 9, 13)),
+}
+
+
+def _lcf(spark: SparkSession, n: int, shifts: tuple[int, ...]) -> DataFrame:
+    """A cycle of n nodes with the chords i to i + shift."""
+    ring = [(i, (i + 1) % n) for i in range(n)]
+    return undirected(spark.createDataFrame(ring + [(i, (i + shifts[i % len(shifts)]) % n) for i in range(n)], "u long, v long"))
+
+
+def named(spark: SparkSession, name: str) -> DataFrame:
+    if name == "petersen":
+        return generate(spark, "generalized_petersen", 5, 2)
+    if name == "tetrahedral":
+        return generate(spark, "complete", 4)
+    if name == "octahedral":
+        return generate(spark, "turan", 6, 3)
+    if name == "icosahedral":
+        return undirected(spark.createDataFrame(_icosahedron(), "u long, v long"))
+    if name not in NAMED_LCF:
+        raise ValueError(f"no such graph: {name}")
+    return _lcf(spark, *NAMED_LCF[name])
+
+
+def _icosahedron() -> list[tuple[int, int]]:
+    """Two poles and an antiprism of two rings of five."""
+    rings = [(1 + i, 1 + (i + 1) % 5) for i in range(5)] + [(6 + i, 6 + (i + 1) % 5) for i in range(5)]
+    poles = [(0, 1 + i) for i in range(5)] + [(11, 6 + i) for i in range(5)]
+    return rings + poles + [(1 + i, 6 + i) for i in range(5)] + [(1 + i, 6 + (i + 1) % 5) for i in range(5)]
+
+
 def line_graph(edges: DataFrame) -> DataFrame:
     """Edges are nodes; those that share an end are joined."""
     e = undirected(edges).withColumn("e", F.xxhash64("u", "v"))
