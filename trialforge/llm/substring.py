@@ -363,9 +363,11 @@ class ByteAnchors:
         self.run_start, self.run_end, self.hash = start[order], end[order], h[order]
 
 
-def suffix_classes(text: np.ndarray, length: int) -> np.ndarray:
+def suffix_classes(text: np.ndarray, length: int, at: np.ndarray | None = None) -> np.ndarray:
     """Rank of each position in the order of suffixes cut to `length` bytes (equal strings, equal ranks).
 
+    With `at`, only these positions are ranked in the last round, and returned.
+
     Prefix multiplication: ranks by 8 bytes, then by two or three ranks side by side as long as
     they fit in 64 bits. Past the end, bytes 0 and rank 0.
     """
@@ -379,26 +381,27 @@ def suffix_classes(text: np.ndarray, length: int) -> np.ndarray:
     def ranked(key: np.ndarray) -> np.ndarray:
         order = np.argsort(key)
         s = key[order]
-        step = np.ones(n, np.int64)
+        step = np.ones(len(key), bool)
         step[1:] = s[1:] != s[:-1]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(step)
+        rank = np.empty(len(key), np.uint32)
+        rank[order] = np.cumsum(step, dtype=np.uint32)
         return rank
 
     rank = ranked(key)
     bits = int(n + 1).bit_length()
     ways = 3 if 3 * bits <= 64 else 2
     while depth < length:
-        key = rank.astype(np.uint64)
         reach = min(length - depth, (ways - 1) * depth)
+        last = at is not None and depth + reach == length
+        key = (rank[at] if last else rank).astype(np.uint64)
+        beyond = np.concatenate([rank, np.zeros(reach, np.uint32)])
         for k in range(1, ways):
             jump = min(k * depth, reach)
-            ahead = np.zeros(n, np.uint64)
-            ahead[: max(0, n - jump)] = rank[jump:]
-            key = (key << np.uint64(bits)) | ahead
+            key <<= np.uint64(bits)
+            key |= beyond[at + jump] if last else beyond[jump : jump + n]
         rank = ranked(key)
         depth += reach
-    return rank
+    return rank if at is None or length > 8 else rank[at]
 
 
 class Segments:
@@ -512,11 +515,10 @@ def _decide_bytes(length: int, keep_first: bool) -> Callable:
             parts[5].append(np.frombuffer(b, np.uint8, offset=at))
         size, key, doc, place, twice, text = (np.concatenate(x) for x in parts)
         size = size.astype(np.int64)
-        rank = suffix_classes(text, length)
         strings = size - (length - 1)
         begin, upto = np.cumsum(size) - size, np.cumsum(strings)
         within = np.arange(upto[-1]) - np.repeat(upto - strings, strings)
-        mine = rank[np.repeat(begin, strings) + within]
+        mine = suffix_classes(text, length, np.repeat(begin, strings) + within)
         of = np.array(table.column("of").to_pylist())
         # in suffix order with ties by place, the previous smaller place with a common prefix of
         # `length` is the left neighbour, and the next place the right one
