@@ -61,8 +61,9 @@ def input_bytes(df: DataFrame) -> int:
 
 def n_parts(df: DataFrame, each: int) -> int:
     """Partitions so that one gets about `each` bytes of input, and the session's count at least."""
-    floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(floor, min(1 << 20, math.ceil(input_bytes(df) / each)))
+    floor, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df)
+    # a plan over rows of unknown size says the greatest number there is
+    return max(floor, min(1 << 20, math.ceil(size / each))) if size < 1 << 50 else floor
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
