@@ -37,3 +37,18 @@ def test_properties(spark):
 
 def test_kagome_is_a_line_graph(spark):
     assert graphs.generate(spark, "kagome", 4, 4).count() > 0
+
+
+@pytest.mark.parametrize("family,args", [("complete", (7,)), ("bipartite", (3, 5)), ("turan", (11, 3)), ("grid", (4, 5)), ("king_graph", (4, 5)), ("hypercube", (4,)), ("circulant", (12, 1, 6)), ("johnson", (5, 2)), ("kneser", (5, 2)), ("sudoku", (2,)), ("wheel", (7,)), ("tree", (3, 2)), ("random_er", (40, 30, 1)), ("barabasi_albert", (20, 2, 3))])
+def test_checker_accepts(spark, family, args):
+    from trialforge.operators import verify
+
+    assert verify.problems(graphs.generate(spark, family, *args), family, *args) == []
+
+
+def test_checker_refuses(spark):
+    from trialforge.operators import verify
+
+    bad = spark.createDataFrame([(0, 1), (1, 0), (2, 2)], "u long, v long")
+    assert set(verify.problems(bad, "cycle", 4)) == {"loops", "repeated edges", "node count", "edge count", "degrees"}
+    assert not verify.random_edges_fit(100, 0.5, 100)
