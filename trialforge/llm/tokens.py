@@ -36,7 +36,7 @@ def byte_letters() -> list[str]:
 
 
 class UnitTokenizer:
-    def __init__(self, path: str, limit: int = 2_000_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         quiet_env()
         from tokenizers import Tokenizer
 
@@ -51,7 +51,7 @@ class UnitTokenizer:
         self.keys = np.zeros(int(self.mask) + 1, np.uint64)
         self.values = np.zeros(int(self.mask) + 1, np.int32)
         self.flat = np.zeros(1 << 16, np.int32)
-        self.begin, self.size = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+        self.begin, self.size = np.zeros(1 << 15, np.int32), np.zeros(1 << 15, np.int32)
         self.units = self.used = 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
@@ -165,7 +165,7 @@ class UnitTokenizer:
             unit, doc = np.concatenate([unit, np.full(docs, self.units - 1)]), np.concatenate([doc, np.arange(docs)])
         order = np.argsort(doc, kind="stable")
         unit, doc = unit[order], doc[order]
-        sizes = self.size[unit]
+        sizes = self.size[unit].astype(np.int64)
         upto = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.begin[unit] - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)]
         self.units, self.used = kept
