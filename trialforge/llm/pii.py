@@ -1,10 +1,16 @@
 """Personal data: fixed patterns, and contextual extraction bootstrapped from what they find.
 
-Entities of the fixed patterns are seeds. A lexical pattern is the word before or the word after
-an entity. Spark scores the graph of patterns and instances in rounds: a pattern is as good as
-the share of its distinct instances that are believed, an instance is believed as the noisy-or of
-its patterns, seeds always. Patterns that end above `sure` with enough distinct instances then
-give spans of kind "id" to identifier-like words that no fixed pattern covers.
+Entities of the fixed patterns are seeds. A lexical pattern is the one, two or three whole words
+before or after an entity, lower-cased, without punctuation at their edges. Spark scores the graph
+of patterns and instances in rounds: a pattern is as good as the believed share of all its
+occurrences, with any word or seed beside it, less a discount for few distinct believed instances;
+an instance is believed as the noisy-or of its patterns, seeds always. Patterns that end above
+`sure` then give spans of kind "id" to identifier-like words that no fixed pattern covers.
+
+Shares are of occurrences, not of distinct neighbours: distinct words run out as the input grows
+and distinct seeds do not, so a common word would become sure by size alone. Occurrences of the
+graph's patterns are counted in a second reading, summed by each task before they are shuffled. A
+bit table of bounded size tells which patterns to count; what passes it by chance goes by a join.
 """
 
 from __future__ import annotations
@@ -13,13 +19,13 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trialforge.llm.common import written
+from trialforge.llm.common import _BYTE, Words, buffers, constants, mix, powers, slices, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -77,18 +83,168 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _context(text: str, start: int, end: int) -> list[str]:
-    """Lower-cased words next to the span, as patterns."""
-    before = text[max(0, start - 40) : start].split()
-    after = text[end : end + 40].split()
-    return ["<" + w.lower() for w in before[-1:]] + [">" + w.lower() for w in after[:1]]
+#: Most words in a pattern, most bits in a table of patterns.
+WIDTH, MOST_BITS = 3, 1 << 27
+#: Occurrences, and patterns with their counts, that a task holds.
+HELD = 1 << 20
+_EDGE = np.zeros(256, dtype=bool)
+_EDGE[list(STRIP.encode())] = True
+_STEP = constants(WIDTH, 31)
+#: By side (before, after) and number of words.
+_SIDE = constants(2 * WIDTH, 37).reshape(2, WIDTH)
 
 
-_NODE = pa.struct([("seed", pa.bool_()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))])
+def _lower(text: str) -> bytes:
+    """Lower-cased letters where that keeps their length, so that places stay."""
+    raw, low = text.encode(errors="replace"), text.lower()
+    out = low.encode(errors="replace")
+    if len(low) != len(text) or len(out) != len(raw):
+        out = "".join(c.lower() if len(c.lower().encode(errors="replace")) == len(c.encode(errors="replace")) else c for c in text).encode(errors="replace")
+    return out
+
+
+def _places(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Byte places of spans sorted by their start."""
+    if text.isascii():
+        return spans
+    out, at, size = [], 0, 0
+    for a, b in spans:
+        size += len(text[at:a].encode(errors="replace"))
+        at = a
+        out.append((size, size + len(text[a:b].encode(errors="replace"))))
+    return out
+
+
+class Neighbours(Words):
+    """Words without punctuation at their edges, their hashes and the patterns around them."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        super().__init__(data, offsets)
+        n = len(data)
+        p, self.inverse = powers(n + 1)
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[data] * p[:n], out=self.total[1:])
+        if n:
+            at, hard = np.arange(n), ~_EDGE[data]
+            start = np.minimum.accumulate(np.where(hard, at, n)[::-1])[::-1][self.start]
+            end = np.maximum.accumulate(np.where(hard, at, -1))[self.end - 1] + 1
+            some = start < self.end
+            self.start, self.end = start[some], end[some]
+            self.first = np.searchsorted(self.start, offsets)
+        self.hash = self.ranges(self.start, self.end)
+
+    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.total[end] - self.total[start]) * self.inverse[start])
+
+    def context(self, a: int, b: int) -> list[int]:
+        """Patterns of the place [a, b) of the only text; a word that runs into it counts as far as it is outside."""
+        parts: tuple[list, list] = ([], [])
+        j, k = int(np.searchsorted(self.start, a)) - 1, int(np.searchsorted(self.end, b, side="right"))
+        if j >= 0 and self.end[j] > a:
+            s, e = int(self.start[j]), a
+            while e > s and _EDGE[self.data[e - 1]]:
+                e -= 1
+            parts[0].extend([(s, e)] if e > s else [])
+            j -= 1
+        if k < len(self.start) and self.start[k] < b:
+            s, e = b, int(self.end[k])
+            while s < e and _EDGE[self.data[s]]:
+                s += 1
+            parts[1].extend([(s, e)] if e > s else [])
+            k += 1
+        parts[0].extend((int(self.start[i]), int(self.end[i])) for i in range(j, max(-1, j - WIDTH), -1))
+        parts[1].extend((int(self.start[i]), int(self.end[i])) for i in range(k, min(len(self.start), k + WIDTH)))
+        out: list[int] = []
+        for side in (0, 1):
+            words = np.array(parts[side][:WIDTH], np.int64).reshape(-1, 2)
+            n = len(words)
+            acc = np.cumsum(self.ranges(words[:, 0], words[:, 1]) * _STEP[:n], dtype=np.uint64)
+            out += mix(acc + _SIDE[side, :n]).view(np.int64).tolist()
+        return out
+
+    def around(self, chosen: np.ndarray) -> Iterator[np.ndarray]:
+        """Patterns at the chosen words."""
+        counts = np.diff(self.first)
+        low, high = np.repeat(self.first[:-1], counts), np.repeat(self.first[1:], counts)
+        for side, step in ((0, -1), (1, 1)):
+            j, acc = chosen, np.zeros(len(chosen), np.uint64)
+            for m in range(1, WIDTH + 1):
+                ok = (j - m >= low[j]) if side == 0 else (j + m < high[j])
+                j = j[ok]
+                acc = acc[ok] + self.hash[j + step * m] * _STEP[m - 1]
+                yield mix(acc + _SIDE[side, m - 1])
+
+
+def bit_table(patterns: DataFrame) -> np.ndarray:
+    """Two bits of each pattern, in a table of 4 to 8 MB for a million of them and 16 MB at most."""
+    size = 1 << min(MOST_BITS.bit_length() - 1, max(16, (32 * patterns.count()).bit_length()))
+    places = patterns.select(F.explode(F.expr(f"array(pattern & {size - 1}L, shiftrightunsigned(pattern, 32) & {size - 1}L)")).alias("at"))
+    found = places.groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
+    table = np.zeros(size >> 6, np.uint64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return table
 
 
-def _number(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
+def _in_table(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    last = np.uint64(len(table) * 64 - 1)
+    a, b = h & last, (h >> np.uint64(32)) & last
+    bit = lambda x: (table[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1)
+    return (bit(a) & bit(b)).astype(bool)
+
+
+def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """How often each of the (distinct) patterns stands at a word outside seeds: (pattern, n)."""
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(patterns))
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            fresh, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            both, at = np.unique(np.concatenate([keys, fresh]), return_inverse=True)
+            total = np.zeros(len(both), np.int64)
+            np.add.at(total, at, np.concatenate([counts, n]))
+            return both, total
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["pattern", "n"])
+
+        for batch in batches:
+            column = batch.column(0)
+            _, ends = buffers(column)
+            for lo, hi in slices(ends):
+                texts = [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
+                lowered = [_lower(t) for t in texts]
+                offsets = np.cumsum([0, *map(len, lowered)])
+                w = Neighbours(np.frombuffer(b"".join(lowered), np.uint8), offsets)
+                free = np.ones(len(w.start), bool)
+                for t, at in zip(texts, offsets.tolist()):
+                    for a, b in _places(t, sorted((a, b) for _, a, b in base_spans(t))):
+                        free[np.searchsorted(w.end, at + a, side="right") : np.searchsorted(w.start, at + b)] = False
+                for pattern in w.around(np.flatnonzero(free)):
+                    held.append(pattern[_in_table(table.value, pattern)])
+                    size += len(held[-1])
+                if size > HELD:
+                    keys, counts = summed()
+                    held, size = [], 0
+                    if len(keys) > HELD:
+                        yield out()
+                        keys, counts = keys[:0], counts[:0]
+        keys, counts = summed()
+        yield out()
+
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(one, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    return found.join(patterns.select("pattern"), "pattern", "left_semi")
+
+
+def totals(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each pattern of the graph with all its occurrences, and its distinct instances in the graph as support."""
+    known = written(edges.groupBy("pattern").agg(F.count("*").alias("support"), F.sum("n_seed").alias("n_seed")), "pii-patterns")
+    total = (F.col("n_seed") + F.coalesce("n", F.lit(0))).alias("total")
+    return written(known.join(occurrences(docs, known), "pattern", "left").select("pattern", "support", total), "pii-totals")
+
+
+_NODE = pa.struct([("seed", pa.bool_()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))])
 
 
 def nodes(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
@@ -107,7 +263,14 @@ def nodes(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
                 k += 1
             if b - a >= 6 and not (k < len(covered) and covered[k][0] < b):
                 found.append((False, a, b))
-    return [{"seed": s, "start": a, "end": b, "instance": _number(text[a:b].lower()), "patterns": [_number(p) for p in _context(text, a, b)]} for s, a, b in found]
+    if not found:
+        return []
+    found.sort(key=lambda f: f[1])
+    low = _lower(text)
+    w = Neighbours(np.frombuffer(low, np.uint8), np.array([0, len(low)]))
+    places = _places(text, [(a, b) for _, a, b in found])
+    instances = w.ranges(*np.array(places).T).view(np.int64).tolist()
+    return [{"seed": s, "start": a, "end": b, "instance": i, "patterns": w.context(*p)} for (s, a, b), p, i in zip(found, places, instances)]
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -129,20 +292,21 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).mapInArrow(one, "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, nodes array<struct<seed: boolean, start: bigint, end: bigint, instance: bigint, patterns: array<bigint>>>")
 
 
-def score_patterns(edges: DataFrame, rounds: int, prior: float) -> DataFrame:
-    """Confidence of each pattern from (instance, seed, pattern) edges, all distinct.
+def score_patterns(edges: DataFrame, degree: DataFrame, rounds: int, prior: float) -> DataFrame:
+    """Confidence of each pattern from (instance, pattern, seed, n) edges, all distinct, and the patterns' totals.
 
     Each round has two aggregations with partial sums, so that a pattern or an instance with
     very many edges is summed before it is shuffled.
     """
-    degree = edges.groupBy("pattern").agg(F.count("*").alias("support"))
     believed = edges.withColumn("belief", F.col("seed").cast("double"))
+    confidence = F.col("weight") / F.col("total") * F.col("sum") / (F.col("sum") + prior)
     patterns = None
     for k in range(rounds):
-        patterns = believed.groupBy("pattern").agg(F.sum("belief").alias("sum")).join(degree, "pattern").select("pattern", "support", (F.col("sum") / (F.col("support") + prior)).alias("confidence"))
+        sums = believed.groupBy("pattern").agg(F.sum("belief").alias("sum"), F.sum(F.col("belief") * F.col("n")).alias("weight"))
+        patterns = sums.join(degree, "pattern").select("pattern", "support", F.when(F.col("sum") > 0, confidence).otherwise(0.0).alias("confidence"))
         if k + 1 < rounds:
             doubt = edges.where("not seed").join(patterns, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence") * 0.999)))).alias("noisy_or"))
-            believed = written(edges.join(doubt, "instance", "left").select("instance", "seed", "pattern", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("noisy_or", F.lit(0.0))).alias("belief")), f"beliefs-{k}")
+            believed = written(edges.join(doubt, "instance", "left").select("instance", "seed", "pattern", "n", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("noisy_or", F.lit(0.0))).alias("belief")), f"beliefs-{k}")
     return patterns
 
 
@@ -150,6 +314,8 @@ def find_pii(docs: DataFrame, rounds: int = 3, prior: float = 2.0, sure: float =
     """Counts, digest and spans of personal data in each row.
 
     n_* and base_sha256 tell of the fixed patterns; spans also has the spans of kind "id".
+    A pattern's verdict rests on shares of its own occurrences, however many rows there are; with
+    the given prior and `sure`, five distinct instances are the least evidence in any case.
     A null or empty text has none. Every row gives a row, also for null or repeated ids. Other
     columns are ignored.
     """
@@ -157,8 +323,8 @@ def find_pii(docs: DataFrame, rounds: int = 3, prior: float = 2.0, sure: float =
     rows = written(rows, "pii-rows")
     flat = rows.select("row", F.explode("nodes").alias("node")).select("row", "node.*")
     links = flat.select("row", "seed", "start", "end", "instance", F.explode("patterns").alias("pattern"))
-    edges = written(links.groupBy("instance", "pattern").agg(F.max("seed").alias("seed")), "pii-edges")
-    good = score_patterns(edges, rounds, prior).where((F.col("confidence") >= sure) & (F.col("support") >= support)).select("pattern")
+    edges = written(links.groupBy("instance", "pattern").agg(F.max("seed").alias("seed"), F.count("*").alias("n"), F.sum(F.col("seed").cast("long")).alias("n_seed")), "pii-edges")
+    good = score_patterns(edges, totals(docs, edges), rounds, prior).where((F.col("confidence") >= sure) & (F.col("support") >= support)).select("pattern")
     found = links.where("not seed").join(good, "pattern", "left_semi").groupBy("row", "start", "end").agg(F.count("*").alias("n"))
     spans = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ids"))
     ids = F.transform("ids", lambda s: F.concat_ws(":", F.lit("id"), s["start"].cast("string"), s["end"].cast("string")))
