@@ -109,3 +109,12 @@ def test_common_words_fail_at_every_size(spark, n):
     got = ids(spark, texts)
     for text, spans in zip(texts, got):
         assert bool(spans) == ("AB-" in text), text
+
+
+def test_whole_words_on_each_side(spark):
+    """Two or three words tell what one does not; quotes are no words, and long neighbours are whole."""
+    long = "x" * 50
+    texts = [f'note key = "u{k}@site.org" {long} end' for k in range(12)]
+    texts += ['other key = "AB12-CD" zz', f"aa bb AB12-CE {long} end", "aa = AB12-CF zz"] + [f"q{k} = r{k}" for k in range(20)]
+    got = ids(spark, texts)
+    assert got[12] == "id:13:20" and got[13] == "id:6:13" and got[14] == ""
