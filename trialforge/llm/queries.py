@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialforge.llm import mixing, neardup, packing, pii, quality, rules, substring, token_files, webp
-from trialforge.llm.common import documents
+from trialforge.llm.common import documents, written
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return webp.media_features(webp.encode_media(documents(spark, sf_dir)))
+    return webp.media_features(written(webp.encode_media(documents(spark, sf_dir)), "media"))
 
 
 def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
