@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the numpy kernels; one longer document is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _WS = np.zeros(256, dtype=bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
@@ -60,10 +60,15 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def n_parts(df: DataFrame, each: int) -> int:
-    """Partitions so that one gets about `each` bytes of input, and the session's count at least."""
+    """Partitions so that one gets about `each` bytes of input, and the session's count at least.
+
+    Where the plan does not know its size, the bytes of the texts are counted.
+    """
     floor, size = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df)
     # a plan over rows of unknown size says the greatest number there is
-    return max(floor, min(1 << 20, math.ceil(size / each))) if size < 1 << 50 else floor
+    if size >= 1 << 50:
+        size = (df.agg(F.sum(F.octet_length(F.col("text").cast("string")))).head()[0] or 0) // 2 + 1
+    return max(floor, math.ceil(size / each))
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,21 +111,76 @@ def constants(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
-_BYTE = constants(256, 11)
-_BASE = np.uint64(0xD6E8FEB86659FD93)
-_INV = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Hashes of byte ranges are polynomials modulo this prime; modulo 2**64 there are texts that no base tells apart.
+PRIME = np.uint64((1 << 31) - 1)
+_LANES = [int(x % (PRIME - np.uint64(1 << 20))) + (1 << 19) for x in constants(4, 29)]
+_POWERS: dict[int, np.ndarray] = {}
+_COEFFICIENTS = np.arange(1, 257, dtype=np.uint64)
+_LOWER_COEFFICIENTS = _COEFFICIENTS.copy()
+_LOWER_COEFFICIENTS[65:91] += np.uint64(32)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, kept between calls."""
-    if len(_POWERS[0]) < n:
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**i modulo PRIME for i < n, kept between calls up to the size of a slice."""
+    found = _POWERS.get(base, np.ones(1, np.uint32))
+    if len(found) < n:
         size = max(n, SLICE_BYTES + 1)
-        for k, b in enumerate((_BASE, _INV)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
+        while len(found) < size:
+            step = np.uint64(pow(base, len(found), int(PRIME)))
+            found = np.concatenate([found, (found[: size - len(found)] * step % PRIME).astype(np.uint32)])
+        if size <= 4 * SLICE_BYTES:
+            _POWERS[base] = found
+    return found[:n]
+
+
+class Ranges:
+    """Hashes of byte ranges of one text: 62 bits from two bases, 124 from four.
+
+    Two different ranges of n bytes have one hash with a chance of about (n / 2**31) ** lanes, whatever
+    their contents (for bases that were not chosen against them).
+    """
+
+    def __init__(self, data: np.ndarray, lanes: int = 2, lower: bool = False):
+        n = len(data)
+        values = (_LOWER_COEFFICIENTS if lower else _COEFFICIENTS)[data]
+        self.inverse, self.totals = [], []
+        for base in _LANES[:lanes]:
+            terms = values * _powers(base, n)
+            if n >= 1 << 24:
+                terms %= PRIME
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(terms, out=total[1:])
+            self.totals.append(total)
+            self.inverse.append(_powers(pow(base, -1, int(PRIME)), n + 1))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        """Mixed 64-bit numbers of the ranges, one for each two lanes."""
+        lanes = [(total[end] - total[start]) % PRIME * inverse[start] % PRIME for total, inverse in zip(self.totals, self.inverse)]
+        return [mix(lanes[k] << np.uint64(31) | lanes[k + 1]) for k in range(0, len(lanes), 2)]
+
+
+_ROLL = np.uint64(0xD6E8FEB86659FD93)
+
+
+def rolling(values: np.ndarray, gram: int) -> np.ndarray:
+    """A number for each run of `gram` bytes by their values, modulo 2**64: equal runs, equal numbers, and no more."""
+    n = len(values) - gram + 1
+    out = np.zeros(max(0, n), np.uint64)
+    # doubling: runs of 2**k bytes, joined by the bits of gram
+    piece, width, done = values, 1, 0
+    while n > 0:
+        if gram & width:
+            out = out * _power(width) + piece[done : done + n]
+            done += width
+        if 2 * width > gram:
+            break
+        piece = piece[:-width] * _power(width) + piece[width:]
+        width *= 2
+    return out
+
+
+def _power(width: int) -> np.uint64:
+    return np.uint64(pow(int(_ROLL), width, 1 << 64))
 
 
 class Words:
@@ -151,25 +211,20 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word's bytes (A-Z lower-cased on request)."""
+        """A 62-bit hash of each word's bytes (A-Z lower-cased on request), spread over 64 bits."""
+        return self.wide(lower, 2)[0]
+
+    def wide(self, lower: bool = False, lanes: int = 4) -> list[np.ndarray]:
         if len(self.start) == 0:
-            return np.zeros(0, np.uint64)
-        table = _BYTE
-        if lower:
-            table = _BYTE.copy()
-            table[65:91] = _BYTE[97:123]
-        p, inv = powers(len(self.data) + 1)
-        total = np.empty(len(self.data) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(table[self.data] * p[:-1], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * inv[self.start])
-
-    def grams(self, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+            return [np.zeros(0, np.uint64)] * (lanes // 2)
+        return Ranges(self.data, lanes, lower).of(self.start, self.end)
+
+    def grams(self, hashes: np.ndarray, n: int, salt: int = 1000) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of n-word windows at every word position, and whether the window lies in its document."""
         m = len(hashes)
         out, ok = np.zeros(m, np.uint64), np.zeros(m, bool)
         if m >= n:
-            c = constants(n, 1000 + n)
+            c = constants(n, salt + n)
             acc = hashes[: m - n + 1] * c[0]
             for j in range(1, n):
                 acc += hashes[j : m - n + 1 + j] * c[j]

@@ -1,11 +1,17 @@
 """Personal data: fixed patterns, and contextual extraction bootstrapped from what they find.
 
-Entities of the fixed patterns are seeds. A lexical pattern is the one, two or three whole words
-before or after an entity, lower-cased, without punctuation at their edges. Spark scores the graph
-of patterns and instances in rounds: a pattern is as good as the believed share of all its
-occurrences, with any word or seed beside it, less a discount for few distinct believed instances;
-an instance is believed as the noisy-or of its patterns, seeds always. Patterns that end above
-`sure` then give spans of kind "id" to identifier-like words that no fixed pattern covers.
+Seeds are the entities of the fixed patterns, and random-looking strings: 20 letters, digits, "-" or
+"_" at least, with four steps or more between letters and digits. Lexical patterns of an entity are
+the one, two or three whole words before it, those after it, its neighbours on both sides together,
+and for 16 characters or more its own form (letters in use, first four letters, length). Words are
+lower-cased, without punctuation at their edges; a run of "=" is a word of its own.
+
+Spark scores the graph of patterns and instances in rounds: a pattern is as good as the believed
+share of all its occurrences, with any word or seed there, less a discount for few distinct believed
+instances; an instance is believed as the noisy-or of its patterns, seeds always. So an identifier
+that one round believes is evidence for its other patterns in the next. Patterns that end above
+`sure` then give spans of kind "id" to words that no fixed pattern covers: words of six characters
+or more with a digit, or after "=". Random-looking strings are spans of kind "id" in any case.
 
 Shares are of occurrences, not of distinct neighbours: distinct words run out as the input grows
 and distinct seeds do not, so a common word would become sure by size alone. Occurrences of the
@@ -25,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trialforge.llm.common import _BYTE, Words, buffers, constants, mix, powers, slices, written
+from trialforge.llm.common import _WS, Ranges, buffers, constants, mix, slices, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -38,8 +44,12 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 DIGIT = re.compile(r"[0-9]")
-#: An identifier-like word: six characters at least, a digit among them.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+WORD = re.compile(r"[^\x20\x09-\x0D=]+")
+#: Runs that may be random-looking or have a form, steps between letters and digits, and the letters that forms tell apart.
+RUN = re.compile(r"[A-Za-z0-9_-]{16,}")
+STEP = re.compile(r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
+LETTERS = (("hex", re.compile(r"[0-9a-f]+")), ("upper", re.compile(r"[A-Z0-9]+")), ("lower", re.compile(r"[a-z0-9]+")))
+LONG, STEPS = 20, 4
 STRIP = "\"'.,;:!?()[]{}<>"
 
 
@@ -83,6 +93,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def random_looking(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Places of random-looking strings outside the given spans."""
+    found = [m.span() for m in RUN.finditer(text) if m.end() - m.start() >= LONG and sum(1 for _ in STEP.finditer(m[0])) >= STEPS]
+    return [(a, b) for a, b in found if not any(a < d and c < b for _, c, d in spans)] if found else []
+
+
+def form(word: str) -> int:
+    """A number for the form of a run: letters in use, first four letters (not of hex), length."""
+    kind = next((name for name, letters in LETTERS if letters.fullmatch(word)), "mixed")
+    first = word[:4] if kind != "hex" and word[:4].isalpha() else ""
+    return int.from_bytes(hashlib.blake2b(f"{kind}:{first}:{len(word)}".encode(), digest_size=8).digest(), "little", signed=True)
+
+
 #: Most words in a pattern, most bits in a table of patterns.
 WIDTH, MOST_BITS = 3, 1 << 27
 #: Occurrences, and patterns with their counts, that a task holds.
@@ -92,6 +115,7 @@ _EDGE[list(STRIP.encode())] = True
 _STEP = constants(WIDTH, 31)
 #: By side (before, after) and number of words.
 _SIDE = constants(2 * WIDTH, 37).reshape(2, WIDTH)
+_BOTH = constants(3, 41)
 
 
 def _lower(text: str) -> bytes:
@@ -115,26 +139,31 @@ def _places(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-class Neighbours(Words):
+class Neighbours:
     """Words without punctuation at their edges, their hashes and the patterns around them."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        super().__init__(data, offsets)
         n = len(data)
-        p, self.inverse = powers(n + 1)
-        self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * p[:n], out=self.total[1:])
+        self.data, self.ranges_of = data, Ranges(data)
+        self.start = self.end = np.zeros(0, np.int64)
         if n:
+            kind = np.where(_WS[data], 0, np.where(data == 0x3D, 1, 2))
+            edge = np.zeros(n + 1, bool)
+            edge[offsets] = True
+            change = np.ones(n + 1, bool)
+            change[1:n] = kind[1:] != kind[:-1]
+            change |= edge
+            start, end = np.flatnonzero(change[:n] & (kind > 0)), np.flatnonzero(change[1:] & (kind > 0)) + 1
             at, hard = np.arange(n), ~_EDGE[data]
-            start = np.minimum.accumulate(np.where(hard, at, n)[::-1])[::-1][self.start]
-            end = np.maximum.accumulate(np.where(hard, at, -1))[self.end - 1] + 1
-            some = start < self.end
-            self.start, self.end = start[some], end[some]
-            self.first = np.searchsorted(self.start, offsets)
+            start = np.minimum.accumulate(np.where(hard, at, n)[::-1])[::-1][start]
+            last = np.maximum.accumulate(np.where(hard, at, -1))[end - 1] + 1
+            some = start < end
+            self.start, self.end = start[some], last[some]
+        self.first = np.searchsorted(self.start, offsets)
         self.hash = self.ranges(self.start, self.end)
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.total[end] - self.total[start]) * self.inverse[start])
+        return self.ranges_of.of(start, end)[0]
 
     def context(self, a: int, b: int) -> list[int]:
         """Patterns of the place [a, b) of the only text; a word that runs into it counts as far as it is outside."""
@@ -155,11 +184,15 @@ class Neighbours(Words):
         parts[0].extend((int(self.start[i]), int(self.end[i])) for i in range(j, max(-1, j - WIDTH), -1))
         parts[1].extend((int(self.start[i]), int(self.end[i])) for i in range(k, min(len(self.start), k + WIDTH)))
         out: list[int] = []
+        hashes = []
         for side in (0, 1):
             words = np.array(parts[side][:WIDTH], np.int64).reshape(-1, 2)
             n = len(words)
-            acc = np.cumsum(self.ranges(words[:, 0], words[:, 1]) * _STEP[:n], dtype=np.uint64)
+            hashes.append(self.ranges(words[:, 0], words[:, 1]))
+            acc = np.cumsum(hashes[side] * _STEP[:n], dtype=np.uint64)
             out += mix(acc + _SIDE[side, :n]).view(np.int64).tolist()
+        if len(hashes[0]) and len(hashes[1]):
+            out += mix(hashes[0][:1] * _BOTH[0] + hashes[1][:1] * _BOTH[1] + _BOTH[2]).view(np.int64).tolist()
         return out
 
     def around(self, chosen: np.ndarray) -> Iterator[np.ndarray]:
@@ -173,6 +206,8 @@ class Neighbours(Words):
                 j = j[ok]
                 acc = acc[ok] + self.hash[j + step * m] * _STEP[m - 1]
                 yield mix(acc + _SIDE[side, m - 1])
+        j = chosen[(chosen - 1 >= low[chosen]) & (chosen + 1 < high[chosen])]
+        yield mix(self.hash[j - 1] * _BOTH[0] + self.hash[j + 1] * _BOTH[1] + _BOTH[2])
 
 
 def bit_table(patterns: DataFrame) -> np.ndarray:
@@ -218,10 +253,13 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
                 offsets = np.cumsum([0, *map(len, lowered)])
                 w = Neighbours(np.frombuffer(b"".join(lowered), np.uint8), offsets)
                 free = np.ones(len(w.start), bool)
+                forms = []
                 for t, at in zip(texts, offsets.tolist()):
-                    for a, b in _places(t, sorted((a, b) for _, a, b in base_spans(t))):
+                    seeds, random = seeds_of(t)
+                    for a, b in _places(t, sorted(seeds)):
                         free[np.searchsorted(w.end, at + a, side="right") : np.searchsorted(w.start, at + b)] = False
-                for pattern in w.around(np.flatnonzero(free)):
+                    forms += [form(m[0]) for m in RUN.finditer(t) if m.span() not in random]
+                for pattern in (*w.around(np.flatnonzero(free)), np.array(forms, np.int64).view(np.uint64)):
                     held.append(pattern[_in_table(table.value, pattern)])
                     size += len(held[-1])
                 if size > HELD:
@@ -244,33 +282,43 @@ def totals(docs: DataFrame, edges: DataFrame) -> DataFrame:
     return written(known.join(occurrences(docs, known), "pattern", "left").select("pattern", "support", total), "pii-totals")
 
 
-_NODE = pa.struct([("seed", pa.bool_()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))])
+_NODE = pa.struct([("seed", pa.bool_()), ("random", pa.bool_()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))])
+_NODE_DDL = "struct<seed: boolean, random: boolean, start: bigint, end: bigint, instance: bigint, patterns: array<bigint>>"
+
+
+def seeds_of(text: str) -> tuple[list[tuple[int, int]], set[tuple[int, int]]]:
+    """Places of all seeds, and of those that are random-looking strings."""
+    spans = base_spans(text)
+    random = random_looking(text, spans)
+    return [(a, b) for _, a, b in spans] + random, set(random)
 
 
 def nodes(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """Seeds, and identifier-like words outside them, with their patterns."""
-    found = [(True, a, b) for _, a, b in spans]
-    if DIGIT.search(text):
-        covered = sorted((a, b) for _, a, b in spans)
+    """Seeds, and words outside them that may be identifiers, with their patterns."""
+    random = random_looking(text, spans)
+    found = [(True, False, a, b) for _, a, b in spans] + [(True, True, a, b) for a, b in random]
+    if "=" in text or DIGIT.search(text):
+        covered = sorted((a, b) for _, _, a, b in found)
         k = 0
         for m in WORD.finditer(text):
             word = m[0]
-            if len(word) < 6 or DIGIT.search(word) is None:
+            if len(word) < 6 or not (DIGIT.search(word) or text[max(0, m.start() - 9) : m.start()].rstrip(" \t\n\x0b\x0c\r").endswith("=")):
                 continue
             a = m.start() + len(word) - len(word.lstrip(STRIP))
             b = m.end() - (len(word) - len(word.rstrip(STRIP)))
             while k < len(covered) and covered[k][1] <= a:
                 k += 1
             if b - a >= 6 and not (k < len(covered) and covered[k][0] < b):
-                found.append((False, a, b))
+                found.append((False, False, a, b))
     if not found:
         return []
-    found.sort(key=lambda f: f[1])
+    found.sort(key=lambda f: f[2])
     low = _lower(text)
     w = Neighbours(np.frombuffer(low, np.uint8), np.array([0, len(low)]))
-    places = _places(text, [(a, b) for _, a, b in found])
+    places = _places(text, [(a, b) for _, _, a, b in found])
     instances = w.ranges(*np.array(places).T).view(np.int64).tolist()
-    return [{"seed": s, "start": a, "end": b, "instance": i, "patterns": w.context(*p)} for (s, a, b), p, i in zip(found, places, instances)]
+    runs = {m.span() for m in RUN.finditer(text)}
+    return [{"seed": s, "random": r, "start": a, "end": b, "instance": i, "patterns": w.context(*p) + ([form(text[a:b])] if (a, b) in runs else [])} for (s, r, a, b), p, i in zip(found, places, instances)]
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -289,14 +337,15 @@ def scan(docs: DataFrame) -> DataFrame:
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.list_(_NODE)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "text_hash", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "nodes"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).mapInArrow(one, "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, nodes array<struct<seed: boolean, start: bigint, end: bigint, instance: bigint, patterns: array<bigint>>>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).mapInArrow(one, "doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, nodes array<" + _NODE_DDL + ">")
 
 
-def score_patterns(edges: DataFrame, degree: DataFrame, rounds: int, prior: float) -> DataFrame:
+def score_patterns(edges: DataFrame, degree: DataFrame, rounds: int, prior: float, least: float = 0.01) -> DataFrame:
     """Confidence of each pattern from (instance, pattern, seed, n) edges, all distinct, and the patterns' totals.
 
     Each round has two aggregations with partial sums, so that a pattern or an instance with
-    very many edges is summed before it is shuffled.
+    very many edges is summed before it is shuffled. Patterns below `least` (common words, which
+    have most edges) say nothing about instances.
     """
     believed = edges.withColumn("belief", F.col("seed").cast("double"))
     confidence = F.col("weight") / F.col("total") * F.col("sum") / (F.col("sum") + prior)
@@ -305,12 +354,13 @@ def score_patterns(edges: DataFrame, degree: DataFrame, rounds: int, prior: floa
         sums = believed.groupBy("pattern").agg(F.sum("belief").alias("sum"), F.sum(F.col("belief") * F.col("n")).alias("weight"))
         patterns = sums.join(degree, "pattern").select("pattern", "support", F.when(F.col("sum") > 0, confidence).otherwise(0.0).alias("confidence"))
         if k + 1 < rounds:
-            doubt = edges.where("not seed").join(patterns, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence") * 0.999)))).alias("noisy_or"))
+            telling = patterns.where(F.col("confidence") >= least)
+            doubt = edges.where("not seed").join(telling, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence") * 0.999)))).alias("noisy_or"))
             believed = written(edges.join(doubt, "instance", "left").select("instance", "seed", "pattern", "n", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("noisy_or", F.lit(0.0))).alias("belief")), f"beliefs-{k}")
     return patterns
 
 
-def find_pii(docs: DataFrame, rounds: int = 3, prior: float = 2.0, sure: float = 0.7, support: int = 5) -> DataFrame:
+def find_pii(docs: DataFrame, rounds: int = 5, prior: float = 2.0, sure: float = 0.7, support: int = 5) -> DataFrame:
     """Counts, digest and spans of personal data in each row.
 
     n_* and base_sha256 tell of the fixed patterns; spans also has the spans of kind "id".
@@ -325,7 +375,8 @@ def find_pii(docs: DataFrame, rounds: int = 3, prior: float = 2.0, sure: float =
     links = flat.select("row", "seed", "start", "end", "instance", F.explode("patterns").alias("pattern"))
     edges = written(links.groupBy("instance", "pattern").agg(F.max("seed").alias("seed"), F.count("*").alias("n"), F.sum(F.col("seed").cast("long")).alias("n_seed")), "pii-edges")
     good = score_patterns(edges, totals(docs, edges), rounds, prior).where((F.col("confidence") >= sure) & (F.col("support") >= support)).select("pattern")
-    found = links.where("not seed").join(good, "pattern", "left_semi").groupBy("row", "start", "end").agg(F.count("*").alias("n"))
+    found = links.where("not seed").join(good, "pattern", "left_semi").select("row", "start", "end").distinct()
+    found = found.unionByName(flat.where("random").select("row", "start", "end"))
     spans = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ids"))
     ids = F.transform("ids", lambda s: F.concat_ws(":", F.lit("id"), s["start"].cast("string"), s["end"].cast("string")))
     joined = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.array_join(ids, ","))

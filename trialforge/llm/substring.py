@@ -10,9 +10,14 @@ Rounds over one shuffle of the texts (every round reads the same exchange, which
    order sent; the bucket works out the same order again, so no positions travel back.
 3. Each bucket applies the answers to its documents.
 
-Words (op7): anchors are windows at positions of a difference cover. Bytes (op4): anchors are the
-minimal hashes of each string; contents of segments that several buckets hold are named first and
-sent once, and the deciding buckets order suffixes.
+Words (op7): anchors are windows at positions of a difference cover; the windows around repeated
+anchors are told apart by 124 bits of polynomials modulo a prime (for 10**12 windows, a chance of
+about 10**-13 that any two are mistaken for each other). Bytes (op4): anchors are the minimal hashes
+of each string; contents of segments that several buckets hold are named by 128-bit BLAKE2b digests
+first and sent once, and the deciding buckets order suffixes and make longest-previous-factor
+arrays from the previous and next smaller places.
+
+A bucket sends at most one message row for each of its hashes, so messages grow with the input.
 
 A document's place in its bucket is its rank by (doc_id, text), so rows that share a doc_id keep
 apart; equal rows share a bucket and stay in a fixed order. A null doc_id comes last.
@@ -29,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.llm.common import Words, buffers, constants, mix, n_parts, powers, ranges_union, slices
+from trialforge.llm.common import Words, buffers, constants, mix, n_parts, ranges_union, rolling, slices
 
 LAST = np.iinfo(np.int64).max
 BLOBS = "to int, of int, blob binary"
@@ -143,11 +148,11 @@ def rounds(docs: DataFrame, anchors: Callable, ask: Callable, decide: Callable,
 PERIOD, COVER = 13, (0, 1, 3, 9)
 
 
-def _word_parts(group: Group) -> Iterator[tuple[int, int, Words, np.ndarray, np.ndarray]]:
+def _word_parts(group: Group, lanes: int = 2) -> Iterator[tuple[int, int, Words, list[np.ndarray], np.ndarray]]:
     for a, b, data, offsets in group.parts():
         w = Words(data, offsets)
         place = np.arange(len(w.start)) - np.repeat(w.first[:-1], np.diff(w.first))
-        yield a, b, w, w.hashes(), place
+        yield a, b, w, w.wide(lanes=lanes), place
 
 
 def _cover(place: np.ndarray) -> np.ndarray:
@@ -156,66 +161,72 @@ def _cover(place: np.ndarray) -> np.ndarray:
     return on[place % PERIOD]
 
 
-def _word_windows(group: Group, answers: pa.Table, buckets: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, document and start of each window around a repeated anchor, in order."""
+def _word_windows(group: Group, answers: pa.Table, buckets: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes, document and start of each window around a repeated anchor, in order."""
     span = window - PERIOD + 1
-    anchor_hash, anchor_at, grams, valid, doc_of, place_of, base = [], [], [], [], [], [], 0
-    for a, b, w, h, place in _word_parts(group):
-        g, ok = w.grams(h, span)
+    found: tuple[list, list, list, list] = ([], [], [], [])
+    for a, b, w, h, place in _word_parts(group, 4):
+        n = len(place)
+        g, ok = w.grams(h[0], span)
         at = np.flatnonzero(ok & _cover(place))
-        anchor_hash.append(g[at])
-        anchor_at.append(base + at)
-        g, ok = w.grams(h, window)
-        grams.append(g)
-        valid.append(ok)
-        doc_of.append(np.repeat(np.arange(a, b, dtype=np.int32), np.diff(w.first)))
-        place_of.append(place.astype(np.int32))
-        base += len(h)
-    cat = lambda x, t: np.concatenate([np.zeros(0, t), *x])
-    at = cat(anchor_at, np.int64)[known(answers, cat(anchor_hash, np.uint64), buckets)]
-    doc, place = cat(doc_of, np.int32), cat(place_of, np.int32)
-    # windows that hold the anchor: those that start up to PERIOD - 1 words before it, in its document
-    mark = np.zeros(base + 1, np.int32)
-    np.add.at(mark, np.maximum(at - (PERIOD - 1), at - place[at]), 1)
-    np.add.at(mark, at + 1, -1)
-    on = np.flatnonzero((np.cumsum(mark)[:base] > 0) & cat(valid, bool))
-    return cat(grams, np.uint64)[on], doc[on], place[on]
+        at = at[known(answers, g[at], buckets)]
+        if not len(at):
+            continue
+        # windows that hold the anchor: those that start up to PERIOD - 1 words before it, in its document
+        mark = np.zeros(n + 1, np.int32)
+        np.add.at(mark, np.maximum(at - (PERIOD - 1), at - place[at]), 1)
+        np.add.at(mark, at + 1, -1)
+        g, ok = w.grams(h[0], window)
+        on = np.flatnonzero((np.cumsum(mark)[:n] > 0) & ok)
+        doc = np.repeat(np.arange(a, b, dtype=np.int32), np.diff(w.first))
+        for x, part in zip(found, (g[on], w.grams(h[1], window, 2000)[0][on], doc[on], place[on].astype(np.int32))):
+            x.append(part)
+    kinds = (np.uint64, np.uint64, np.int32, np.int32)
+    return tuple(np.concatenate([np.zeros(0, t), *x]) for x, t in zip(found, kinds))
 
 
 def _ask_words(window: int) -> Callable:
     def ask(group: Group, answers: pa.Table, buckets: int, deciders: int):
-        h, doc, place = _word_windows(group, answers, buckets, window)
-        order = np.argsort(h, kind="stable")  # documents and places are in order already
-        s = h[order]
-        new = np.ones(len(s), bool)
-        new[1:] = s[1:] != s[:-1]
+        h, more, doc, place = _word_windows(group, answers, buckets, window)
+        order = np.lexsort((more, h))  # stable: documents and places are in order already
+        new = np.ones(len(h), bool)
+        new[1:] = (h[order[1:]] != h[order[:-1]]) | (more[order[1:]] != more[order[:-1]])
         at = order[new]
+        of_window = np.empty(len(h), np.int64)
+        of_window[order] = np.cumsum(new) - 1
         to, _ = _split(h[at], deciders)
         edges = np.searchsorted(to, np.arange(deciders + 1))
         rows = []
         for k in np.flatnonzero(np.diff(edges)):
             part = at[edges[k] : edges[k + 1]]
-            rows.append((int(k), np.uint32(len(part)).tobytes() + h[part].tobytes() + group.keys[doc[part]].tobytes() + doc[part].astype("<u4").tobytes() + place[part].astype("<u4").tobytes()))
-        return rows, (h, doc, place, at, edges)
+            rows.append((int(k), np.uint32(len(part)).tobytes() + h[part].tobytes() + more[part].tobytes() + group.keys[doc[part]].tobytes() + doc[part].astype("<u4").tobytes() + place[part].astype("<u4").tobytes()))
+        return rows, (of_window, doc, place, at, edges)
 
     return ask
 
 
-def _decide_words(table: pa.Table) -> pa.Table:
-    """A bit for each window sent: 1 if another bucket has an earlier one."""
-    columns: list[list[np.ndarray]] = [[], [], [], []]
+def _named(blobs: list[bytes]) -> tuple[list[np.ndarray], list[int]]:
+    """Both hashes, doc_id, document and place from messages, and how many each message has."""
+    columns: list[list[np.ndarray]] = [[], [], [], [], []]
     counts = []
-    for b in table.column("blob").to_pylist():
+    for b in blobs:
         n = int(np.frombuffer(b, "<u4", 1)[0])
         counts.append(n)
-        for k, (kind, at) in enumerate((("<u8", 4), ("<i8", 4 + 8 * n), ("<u4", 4 + 16 * n), ("<u4", 4 + 20 * n))):
-            columns[k].append(np.frombuffer(b, kind, n, at))
-    h, key, doc, place = (np.concatenate(c) for c in columns)
+        at = 4
+        for column, kind in zip(columns, ("<u8", "<u8", "<i8", "<u4", "<u4")):
+            column.append(np.frombuffer(b, kind, n, at))
+            at += column[-1].nbytes
+    return [np.concatenate(c) for c in columns], counts
+
+
+def _decide_words(table: pa.Table) -> pa.Table:
+    """A bit for each window sent: 1 if another bucket has an earlier one."""
+    (h, more, key, doc, place), counts = _named(table.column("blob").to_pylist())
     of = np.array(table.column("of").to_pylist())
     by = np.repeat(np.arange(len(of)), counts)
-    order = np.lexsort((place, doc, of[by], key, h))
+    order = np.lexsort((place, doc, of[by], key, more, h))
     later = np.zeros(len(h), bool)
-    later[order[1:]] = h[order[1:]] == h[order[:-1]]
+    later[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (more[order[1:]] == more[order[:-1]])
     to = table.column("to")[0].as_py()
     rows = [(int(o), to, np.packbits(p).tobytes()) for o, p in zip(of, np.split(later, np.cumsum(counts)[:-1])) if p.any()]
     return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [(), (), ()], (pa.int32(), pa.int32(), pa.binary()))], names=["to", "of", "blob"])
@@ -227,7 +238,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, texts: bool = False, each
     doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by a space), and on request
     kept_text. Earlier: a smaller doc_id, or the same document and an earlier start; null doc_ids
     come last, and rows that share a doc_id follow each other in a fixed order. Null and empty
-    texts have no words. Windows are told apart by 64-bit hashes. Other columns are ignored.
+    texts have no words. Windows are told apart by 124-bit hashes. Other columns are ignored.
     """
     if window <= PERIOD:
         raise ValueError(f"a window needs more than {PERIOD} words")
@@ -238,25 +249,23 @@ def substring_dedup(docs: DataFrame, window: int = 20, texts: bool = False, each
     def anchors(group: Group) -> np.ndarray:
         out = [np.zeros(0, np.uint64)]
         for _, _, w, h, place in _word_parts(group):
-            g, ok = w.grams(h, window - PERIOD + 1)
+            g, ok = w.grams(h[0], window - PERIOD + 1)
             out.append(g[ok & _cover(place)])
         return np.concatenate(out)
 
     def apply(group, answers, verdicts, buckets, deciders) -> pa.Table:
         if group is None:
             return empty
-        _, (h, doc, place, at, edges) = ask(group, answers, buckets, deciders)
+        _, (of_window, doc, place, at, edges) = ask(group, answers, buckets, deciders)
         elsewhere = np.zeros(len(at), bool)
         for k, bits in verdicts.items():
             n = edges[k + 1] - edges[k]
             elsewhere[edges[k] : edges[k + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
         # a window's first place in the bucket goes if an earlier one is elsewhere, its other places always
-        kept_hash = np.sort(h[at[~elsewhere]])
-        where = np.searchsorted(kept_hash, h)
-        where[where == len(kept_hash)] = 0
-        first = np.zeros(len(h), bool)
+        gone = elsewhere[of_window]
+        first = np.zeros(len(gone), bool)
         first[at] = True
-        gone = ~first | (kept_hash[where] != h if len(kept_hash) else np.ones(len(h), bool))
+        gone |= ~first
         doc, place = doc[gone], place[gone]
         bounds = np.searchsorted(doc, np.arange(len(group.keys) + 1))
         words, removed, digests, kept = [], [], [], []
@@ -285,24 +294,49 @@ def substring_dedup(docs: DataFrame, window: int = 20, texts: bool = False, each
 # Bytes: minimal hashes and suffix order.
 
 
-def nearest_smaller(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def nearest_smaller(values: np.ndarray, lcp: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Index of the previous value that is at most, and of the next that is below each one (-1, n: none).
 
-    Pointers start at the neighbour and jump along earlier answers until they fit.
+    Pointers start at the neighbour and jump along earlier answers until they fit. With `lcp` (of each
+    one and the one before it), the least of it on the way to each of the two follows; a way on which
+    it is 0 ends there.
     """
     n = len(values)
     before, after = np.arange(-1, n - 1), np.arange(1, n + 1)
+    common = None
+    if lcp is not None:
+        common = [lcp.copy(), np.append(lcp[1:], 0)[:n]]
+        common[0][:1] = 0
     left = np.arange(1, n)
     while len(left):
         at = before[left]
         left = left[(at >= 0) & (values[np.maximum(at, 0)] > values[left])]
+        if common is not None:
+            left = left[common[0][left] > 0]
+            common[0][left] = np.minimum(common[0][left], common[0][before[left]])
         before[left] = before[before[left]]
     left = np.arange(0, n - 1)
     while len(left):
         at = after[left]
         left = left[(at < n) & (values[np.minimum(at, n - 1)] >= values[left])]
+        if common is not None:
+            left = left[common[1][left] > 0]
+            common[1][left] = np.minimum(common[1][left], common[1][after[left]])
         after[left] = after[after[left]]
-    return before, after
+    if common is None:
+        return before, after
+    common[0][before < 0], common[1][after >= n] = 0, 0
+    return before, after, *common
+
+
+def previous_factors(places: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """Longest previous factors, in suffix order: the longest common prefix with any suffix at an earlier place.
+
+    The suffixes with the longest common prefix among those at earlier places are the nearest ones
+    in suffix order on either side, the previous and the next smaller place. Places are distinct.
+    """
+    _, _, left, right = nearest_smaller(places, lcp)
+    return np.maximum(left, right)
 
 
 class ByteAnchors:
@@ -324,10 +358,7 @@ class ByteAnchors:
             data, offsets = group.data[group.offsets[a] : group.offsets[b]], group.offsets[a : b + 1] - group.offsets[a]
             n = len(data)
             if n >= length:
-                p, inverse = powers(n + 1)
-                total = np.zeros(n + 1, np.uint64)
-                np.cumsum(table[data] * p[:-1], out=total[1:])
-                raw = (total[gram:] - total[:-gram]) * inverse[: n + 1 - gram]
+                raw = rolling(table[data], gram)
                 at = np.flatnonzero((raw * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(61) == 0)
                 doc = np.searchsorted(offsets, at, side="right") - 1
                 inside = at + gram <= offsets[doc + 1]
@@ -413,18 +444,17 @@ class Segments:
         self.group, self.start, self.end, h = group, found.run_start[on], found.run_end[on], found.hash[on]
         self.stop = self.end + length - 1
         self.doc = np.searchsorted(group.offsets, self.start, side="right") - 1
-        name = np.zeros(len(self.start), np.uint64)
-        table = constants(256, 37)
-        for a, b in slices(group.offsets, 1 << 17):
-            data = group.data[group.offsets[a] : group.offsets[b]]
-            p, inverse = powers(len(data) + 1)
-            total = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(table[data] * p[:-1], out=total[1:])
-            i, j = np.searchsorted(self.doc, (a, b))
-            x, y = self.start[i:j] - group.offsets[a], self.stop[i:j] - group.offsets[a]
-            name[i:j] = mix((total[y] - total[x]) * inverse[x] + (y - x).astype(np.uint64))
-        _, self.first, self.back, self.counts = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
-        self.name = name[self.first]
+        raw = memoryview(np.ascontiguousarray(group.data))
+        digests = b"".join(hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(self.start.tolist(), self.stop.tolist()))
+        name, more = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+        order = np.lexsort((more, name))  # stable, so a content's first place comes first
+        new = np.ones(len(order), bool)
+        new[1:] = (name[order[1:]] != name[order[:-1]]) | (more[order[1:]] != more[order[:-1]])
+        self.first = order[new]
+        self.back = np.empty(len(order), np.int64)
+        self.back[order] = np.cumsum(new) - 1
+        self.counts = np.bincount(self.back, minlength=len(self.first))
+        self.name, self.more = name[self.first], more[self.first]
         self.by_name = self._dealt(self.name, deciders)
         self.by_anchor = self._dealt(h[self.first], deciders)
 
@@ -446,7 +476,7 @@ class Segments:
         rows = []
         for k in np.flatnonzero(np.diff(edges)):
             at = order[edges[k] : edges[k + 1]]
-            rows.append((int(k), np.uint32(len(at)).tobytes() + self.name[at].tobytes() + self.places(at)))
+            rows.append((int(k), np.uint32(len(at)).tobytes() + self.name[at].tobytes() + self.more[at].tobytes() + self.places(at)))
         return rows
 
     def heard(self, verdicts: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -476,17 +506,10 @@ class Segments:
 
 def _decide_names(table: pa.Table) -> pa.Table:
     """Two bits for each content named: another bucket has it earlier; another bucket has it."""
-    columns: list[list[np.ndarray]] = [[], [], [], []]
-    counts = []
-    for b in table.column("blob").to_pylist():
-        n = int(np.frombuffer(b, "<u4", 1)[0])
-        counts.append(n)
-        for k, (kind, at) in enumerate((("<u8", 4), ("<i8", 4 + 8 * n), ("<u4", 4 + 16 * n), ("<u4", 4 + 20 * n))):
-            columns[k].append(np.frombuffer(b, kind, n, at))
-    h, key, doc, place = (np.concatenate(c) for c in columns)
+    (h, more, key, doc, place), counts = _named(table.column("blob").to_pylist())
     of = np.array(table.column("of").to_pylist())
-    order = np.lexsort((place, doc, np.repeat(of, counts), key, h))
-    same = h[order[1:]] == h[order[:-1]]
+    order = np.lexsort((place, doc, np.repeat(of, counts), key, more, h))
+    same = (h[order[1:]] == h[order[:-1]]) & (more[order[1:]] == more[order[:-1]])
     later, shared = np.zeros(len(h), bool), np.zeros(len(h), bool)
     later[order[1:]] = same
     shared[order[1:]] |= same
@@ -520,15 +543,24 @@ def _decide_bytes(length: int, keep_first: bool) -> Callable:
         within = np.arange(upto[-1]) - np.repeat(upto - strings, strings)
         mine = suffix_classes(text, length, np.repeat(begin, strings) + within)
         of = np.array(table.column("of").to_pylist())
-        # in suffix order with ties by place, the previous smaller place with a common prefix of
-        # `length` is the left neighbour, and the next place the right one
-        if keep_first:
-            by = np.repeat(np.repeat(of, counts), strings)
-            order = np.lexsort((np.repeat(place, strings) + within, np.repeat(doc, strings), by, np.repeat(key, strings), mine))
-            again = np.zeros(len(mine), bool)
-            again[order[1:]] = mine[order[1:]] == mine[order[:-1]]
-        else:
-            again = (np.bincount(mine)[mine] > 1) | np.repeat(twice > 0, strings)
+        # only suffixes that share `length` bytes with another can have a factor of that length
+        some = np.flatnonzero(np.bincount(mine)[mine] > 1)
+        by = np.repeat(np.repeat(of, counts), strings)[some]
+        place, doc, key = (np.repeat(x, strings)[some] for x in (place, doc, key))
+        by_place = np.lexsort((place + within[some], doc, by, key))
+        places = np.empty(len(some), np.int64)
+        places[by_place] = np.arange(len(some))
+        order = np.lexsort((places, mine[some]))
+        # common prefixes with the one before, cut at `length`; shorter ones make no difference
+        lcp = np.zeros(len(some), np.int64)
+        lcp[1:] = np.where(np.diff(mine[some][order].astype(np.int64)) == 0, length, 0)
+        factors = previous_factors(places[order], lcp)
+        if not keep_first:
+            factors = np.maximum(factors, previous_factors(-places[order], lcp))
+        again = np.zeros(len(mine), bool)
+        again[some[order]] = factors >= length
+        if not keep_first:
+            again |= np.repeat(twice > 0, strings)
         ends = np.cumsum(counts)
         total = np.concatenate([[0], upto])[ends]
         to = table.column("to")[0].as_py()

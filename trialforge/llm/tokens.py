@@ -7,9 +7,9 @@ remembered (a unit of Latin letters and then ASCII symbols is two pre-tokens at
 straight to the library's BPE model). A text with a cut that is not certain (runs of white space,
 very long units) is encoded whole.
 
-Units are found by 64-bit hashes in a table of numpy arrays, a slice of texts at a time. The
-memo is per worker process and is emptied when it has `limit` units, so a wrong hit has a chance
-of limit / 2**64 for each new unit.
+Units are found by a 62-bit hash in a table of numpy arrays, a slice of texts at a time, and a hit
+counts only where 62 further bits agree. The memo is per worker process and is emptied when it has
+`limit` units.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from trialforge.llm.common import _BYTE, buffers, mix, powers, quiet_env, slices
+from trialforge.llm.common import Ranges, buffers, quiet_env, slices
 
 LONGEST_UNIT = 200
 #: Letters, then symbols that cannot start a contraction.
@@ -36,7 +36,7 @@ def byte_letters() -> list[str]:
 
 
 class UnitTokenizer:
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 200_000):
         quiet_env()
         from tokenizers import Tokenizer
 
@@ -45,41 +45,43 @@ class UnitTokenizer:
         self.mask = np.uint64((1 << (2 * limit).bit_length()) - 1)
         self.narrow = self.library.get_vocab_size() <= 1 << 16
         self.letters = {b: ord(c) for b, c in enumerate(byte_letters())}
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.keys = np.zeros(int(self.mask) + 1, np.uint64)
+        self.checks = np.zeros(int(self.mask) + 1, np.uint64)
         self.values = np.zeros(int(self.mask) + 1, np.int32)
         self.flat = np.zeros(1 << 16, np.int32)
         self.begin, self.size = np.zeros(1 << 15, np.int32), np.zeros(1 << 15, np.int32)
         self.units = self.used = 0
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
+    def _find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
         """Unit numbers by hash; -1: not there."""
         at = h & self.mask
         got = self.keys[at]
-        out = np.where(got == h, self.values[at], -1)
-        left = np.flatnonzero((got != h) & (got != 0))
+        hit = (got == h) & (self.checks[at] == check)
+        out = np.where(hit, self.values[at], -1)
+        left = np.flatnonzero(~hit & (got != 0))
         at = at[left]
         while len(left):
             at = (at + np.uint64(1)) & self.mask
             got = self.keys[at]
-            hit = got == h[left]
+            hit = (got == h[left]) & (self.checks[at] == check[left])
             out[left[hit]] = self.values[at[hit]]
             on = ~hit & (got != 0)
             left, at = left[on], at[on]
         return out
 
-    def _insert(self, h: np.ndarray, values: np.ndarray) -> None:
+    def _insert(self, h: np.ndarray, check: np.ndarray, values: np.ndarray) -> None:
         """Distinct hashes that are not there yet."""
         at = h & self.mask
         while len(h):
             _, first = np.unique(at, return_index=True)
             first = first[self.keys[at[first]] == 0]
-            self.keys[at[first]], self.values[at[first]] = h[first], values[first]
+            self.keys[at[first]], self.checks[at[first]], self.values[at[first]] = h[first], check[first], values[first]
             on = np.ones(len(h), bool)
             on[first] = False
-            h, values, at = h[on], values[on], (at[on] + np.uint64(1)) & self.mask
+            h, check, values, at = h[on], check[on], values[on], (at[on] + np.uint64(1)) & self.mask
 
     def _add(self, encoded: list[list[int]]) -> None:
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
@@ -115,7 +117,7 @@ class UnitTokenizer:
     def _encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a slice of texts and how many each text has."""
         if self.units > self.limit:
-            self._clear()
+            self.clear()
         docs = len(offsets) - 1
         spaces = np.flatnonzero(data == 0x20)
         # a unit for each text's start and each space: empty ones are dropped or unsafe
@@ -129,16 +131,16 @@ class UnitTokenizer:
         ends = np.where(np.append(~later[1:], True), offsets[doc + 1], ends)
         keep = later | (ends > starts)
         starts, ends, later, doc = starts[keep], ends[keep], later[keep], doc[keep]
-        p, inverse = powers(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * p[:-1], out=total[1:])
-        h = mix((total[ends] - total[starts]) * inverse[starts] ^ np.where(later, _LATER, np.uint64(0)))
+        h, check = Ranges(data, 4).of(starts, ends)
+        h ^= np.where(later, _LATER, np.uint64(0))
         h[h == 0] = 1
-        unit = self._find(h)
+        unit = self._find(h, check)
         missing = np.flatnonzero(unit < 0)
         if len(missing):
             fresh, first, back = np.unique(h[missing], return_index=True, return_inverse=True)
             raw, strings, safe = data.tobytes(), [], np.ones(len(fresh), bool)
+            # one hash, two units: their texts are encoded whole
+            apart = check[missing] != check[missing[first]][back]
             for j, (a, b, sp) in enumerate(zip(starts[missing[first]].tolist(), ends[missing[first]].tolist(), later[missing[first]].tolist())):
                 part = raw[a:b].decode()
                 if b - a > LONGEST_UNIT or sp and (not part or part[0].isspace()):
@@ -150,8 +152,8 @@ class UnitTokenizer:
             # the table stays at most two thirds full: what finds no room is used but not remembered
             room = max(0, (len(self.keys) * 2) // 3 - self.units)
             self._add(self._unit_ids(strings))
-            self._insert(fresh[safe][:room], number[safe][:room].astype(np.int32))
-            unit[missing] = number[back]
+            self._insert(fresh[safe][:room], check[missing[first]][safe][:room], number[safe][:room].astype(np.int32))
+            unit[missing] = np.where(apart, -1, number[back])
         kept = self.units, self.used
         whole = np.unique(doc[unit < 0])
         if len(whole):
