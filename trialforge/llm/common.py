@@ -10,12 +10,13 @@ import math
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text handled at once by the numpy kernels; one longer document is a slice of its own.
 SLICE_BYTES = 1 << 18
@@ -28,9 +29,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def row_key() -> dict[str, Column]:
-    """What tells rows apart where verdicts join back: doc_id (the greatest number for null) and a hash of the text."""
-    return {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "_hash": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))}
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """Each row whole in one column `row`, whatever its columns are called, with row_id and row_hash.
+
+    These two tell rows apart where verdicts join back: doc_id (the greatest number for null) and a
+    hash of the text.
+    """
+    row_id = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    return docs.select(whole_row(docs), row_id.alias("row_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row_hash"))
+
+
+def whole_row(docs: DataFrame) -> Column:
+    return F.struct(*[column(c) for c in docs.columns]).alias("row")
+
+
+def column(name: str) -> Column:
+    """A column by its name, with any characters in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def map_rows(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], names: list[str]) -> DataFrame:
+    """mapInArrow over rows by the places of their columns, whatever their names; the first len(names) columns remain."""
+    short = [f"c{k}" for k in range(len(rows.columns))]
+    fields = [StructField(c, f.dataType) for c, f in zip(short, rows.schema.fields[: len(names)])]
+    return rows.toDF(*short).mapInArrow(run, StructType(fields)).toDF(*names)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,7 +73,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table of `written` that no plan reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def input_bytes(df: DataFrame) -> int:

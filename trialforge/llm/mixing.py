@@ -12,12 +12,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialforge.llm.common import written
+from trialforge.llm.common import whole_row, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: No source is repeated more often than this.
 MOST_EPOCHS = 3
+#: Quality weight of a document with many symbols; one without has 1.
+LEAST_WEIGHT = 0.25
+#: Rows in a bucket of one source, about.
+BUCKET_ROWS = 5_000
 
 
 def words_of(text: Column) -> Column:
@@ -30,13 +34,13 @@ def _draw(seed: int) -> Column:
     return (F.conv(hex48, 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
-def sized(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """doc_id, source, size in words, and the exponential key of each row."""
+def sized(docs: DataFrame, seed: int = 17, whole: bool = False) -> DataFrame:
+    """doc_id, source, size in words, and the exponential key of each row; on request the row itself."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), symbols.cast("long").alias("symbols"), F.xxhash64(text).alias("text_hash"))
-    # quality weight: 1 without symbols, down to 0.25 for two symbols a word or more
-    weight = F.greatest(F.lit(0.25), 1 - F.col("symbols") * 0.375 / F.greatest(F.col("size"), F.lit(1)))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), symbols.cast("long").alias("symbols"), F.xxhash64(text).alias("text_hash"), *([whole_row(docs)] if whole else []))
+    # down to the least weight for two symbols a word or more
+    weight = F.greatest(F.lit(LEAST_WEIGHT), 1 - F.col("symbols") * 0.375 / F.greatest(F.col("size"), F.lit(1)))
     return d.withColumn("key", -F.ln(_draw(seed)) / weight).drop("symbols")
 
 
@@ -61,17 +65,20 @@ def source_targets(rows: DataFrame) -> DataFrame:
     return by.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * final).alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 17, buckets: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 17, whole: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, taken words, whole epochs and words of the last, partial taking.
 
     The document at the end of a budget is taken in part, so a source's taken words are its target
-    rounded down. A null text or doc_id is a row like others (size 0; one key for all null ids);
-    rows without a source are a source of their own, the last. No rows, no result. Other columns
-    are ignored.
+    rounded down. A null text or doc_id is a row like others (size 0; one key for all null ids,
+    which then come in order of size and a hash of the text); rows without a source are a source of
+    their own, the last. Repeated rows are rows of their own. No rows, no result. Other columns are
+    ignored; with `whole`, the column `row` has each row as it came.
     """
-    # the share of keys below: about even buckets, in key order
-    place = F.least(F.lit(buckets - 1), F.floor(buckets * (1 - F.exp(-F.col("key")))).cast("int"))
-    rows = written(sized(docs, seed).withColumn("bucket", place), "sized")
+    rows = written(sized(docs, seed, whole), "sized")
+    # key * LEAST_WEIGHT: no bucket has more than 1 / LEAST_WEIGHT times its share of a source
+    buckets = max(1024, rows.count() // BUCKET_ROWS)
+    place = F.least(F.lit(buckets - 1), F.floor(buckets * (1 - F.exp(-F.col("key") * LEAST_WEIGHT))).cast("int"))
+    rows = rows.withColumn("bucket", place)
     targets = source_targets(rows)
     size = F.col("source_size")
     epochs = F.when(size > 0, F.least(F.lit(MOST_EPOCHS), F.floor(F.col("target") / size)).cast("long")).otherwise(F.lit(0).cast("long"))
@@ -81,11 +88,30 @@ def mix(docs: DataFrame, seed: int = 17, buckets: int = 4096) -> DataFrame:
     sums = sums.select(F.col("source").alias("of_source"), F.col("bucket").alias("of_bucket"), before.alias("before"))
     plan = sums.join(targets, sums["of_source"].eqNullSafe(targets["of_source"])).select(sums["of_source"], "of_bucket", "before", "source_size", "target", "epochs", "rest")
     joined = rows.join(plan, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("bucket") == F.col("of_bucket")))
-    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     upto = F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0).cast("long"))
     partly = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.col("rest") - upto))
     joined = joined.withColumn("last_words", partly)
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("last_words")).alias("taken"), "epochs", "last_words", "text_hash")
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("last_words")).alias("taken"), "epochs", "last_words", *(["row"] if whole else []))
+
+
+def mixed(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """The rows with their own columns, each as often as its source's mix takes it.
+
+    A document that ends a source's budget is cut to the words that fit; n_chars follows the text.
+    """
+    plan = mix(docs, seed, whole=True).where("taken > 0")
+    copies = F.col("epochs") + (F.col("last_words") > 0).cast("long")
+    plan = plan.select("row", "epochs", "last_words", "size", F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("copy"))
+    cut = (F.col("copy") > F.col("epochs")) & (F.col("last_words") < F.col("size"))
+    whole = F.col("row")["text"].cast("string")
+    text = F.when(cut, F.array_join(F.slice(words_of(whole), F.lit(1), F.col("last_words").cast("int")), " ")).otherwise(whole)
+    rows = plan.select("row", cut.alias("cut"), text.alias("new_text"))
+    out = {c: F.col("row")[c] for c in docs.columns}
+    out["text"] = F.col("new_text")
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.col("cut"), F.length("new_text")).otherwise(out["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[e.alias(c) for c, e in out.items()])
 
 
 ORACLE = r"""

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.llm.common import Words, buffers, constants, grouped_rows, mix, slices, written
+from trialforge.llm.common import Words, buffers, constants, discard, grouped_rows, mix, slices, written
 
 BANDS, BAND_ROWS, SIGNATURE, BATCH = 25, 5, 128, 32
 CHUNK = 256
@@ -287,7 +287,8 @@ def components(links: DataFrame, most: int = 40) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "stars")
+        last, edges = edges, written(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "stars")
+        discard(last)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).head())
         if now == before:
             break
@@ -295,7 +296,9 @@ def components(links: DataFrame, most: int = 40) -> DataFrame:
     else:
         raise RuntimeError("components have not settled")
     roots = edges.select("v").distinct()
-    return written(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("comp"))), "components")
+    out = written(edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("comp"))), "components")
+    discard(edges)
+    return out
 
 
 def _group(*columns: str | Column) -> Column:

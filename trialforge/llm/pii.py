@@ -29,9 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from trialforge.llm.common import _WS, Ranges, buffers, constants, mix, slices, written
+from trialforge.llm.common import _WS, Ranges, buffers, constants, discard, keyed_rows, map_rows, mix, slices, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -356,7 +355,9 @@ def score_patterns(edges: DataFrame, degree: DataFrame, rounds: int, prior: floa
         if k + 1 < rounds:
             telling = patterns.where(F.col("confidence") >= least)
             doubt = edges.where("not seed").join(telling, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence") * 0.999)))).alias("noisy_or"))
-            believed = written(edges.join(doubt, "instance", "left").select("instance", "seed", "pattern", "n", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("noisy_or", F.lit(0.0))).alias("belief")), f"beliefs-{k}")
+            last, believed = believed, written(edges.join(doubt, "instance", "left").select("instance", "seed", "pattern", "n", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("noisy_or", F.lit(0.0))).alias("belief")), f"beliefs-{k}")
+            if k:
+                discard(last)
     return patterns
 
 
@@ -369,8 +370,9 @@ def find_pii(docs: DataFrame, rounds: int = 5, prior: float = 2.0, sure: float =
     A null or empty text has none. Every row gives a row, also for null or repeated ids. Other
     columns are ignored.
     """
-    rows = written(scan(docs), "pii-scan").withColumn("row", F.monotonically_increasing_id())
-    rows = written(rows, "pii-rows")
+    scanned = written(scan(docs), "pii-scan")
+    rows = written(scanned.withColumn("row", F.monotonically_increasing_id()), "pii-rows")
+    discard(scanned)
     flat = rows.select("row", F.explode("nodes").alias("node")).select("row", "node.*")
     links = flat.select("row", "seed", "start", "end", "instance", F.explode("patterns").alias("pattern"))
     edges = written(links.groupBy("instance", "pattern").agg(F.max("seed").alias("seed"), F.count("*").alias("n"), F.sum(F.col("seed").cast("long")).alias("n_seed")), "pii-edges")
@@ -397,20 +399,23 @@ def redact(text: str | None, spans: str) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def redacted(rows: DataFrame, schema: StructType) -> DataFrame:
-    """The columns of the schema, with the spans (null: none) taken out of text; n_chars follows the text."""
-    names = schema.fieldNames()
+def redacted(docs: DataFrame) -> DataFrame:
+    """The rows with their own columns and the kind in brackets for each span in text; n_chars follows the text."""
+    names = docs.columns
     at = names.index("text")
+    found = find_pii(docs).where("spans <> ''").select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("row_id"), F.col("text_hash").alias("row_hash"), F.col("spans").alias("found")).dropDuplicates(["row_id", "row_hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = batch.columns[:-1]
             if batch.columns[-1].null_count < batch.num_rows:
-                texts = [redact(t, s) if s else t for t, s in zip(columns[at].to_pylist(), batch.columns[-1].to_pylist())]
+                spans = batch.columns[-1].to_pylist()
+                texts = [redact(t, s) if s else t for t, s in zip(columns[at].to_pylist(), spans)]
                 columns[at] = pa.array(texts, columns[at].type)
                 if "n_chars" in names:
                     k = names.index("n_chars")
-                    columns[k] = pa.array([len(t) if s and t else n for t, s, n in zip(texts, batch.columns[-1].to_pylist(), columns[k].to_pylist())], columns[k].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                    columns[k] = pa.array([len(t) if s and t else n for t, s, n in zip(texts, spans, columns[k].to_pylist())], columns[k].type)
+            yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(names))])
 
-    return rows.select(*names, "spans").mapInArrow(run, schema)
+    joined = keyed_rows(docs).join(found, ["row_id", "row_hash"], "left")
+    return map_rows(joined.select("row.*", F.col("found")), run, names)

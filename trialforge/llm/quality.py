@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.llm.common import Words, buffers, constants, mix, slices
+from trialforge.llm.common import Words, buffers, constants, map_rows, mix, slices
 
 ROWS, DIMS, NONZERO, REACH = 1 << 14, 32, 2, 2
 BLOCK = 48
+#: Blocks of partial sums that one task adds.
+FAN_IN = 64
 WIDTH = 6 * DIMS + 1
 
 
@@ -88,11 +90,16 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(b.as_py(), "<f8") for b in table.column("sums"))
-        return pa.table({"part": table.column("part")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"part": table.column("part")[:1], "salt": table.column("salt")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
     text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    sums, left = text.mapInArrow(count, "part int, sums binary").withColumn("salt", F.spark_partition_id()), text.rdd.getNumPartitions()
+    # a task adds FAN_IN blocks, however many tasks there were
+    while left > 1:
+        left = -(-left // FAN_IN)
+        sums = sums.withColumn("salt", F.col("salt") % left).groupBy("part", "salt").applyInArrow(add, "part int, salt int, sums binary")
     # 64 rows of fixed size reach the driver
-    parts = {r["part"]: r["sums"] for r in text.mapInArrow(count, "part int, sums binary").groupBy("part").applyInArrow(add, "part int, sums binary").collect()}
+    parts = {r["part"]: r["sums"] for r in sums.collect()}
     if not parts:
         return np.zeros((ROWS, DIMS), np.float32)
     vectors = np.concatenate([np.frombuffer(parts[k], "<f8") for k in range(64)]).reshape(ROWS, DIMS)
@@ -189,8 +196,8 @@ def held_out(column: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> tuple[np.ndarray, Network]:
     """Word vectors of all documents, and a network fitted to at most `most` labelled rows that aren't held out.
 
-    The sample is taken by hash of doc_id. Of rows that share a doc_id the labels' least counts;
-    null labels don't. Without labelled rows every score is 0.5.
+    The sample is taken by hash of doc_id. Of rows that share a doc_id the labels' least counts, and
+    the text with the least hash; null labels don't. Without labelled rows every score is 0.5.
     """
     vectors = word_vectors(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).where(F.col("quality").isNotNull() & ~held_out())
@@ -206,8 +213,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> tuple[np.nd
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # `most` bounds the sample
-    joined = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
-    found = sorted((r["doc_id"], r["features"], r["quality"]) for r in joined.mapInArrow(describe, "doc_id long, quality double, features binary").limit(4 * most).collect())
+    joined = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")).select("doc_id", "quality", "text")
+    found = sorted((r["doc_id"], r["features"], r["quality"]) for r in joined.mapInArrow(describe, "doc_id long, quality double, features binary").collect())
     x = np.array([np.frombuffer(r[1], np.float32) for r in found]).reshape(-1, WIDTH)
     return vectors, fit(x, np.array([r[2] for r in found]))
 
@@ -236,7 +243,7 @@ def keep(docs: DataFrame, vectors: np.ndarray, net: Network, cut: float = 0.3) -
             p = [net.probabilities(features(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], vectors)) for x, y in slices(offsets)]
             yield batch.filter(pa.array(np.concatenate([np.zeros(0), *p]) >= cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run, docs.columns)
 
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = 20_000, cut: float = 0.3) -> DataFrame:
