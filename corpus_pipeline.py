@@ -1,8 +1,9 @@
 """Corpus pipeline: quality filter, near-dedup, personal data, source mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all rows that the
-stage before it kept. All but the last return the columns of documents. Where a stage's verdicts
-join back to the texts, the key is (doc_id, hash of the text), so rows with null or repeated ids
+stage before it kept. All but the last return the columns of documents, and further columns of
+their input under any names. Where a stage's verdicts join back to the texts, rows are carried
+whole in one column and the key is (doc_id, hash of the text), so rows with null or repeated ids
 keep apart.
 """
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialforge.llm import mixing, neardup, packing, pii, quality
-from trialforge.llm.common import documents, row_key, written
+from trialforge.llm.common import documents, keyed_rows, written
 
 #: Stages hold a classifier, hashed graphs and a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
@@ -26,18 +27,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each group of near copies (five words, similarity 0.8); equal rows once."""
-    first = neardup.near_duplicates(docs).where("first").select(F.col("key_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
-    keyed = docs.withColumns(row_key())
-    kept = keyed.join(first, (F.col("_id") == F.col("kept_id")) & (F.col("_hash") == F.col("kept_hash")), "left_semi")
-    return kept.dropDuplicates(["_id", "_hash"]).select(docs.columns)
+    first = neardup.near_duplicates(docs).where("first").select(F.col("key_id").alias("row_id"), F.col("text_hash").alias("row_hash")).distinct()
+    kept = keyed_rows(docs).join(first, ["row_id", "row_hash"], "left_semi")
+    return kept.dropDuplicates(["row_id", "row_hash"]).select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put the kind in brackets for each span of personal data."""
-    found = pii.find_pii(docs).where("spans <> ''").select(F.coalesce("doc_id", F.lit(neardup.LAST)).alias("found_id"), F.col("text_hash").alias("found_hash"), "spans").dropDuplicates(["found_id", "found_hash"])
-    keyed = docs.withColumns(row_key())
-    joined = keyed.join(found, (F.col("_id") == F.col("found_id")) & (F.col("_hash") == F.col("found_hash")), "left")
-    return pii.redacted(joined, docs.schema)
+    return pii.redacted(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,16 +42,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A document that ends a source's budget is cut to the words that fit.
     """
-    plan = mixing.mix(docs).where("taken > 0").select(F.coalesce("doc_id", F.lit(neardup.LAST)).alias("plan_id"), F.col("text_hash").alias("plan_hash"), "size", "epochs", "last_words").dropDuplicates(["plan_id", "plan_hash"])
-    keyed = docs.withColumns(row_key())
-    joined = keyed.join(plan, (F.col("_id") == F.col("plan_id")) & (F.col("_hash") == F.col("plan_hash")))
-    copies = F.col("epochs") + (F.col("last_words") > 0).cast("long")
-    cut = (F.col("_copy") > F.col("epochs")) & (F.col("last_words") < F.col("size"))
-    text = F.when(cut, F.array_join(F.slice(mixing.words_of(F.col("text")), F.lit(1), F.col("last_words").cast("int")), " ")).otherwise(F.col("text"))
-    out = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return mixing.mixed(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
