@@ -78,18 +78,19 @@ def mix(docs: DataFrame, seed: int = 17, whole: bool = False) -> DataFrame:
     # key * LEAST_WEIGHT: no bucket has more than 1 / LEAST_WEIGHT times its share of a source
     buckets = max(1024, rows.count() // BUCKET_ROWS)
     place = F.least(F.lit(buckets - 1), F.floor(buckets * (1 - F.exp(-F.col("key") * LEAST_WEIGHT))).cast("int"))
-    rows = rows.withColumn("bucket", place)
+    # one key for rows without a source, so that the window and the join share one exchange
+    rows = rows.withColumn("bucket", place).withColumn("mix_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     targets = source_targets(rows)
     size = F.col("source_size")
     epochs = F.when(size > 0, F.least(F.lit(MOST_EPOCHS), F.floor(F.col("target") / size)).cast("long")).otherwise(F.lit(0).cast("long"))
     targets = targets.withColumn("epochs", epochs).withColumn("rest", F.floor(F.col("target") - F.col("epochs") * size).cast("long")).withColumnRenamed("source", "of_source")
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("bucket_size")
-    sums = sums.select(F.col("source").alias("of_source"), F.col("bucket").alias("of_bucket"), before.alias("before"))
-    plan = sums.join(targets, sums["of_source"].eqNullSafe(targets["of_source"])).select(sums["of_source"], "of_bucket", "before", "source_size", "target", "epochs", "rest")
-    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("bucket") == F.col("of_bucket")))
-    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
-    upto = F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0).cast("long"))
+    sums = sums.select(F.col("source").alias("summed"), "bucket", before.alias("before"))
+    plan = sums.join(targets, F.col("summed").eqNullSafe(F.col("of_source"))).select(F.coalesce(F.concat(F.lit("="), "summed"), F.lit("")).alias("mix_key"), "bucket", "before", "source_size", "target", "epochs", "rest")
+    within = Window.partitionBy("mix_key", "bucket").orderBy("key", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0).cast("long"))).join(plan, ["mix_key", "bucket"])
+    upto = F.col("before") + F.col("within")
     partly = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.col("rest") - upto))
     joined = joined.withColumn("last_words", partly)
     return joined.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("last_words")).alias("taken"), "epochs", "last_words", *(["row"] if whole else []))
