@@ -371,7 +371,8 @@ def test_hosts(spark):
     rows = [(k, bad if k % 10 else good, "junk") for k in range(100)] + [(100 + k, good, f"s{k % 3}") for k in range(100)] + [(300, good, None)]
     got = {r["doc_id"]: r for r in rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert not got[0]["base_failed"] and not got[0]["kept"] and got[100]["kept"] and got[300]["kept"]
-    assert 0.5 < got[0]["host_rate"] < 0.9 and got[100]["host_rate"] < 0.5
+    highest = lambda r: max(r[f"rate_{name}"] for name in rules.RULES)
+    assert 0.5 < highest(got[0]) < 0.9 and highest(got[100]) < 0.5
 
 
 def test_rules_are_native(docs):
@@ -380,6 +381,18 @@ def test_rules_are_native(docs):
     assert rules.quality_rules(docs.where("false")).count() == 0
 
 
+def test_each_rule_fails_its_own_hosts(spark):
+    """Hosts of junk by one rule fail, though each of their documents passes the base verdict."""
+    word = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    good = [(k, word(k), f"good{k % 9}") for k in range(900)]
+    symbols = [(1000 + k, word(k).replace(" ", " || "), "bars") for k in range(60)]
+    lines = [(2000 + k, word(k) + "\nsame line\nsame line\nsame line", "copies") for k in range(60)]
+    got = rules.quality_rules(spark.createDataFrame(good + symbols + lines, "doc_id long, text string, source string")).collect()
+    assert not any(r["base_failed"] for r in got)
+    assert {r["doc_id"] for r in got if not r["kept"]} == set(range(1000, 1060)) | set(range(2000, 2060))
+    assert got[0]["rate_symbols"] < 0.5 or got[0]["doc_id"] >= 1000
+
+
 # 9
 
 

@@ -40,7 +40,8 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.quality_rules(documents(spark, sf_dir)).withColumn("host_rate", F.round("host_rate", 9))
+    rates = {f"rate_{name}": F.round(f"rate_{name}", 9) for name in rules.RULES}
+    return rules.quality_rules(documents(spark, sf_dir)).withColumns(rates)
 
 
 def op9_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 """Host-level quality rules with DataFrame functions only.
 
-Each document gets counts and a base verdict. Failures are summed by host (with partial sums, so
-one host with a third of all rows is no hot task), the hosts' rates are shrunk by a beta prior
-fitted to all hosts by moments, and the verdict on the host joins back to its documents.
+Each document gets counts, a verdict by each of four rules and a base verdict. Failures of each rule
+are summed by host (with partial sums, so one host with a third of all rows is no hot task), the
+hosts' rates are shrunk by a beta prior for each rule, fitted to all hosts by moments, and the
+verdict on the host joins back to its documents. A host fails where its shrunk rate of any rule is
+above the threshold.
 """
 
 from __future__ import annotations
@@ -15,6 +17,13 @@ from trialforge.llm.common import written
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: What a document fails by, from its counts.
+RULES = {
+    "short": "n_words < 20",
+    "repeats": "100 * n_repeat_words > 30 * n_words",
+    "symbols": "2 * n_symbols > n_words AND n_words > 0",
+    "lines": "10 * n_dup_lines > 3 * n_lines",
+}
 
 
 def words_of(text: Column) -> Column:
@@ -33,6 +42,7 @@ def document_rules(docs: DataFrame, host: str = "source") -> DataFrame:
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size("hashes") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("hashes") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("hashes"), i, F.lit(WINDOW))))).alias("windows"),
     )
@@ -47,25 +57,31 @@ def document_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     steps = F.transform("places", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("places", k + 1) - p, F.lit(WINDOW))))
     covered = F.coalesce(F.aggregate(steps, F.lit(0).cast("long"), lambda acc, s: acc + s), F.lit(0).cast("long"))
     d = d.withColumn("n_repeat_words", covered).drop("windows", "repeats", "sorted", "places")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return d.withColumn("base_failed", failed)
+    return d.withColumn("base_failed", F.expr(f"({RULES['short']}) OR ({RULES['repeats']})"))
 
 
 def host_verdicts(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Failure rate of each host, shrunk to the beta prior that the hosts' rates have by moments."""
-    hosts = rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failures"))
-    rate = F.col("failures") / F.col("n")
-    # one row, a pair of numbers
-    mean, spread = hosts.agg((F.sum("failures") / F.sum("n")).alias("mean"), F.var_pop(rate).alias("spread")).head()
-    mean, spread = mean or 0.0, spread or 0.0
-    # prior documents, between 1 and 1000
-    strength = min(1000.0, max(1.0, mean * (1 - mean) / spread - 1)) if spread else 1000.0
-    shrunk = (F.col("failures") + mean * strength) / (F.col("n") + strength)
-    return hosts.select("host", "n", "failures", shrunk.alias("host_rate"), (shrunk > threshold).alias("host_failed"))
+    """Failure rates of each host by rule, shrunk to the beta prior that the hosts' rates have by moments."""
+    failures = [F.sum(F.expr(f"cast({rule} AS long)")).alias(f"failed_{name}") for name, rule in RULES.items()]
+    hosts = rows.groupBy("host").agg(F.count("*").alias("n"), *failures)
+    moments = []
+    for name in RULES:
+        failed = F.col(f"failed_{name}")
+        moments += [(F.sum(failed) / F.sum("n")).alias(f"mean_{name}"), F.var_pop(failed / F.col("n")).alias(f"spread_{name}")]
+    # one row, a pair of numbers for each rule
+    found = hosts.agg(*moments).head()
+    rates = []
+    for name in RULES:
+        mean, spread = found[f"mean_{name}"] or 0.0, found[f"spread_{name}"] or 0.0
+        # prior documents, between 1 and 1000
+        strength = min(1000.0, max(1.0, mean * (1 - mean) / spread - 1)) if spread else 1000.0
+        rates.append(((F.col(f"failed_{name}") + mean * strength) / (F.col("n") + strength)).alias(f"rate_{name}"))
+    highest = F.greatest(*[F.col(f"rate_{name}") for name in RULES])
+    return hosts.select("host", "n", *rates).withColumn("host_failed", highest > threshold)
 
 
 def quality_rules(docs: DataFrame, host: str = "source", threshold: float = 0.5) -> DataFrame:
-    """Counts, base_failed, the host's shrunk failure rate and kept.
+    """Counts, base_failed, the host's shrunk failure rate by each rule, and kept.
 
     Every row gives a row. Rows without a host are one host of their own. A null text has no
     words and fails. Other columns are ignored.
@@ -74,7 +90,7 @@ def quality_rules(docs: DataFrame, host: str = "source", threshold: float = 0.5)
     verdicts = host_verdicts(rows, threshold).withColumnRenamed("host", "of_host")
     joined = rows.join(verdicts, F.col("host").eqNullSafe(F.col("of_host")), "left")
     kept = ~F.col("base_failed") & ~F.col("host_failed")
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "host_rate")
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), *[f"rate_{name}" for name in RULES])
 
 
 ORACLE = r"""
@@ -91,27 +107,39 @@ WITH d AS (
     SELECT doc_id, sum(least(8, coalesce(following - i, 8))) AS n_repeat_words
     FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM r) GROUP BY doc_id
 ), l AS (
-    SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
+    SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
     WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
 ), m AS (
     SELECT w.doc_id, w.source, len(words)::BIGINT AS n_words,
            length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
            (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-           coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+           coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
     FROM w LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)
 ), f AS (
     SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
+), r4 AS (
+    SELECT source, (n_words < 20)::INT AS f1, (100 * n_repeat_words > 30 * n_words)::INT AS f2,
+           (2 * n_symbols > n_words AND n_words > 0)::INT AS f3, (10 * n_dup_lines > 3 * n_lines)::INT AS f4
+    FROM f
+), long AS (
+    SELECT source, unnest(['short', 'repeats', 'symbols', 'lines']) AS rule, unnest([f1, f2, f3, f4]) AS failed FROM r4
 ), h AS (
-    SELECT source, count(*) AS n, sum(base_failed::INT)::BIGINT AS failures FROM f GROUP BY source
+    SELECT source, rule, count(*) AS n, sum(failed)::BIGINT AS failures FROM long GROUP BY source, rule
 ), p AS (
-    SELECT sum(failures) / sum(n) AS mean, var_pop(failures / n) AS spread FROM h
+    SELECT rule, sum(failures) / sum(n) AS mean, var_pop(failures / n) AS spread FROM h GROUP BY rule
 ), s AS (
-    SELECT mean, CASE WHEN spread = 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0, mean * (1 - mean) / spread - 1)) END AS strength FROM p
+    SELECT rule, mean, CASE WHEN spread = 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0, mean * (1 - mean) / spread - 1)) END AS strength FROM p
 ), v AS (
-    SELECT source, (failures + mean * strength) / (n + strength) AS host_rate FROM h, s
+    SELECT source, max((failures + mean * strength) / (n + strength)) FILTER (rule = 'short') AS rate_short,
+           max((failures + mean * strength) / (n + strength)) FILTER (rule = 'repeats') AS rate_repeats,
+           max((failures + mean * strength) / (n + strength)) FILTER (rule = 'symbols') AS rate_symbols,
+           max((failures + mean * strength) / (n + strength)) FILTER (rule = 'lines') AS rate_lines
+    FROM h JOIN s USING (rule) GROUP BY source
 )
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT host_rate > 0.5 AS kept, round(host_rate, 9) AS host_rate
+       NOT base_failed AND NOT greatest(rate_short, rate_repeats, rate_symbols, rate_lines) > 0.5 AS kept,
+       round(rate_short, 9) AS rate_short, round(rate_repeats, 9) AS rate_repeats,
+       round(rate_symbols, 9) AS rate_symbols, round(rate_lines, 9) AS rate_lines
 FROM f LEFT JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
