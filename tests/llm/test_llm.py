@@ -145,7 +145,7 @@ def test_units_equal_whole_texts():
 
 
 def test_packing(docs):
-    got = packing.pack(docs, seq_len=64, chunk_rows=7).collect()
+    got = packing.pack(docs, seq_len=64, part_rows=7).collect()
     whole = Counter()
     by_doc = {}
     for r in got:
@@ -174,10 +174,52 @@ def test_packing_of_nothing(none):
     assert packing.pack(none).count() == 0
 
 
-def test_best_fit_takes_the_smallest_gap():
-    plan = packing.best_fit({7: 1, 6: 1, 4: 1, 3: 1}, 10)
-    place = {length: (seq, at) for length, _, _, seq, at in plan}
-    assert place[3] == (place[7][0], 7) and place[4] == (place[6][0], 6)
+def placed(spark, lengths, seq_len, part_rows=100):
+    rows = spark.createDataFrame(list(enumerate(lengths)), "pid long, length long")
+    return {r["pid"]: (r["seq"], r["offset"]) for r in packing.Rounds(rows, seq_len, part_rows).run().collect()}
+
+
+def test_best_fit_takes_the_smallest_gap(spark):
+    place = placed(spark, [7, 6, 4, 3], 10)
+    assert place[3] == (place[0][0], 7) and place[2] == (place[1][0], 6)
+
+
+@pytest.mark.parametrize("part_rows", [20, 1000])
+def test_rounds_are_close_to_best_fit_decreasing(spark, part_rows):
+    rng = random.Random(3)
+    lengths = [min(64, max(1, int(rng.expovariate(1 / 14)))) for _ in range(400)]
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        fits = [k for k, g in enumerate(gaps) if g >= n]
+        if fits:
+            gaps[min(fits, key=gaps.__getitem__)] -= n
+        else:
+            gaps.append(64 - n)
+    got = placed(spark, lengths, 64, part_rows)
+    assert sorted(got) == list(range(400))
+    assert len({s for s, _ in got.values()}) <= len(gaps) + (1 if part_rows > 20 else 5)
+    ends = {}
+    for k, (s, at) in got.items():
+        ends.setdefault(s, []).append((at, lengths[k]))
+    assert all(sum(n for _, n in e) <= 64 and [a for a, _ in sorted(e)] == [sum(n for _, n in sorted(e)[:k]) for k in range(len(e))] for e in ends.values())
+
+
+def test_what_partitions_leave_to_each_other():
+    """Each piece left meets the nearest free gap of an earlier partition, as one sweep over all would have it."""
+    rng = random.Random(1)
+    for _ in range(200):
+        counts = [(p, rng.randrange(4), rng.randrange(4)) for p in range(6)]
+        runs, without = packing.carried(counts)
+        got = {(p, r): (q, last - (r - a)) for p, a, b, q, last in runs for r in range(a, b)}
+        stack, want, alone = [], {}, 0
+        for p, n_pieces, n_gaps in counts:
+            for r in range(n_pieces):
+                if stack:
+                    want[p, r] = stack.pop()
+                else:
+                    alone += 1
+            stack += [(p, r) for r in range(n_gaps)]
+        assert got == want and without == alone
 
 
 def test_token_files(docs):

@@ -1,12 +1,22 @@
 """Best-fit packing of tokenized documents into sequences of at most seq_len tokens.
 
-Documents longer than a sequence are cut (the short piece first, then whole sequences). Pieces
-and gaps are kept range-sorted by size. Sizes are whole numbers up to seq_len, so the rounds
-work on runs of equal pieces and equal gaps: each run of pieces, longest first, is matched with
-its successor among the gaps (the smallest that holds it), the ranks within the two runs settle
-which piece gets which gap, the gaps shrink, and the round repeats until the run is placed; new
-sequences open only where no gap holds a piece. The driver sees counts of sizes alone (at most
-seq_len rows); which piece has which rank is worked out by Spark, in chunks of bounded size.
+Documents longer than a sequence are cut (the short piece first, then whole sequences). Pieces are
+placed in bulk-synchronous rounds, longest first. A round takes the pieces of one band of lengths:
+
+1. Pieces and the gaps of open sequences are sorted by size over range partitions, longest first,
+   gaps before pieces of their size. A gap that holds several pieces of the band stands there as
+   often.
+2. Each partition sweeps its part: the successor of a piece is the smallest gap seen and not yet
+   taken, the top of a stack. Pieces that find no gap in their partition and gaps that find no piece
+   are ranked. From the counts of partitions alone (the driver sees two numbers for each) follows
+   which ranks of pieces meet which ranks of gaps in earlier partitions, so that no two pieces get
+   one gap; a join by rank makes those matches.
+3. Gaps shrink by what they got, and the round is repeated until no piece finds a gap. Only then the
+   rest of the band opens new sequences, as many pieces in each as the longest of the band allows.
+
+Bands are (seq_len / (k + 1), seq_len / k] for k up to 8 and halve from there, so there are some
+fifteen bands and about two rounds for each, whatever the input. All state is in tables in the
+shared folder.
 """
 
 from __future__ import annotations
@@ -16,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialforge.llm.common import tokenizer_path, written
+from trialforge.llm.common import discard, tokenizer_path, written
 from trialforge.llm.tokens import tokenizer
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -46,61 +57,165 @@ def pieces(docs: DataFrame, path: str, seq_len: int, end_id: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
-def best_fit(counts: dict[int, int], seq_len: int) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, rank_from, rank_to, sequence, offset): the piece of rank r goes to sequence + r - rank_from."""
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    out: list[tuple[int, int, int, int, int]] = []
-    opened = 0
-    for size in sorted((s for s in counts if s > 0), reverse=True):
-        left, rank = counts[size], 0
-        while left:
-            gap = min((g for g in gaps if g >= size), default=0)
-            fit = (gap or seq_len) // size
-            need = -(-left // fit)
-            if gap:
-                lo, hi = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap]
-                if hi - lo > need:
-                    gaps.setdefault(gap, []).append((lo + need, hi))
-                    hi = lo + need
+def bands(seq_len: int) -> list[tuple[int, int]]:
+    """(highest, below the lowest) lengths of each band, longest first; whole sequences apart."""
+    edges = [seq_len - 1] + [seq_len // k for k in range(2, 9)]
+    while edges[-1] > 0:
+        edges.append(edges[-1] // 2)
+    edges = sorted(set(edges), reverse=True)
+    return [(hi, lo) for hi, lo in zip(edges, edges[1:]) if hi > lo]
+
+
+SWEPT = "found int, part int, rank long, pid long, length long, seq long, nth int, gap long"
+MATCHED, PIECE, GAP = 0, 1, 2
+
+
+def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches of one range partition, and what is left of it, ranked in order.
+
+    Rows are sorted by size from high to low: gaps (pid null) and pieces. The stack holds gaps, the
+    smallest on top.
+    """
+    part = TaskContext.get().partitionId()
+    stack: list[tuple[int, int, int]] = []
+    n_left = 0
+    for batch in batches:
+        rows: list[tuple] = []
+        pids, sizes, seqs, nths, gaps = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("pid", "size", "seq", "nth", "gap"))
+        for pid, size, seq, nth, gap in zip(pids, sizes, seqs, nths, gaps):
+            if pid is None:
+                stack.append((seq, nth, gap))
+            elif stack:
+                rows.append((MATCHED, part, 0, pid, size, *stack.pop()))
             else:
-                gap, lo, hi = seq_len, opened, opened + need
-                opened = hi
-            end = hi
-            for layer in range(fit):
-                take = min(left, end - lo)
-                room = gap - layer * size
-                if take < end - lo and room:
-                    gaps.setdefault(room, []).append((lo + take, end))
-                if not take:
+                rows.append((PIECE, part, n_left, pid, size, 0, 0, 0))
+                n_left += 1
+        yield _swept(rows)
+    for k in range(0, len(stack), 1 << 16):
+        yield _swept([(GAP, part, k + i, 0, 0, *g) for i, g in enumerate(stack[k : k + (1 << 16)])])
+
+
+def _swept(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 8
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["found", "part", "rank", "pid", "length", "seq", "nth", "gap"])
+
+
+def carried(counts: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """What partitions with (part, pieces left, gaps left) leave to each other.
+
+    Runs (part, rank_from, rank_to, gap_part, last_rank): the piece of rank r gets the gap of rank
+    last_rank - (r - rank_from). And the number of pieces without any gap.
+    """
+    stack: list[list[int]] = []
+    runs, without = [], 0
+    for part, pieces_left, gaps_left in sorted(counts):
+        at = 0
+        while at < pieces_left and stack:
+            top = stack[-1]
+            n = min(pieces_left - at, top[1])
+            runs.append((part, at, at + n, top[0], top[1] - 1))
+            at, top[1] = at + n, top[1] - n
+            if not top[1]:
+                stack.pop()
+        without += pieces_left - at
+        if gaps_left:
+            stack.append([part, gaps_left])
+    return runs, without
+
+
+def _located(placed: DataFrame, seq_len: int) -> DataFrame:
+    """pid, seq and offset of matched pieces: those of one gap one after another."""
+    before = F.coalesce(F.sum("length").over(Window.partitionBy("seq").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.select("pid", "seq", (F.lit(seq_len) - F.col("gap") + before).cast("long").alias("offset"), "length")
+
+
+class Rounds:
+    """Open gaps (seq, gap), placements (pid, seq, offset, length) and the pieces (pid, length) of each band."""
+
+    def __init__(self, rows: DataFrame, seq_len: int, part_rows: int):
+        self.spark, self.seq_len, self.part_rows = rows.sparkSession, seq_len, part_rows
+        self.rows = rows
+        self.placed: list[DataFrame] = []
+        self.gaps: DataFrame | None = None
+        self.opened = 0
+
+    def match(self, docs: DataFrame, hi: int, lo: int, n: int) -> tuple[DataFrame, int]:
+        """One round; the pieces that are left and their number."""
+        copies = F.greatest(F.lit(1), F.floor(F.col("gap") / hi)).cast("int")
+        slots = self.gaps.where(F.col("gap") > lo).select(F.lit(None).cast("long").alias("pid"), F.least(F.col("gap"), F.lit(hi)).cast("long").alias("size"), "seq", F.explode(F.sequence(F.lit(0), copies - 1)).alias("nth"), "gap")
+        events = docs.select("pid", F.col("length").alias("size"), F.lit(0).cast("long").alias("seq"), F.lit(0).alias("nth"), F.lit(0).cast("long").alias("gap")).unionByName(slots)
+        order = [F.desc("size"), F.asc_nulls_first(F.col("pid").isNotNull()), F.desc("gap"), F.desc("seq"), F.desc("nth"), F.asc("pid")]
+        swept = written(events.repartitionByRange(max(1, -(-2 * n // self.part_rows)), *order).sortWithinPartitions(*order).mapInArrow(sweep, SWEPT), "swept")
+        counts = swept.groupBy("part").agg(F.count_if(F.col("found") == PIECE).alias("pieces"), F.count_if(F.col("found") == GAP).alias("gaps"), F.count_if(F.col("found") == MATCHED).alias("matched")).collect()
+        runs, without = carried([(r["part"], r["pieces"], r["gaps"]) for r in counts])
+        if without == n:
+            discard(swept)
+            return docs, n
+        of_gap = swept.where(F.col("found") == GAP).select(F.col("part").alias("gap_part"), F.col("rank").alias("gap_rank"), "seq", "nth", "gap")
+        # a run for each pair of neighbouring partitions at most
+        table = F.broadcast(self.spark.createDataFrame(runs, "part int, rank_from long, rank_to long, gap_part int, last_rank long"))
+        left = swept.where(F.col("found") == PIECE).select("part", "rank", "pid", "length").join(table.withColumnRenamed("part", "of_part"), (F.col("part") == F.col("of_part")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")), "left")
+        left = left.withColumn("gap_rank", F.col("last_rank") - F.col("rank") + F.col("rank_from"))
+        met = left.where("gap_part is not null").join(of_gap, ["gap_part", "gap_rank"]).select("pid", "length", "seq", "nth", "gap")
+        matched = swept.where(F.col("found") == MATCHED).select("pid", "length", "seq", "nth", "gap")
+        placed = written(_located(matched.unionByName(met) if runs else matched, self.seq_len), "placed")
+        self.placed.append(placed)
+        taken = placed.groupBy("seq").agg(F.sum("length").alias("taken"))
+        gaps = self.gaps.join(taken, "seq", "left").select("seq", (F.col("gap") - F.coalesce("taken", F.lit(0))).alias("gap")).where("gap > 0")
+        last, self.gaps = self.gaps, written(gaps, "gaps")
+        discard(last)
+        rest = docs.limit(0)
+        if without:
+            rest = written(left.where("gap_part is null").select("pid", "length"), "left")
+        discard(swept)
+        return rest, without
+
+    def open(self, docs: DataFrame, each: int, n: int) -> None:
+        """New sequences for n pieces, `each` in one by rank of length."""
+        chunks = max(1, -(-n // self.part_rows))
+        dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("pid"), F.lit(chunks)))
+        # within chunks of bounded size, longest first; a chunk's last sequence may have room for more
+        rank = F.row_number().over(Window.partitionBy("chunk").orderBy(F.desc("length"), "pid")) - 1
+        ranked = dealt.withColumn("rank", rank).select("pid", "length", "chunk", F.floor(F.col("rank") / each).alias("row"), (F.col("rank") % each).cast("int").alias("nth"))
+        # numbers of sequences: chunk, chunk + chunks, chunk + 2 * chunks, ...
+        named = ranked.select("pid", "length", (F.lit(self.opened) + F.col("row") * chunks + F.col("chunk")).cast("long").alias("seq"), "nth", F.lit(self.seq_len).cast("long").alias("gap"))
+        placed = written(_located(named, self.seq_len), "placed")
+        self.placed.append(placed)
+        fresh = placed.groupBy("seq").agg((F.lit(self.seq_len) - F.sum("length")).alias("gap")).where("gap > 0")
+        last, self.gaps = self.gaps, written(fresh if self.gaps is None else self.gaps.unionByName(fresh), "gaps")
+        if last is not None:
+            discard(last)
+        self.opened = (placed.agg(F.max("seq")).head()[0] or 0) + 1
+
+    def run(self) -> DataFrame:
+        cuts = [(self.seq_len, self.seq_len - 1), *bands(self.seq_len)]
+        band = F.lit(0)
+        for k, (hi, _) in enumerate(cuts):
+            band = F.when(F.col("length") <= hi, F.lit(k)).otherwise(band)
+        # a number for each band
+        sizes = {r["band"]: r["n"] for r in self.rows.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()}
+        for k, (hi, lo) in enumerate(cuts):
+            docs, n = self.rows.where((F.col("length") <= hi) & (F.col("length") > lo)).select("pid", "length"), sizes.get(k, 0)
+            while n and self.gaps is not None and (self.gaps.agg(F.max("gap")).head()[0] or 0) > lo:
+                docs, left = self.match(docs, hi, lo, n)
+                if left == n:
                     break
-                out.append((size, rank, rank + take, lo, seq_len - room))
-                rank, left, end = rank + take, left - take, lo + take
-            else:
-                if gap - fit * size:
-                    gaps.setdefault(gap - fit * size, []).append((lo, end))
-    return out
+                n = left
+            if n:
+                self.open(docs, self.seq_len // hi, n)
+        out = self.placed[0] if self.placed else self.rows.limit(0).select("pid", F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("offset"), "length")
+        for more in self.placed[1:]:
+            out = out.unionByName(more)
+        return out
 
 
-def pack(docs: DataFrame, path: str | None = None, seq_len: int = 1024, end_id: int = 2, chunk_rows: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, seq_len: int = 1024, end_id: int = 2, part_rows: int = 100_000) -> DataFrame:
     """Piece rows with sequence_id and offset, gapless from 0 in each sequence.
 
     A null or empty text is one piece with the end id. Rows with a null or repeated doc_id are
     packed as documents of their own. No documents, no rows. Other columns are ignored.
     """
-    rows = written(pieces(docs, path or tokenizer_path(), seq_len, end_id), "pieces")
-    spark = rows.sparkSession
-    counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    plan = best_fit(counts, seq_len)
-    chunks = max(1, -(-sum(counts.values()) // chunk_rows))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)))
-    sizes = rows.groupBy("length", "chunk").agg(F.count("*").alias("n"))
-    before = sizes.select("length", "chunk", (F.sum("n").over(Window.partitionBy("length").orderBy("chunk")) - F.col("n")).alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "chunk").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = rows.withColumn("within", within - 1).join(before, ["length", "chunk"])
-    runs = spark.createDataFrame(plan, "run_length long, rank_from long, rank_to long, sequence long, at long").coalesce(1)
-    rank = F.col("before") + F.col("within")
-    # bounded: a few runs for each of at most seq_len lengths
-    placed = ranked.join(F.broadcast(runs), (F.col("length") == F.col("run_length")) & (rank >= F.col("rank_from")) & (rank < F.col("rank_to")))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + rank - F.col("rank_from")).alias("sequence_id"), F.col("at").alias("offset"))
+    rows = written(pieces(docs, path or tokenizer_path(), seq_len, end_id).withColumn("pid", F.monotonically_increasing_id()), "pieces")
+    placed = Rounds(rows, seq_len, part_rows).run().select("pid", F.col("seq").alias("sequence_id"), "offset")
+    return rows.join(placed, "pid").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
