@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.llm.common import Words, buffers, constants, discard, grouped_rows, mix, slices, written
+from trialforge.llm.common import Words, buffers, constants, discard, grouped_rows, mix, slices, tidy, written
 
 BANDS, BAND_ROWS, SIGNATURE, BATCH = 25, 5, 128, 32
 CHUNK = 256
@@ -64,6 +64,8 @@ def sketch(docs: DataFrame, n: int) -> DataFrame:
     a, b = constants(SIGNATURE, 5), constants(SIGNATURE, 6)
     salt = constants(BANDS * BAND_ROWS, 7).reshape(BANDS, BAND_ROWS)
 
+    @tidy
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(2))
@@ -189,6 +191,8 @@ def first_pairs(rows: DataFrame, share: Fraction, miss: float) -> DataFrame:
     """
     bounds, sure = least_matches(float(share), miss), sure_matches(float(share))
 
+    @tidy
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped_rows(batches, "group"):
             group, node, side, size = _table(table, "group", "node", "side", "n_shingles")
@@ -224,6 +228,8 @@ def residual_links(rows: DataFrame, share: Fraction, miss: float) -> DataFrame:
     """
     bounds = least_matches(float(share), miss)
 
+    @tidy
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped_rows(batches, "group"):
             group, node, comp, side, size, band = _table(table, "group", "node", "comp", "side", "n_shingles", "band")
@@ -263,6 +269,8 @@ def verify(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
 
+    @tidy
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             on = np.zeros(batch.num_rows, bool)
@@ -334,6 +342,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: str = "0.8", m
     involved = members.select("node").distinct().join(nodes.select("node", "rep"), "node").select("node", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"))
     source = _rows(docs).withColumn("id", F.coalesce("doc_id", F.lit(LAST))).select("id", "th", "text")
 
+    @tidy
+
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(1))

@@ -14,9 +14,9 @@ placed in bulk-synchronous rounds, longest first. A round takes the pieces of on
 3. Gaps shrink by what they got, and the round is repeated until no piece finds a gap. Only then the
    rest of the band opens new sequences, as many pieces in each as the longest of the band allows.
 
-Bands are (seq_len / (k + 1), seq_len / k] for k up to 8 and halve from there, so there are some
-fifteen bands and about two rounds for each, whatever the input. All state is in tables in the
-shared folder.
+Bands end at seq_len / k for k = 1, 2, 3, 4, 6, 8, and at quarters from there, so there are seven or
+eight bands and about two rounds for each, whatever the input. All state is in tables in the shared
+folder.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialforge.llm.common import discard, tokenizer_path, written
+from trialforge.llm.common import discard, tidy, tokenizer_path, written
 from trialforge.llm.tokens import tokenizer
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -39,6 +39,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def pieces(docs: DataFrame, path: str, seq_len: int, end_id: int) -> DataFrame:
     """One row per piece of each document (null or empty text: the end id alone)."""
 
+    @tidy
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for batch in batches:
@@ -59,9 +61,9 @@ def pieces(docs: DataFrame, path: str, seq_len: int, end_id: int) -> DataFrame:
 
 def bands(seq_len: int) -> list[tuple[int, int]]:
     """(highest, below the lowest) lengths of each band, longest first; whole sequences apart."""
-    edges = [seq_len - 1] + [seq_len // k for k in range(2, 9)]
+    edges = [seq_len - 1] + [seq_len // k for k in (2, 3, 4, 6, 8)]
     while edges[-1] > 0:
-        edges.append(edges[-1] // 2)
+        edges.append(edges[-1] // 4 if edges[-1] > 32 else 0)
     edges = sorted(set(edges), reverse=True)
     return [(hi, lo) for hi, lo in zip(edges, edges[1:]) if hi > lo]
 
@@ -140,10 +142,22 @@ class Rounds:
         self.gaps: DataFrame | None = None
         self.opened = 0
 
-    def match(self, docs: DataFrame, hi: int, lo: int, n: int) -> tuple[DataFrame, int]:
+    def places(self, hi: int, lo: int, n: int) -> tuple[int, int]:
+        """Up to which gap, and how often each of these, the round needs gaps for n pieces: the tightest are enough."""
+        # a number for each size of gaps, seq_len at most
+        sizes = sorted((r["gap"], r["n"]) for r in self.gaps.where(F.col("gap") > lo).groupBy("gap").agg(F.count("*").alias("n")).collect())
+        need = n
+        for gap, count in sizes:
+            if gap >= hi and need > 0:
+                if count * (gap // hi) >= need:
+                    return gap, -(-need // count)
+                need -= count * (gap // hi)
+        return (sizes[-1][0], sizes[-1][0] // hi) if sizes else (0, 0)
+
+    def match(self, docs: DataFrame, hi: int, lo: int, n: int, most: int, last_copies: int) -> tuple[DataFrame, int]:
         """One round; the pieces that are left and their number."""
-        copies = F.greatest(F.lit(1), F.floor(F.col("gap") / hi)).cast("int")
-        slots = self.gaps.where(F.col("gap") > lo).select(F.lit(None).cast("long").alias("pid"), F.least(F.col("gap"), F.lit(hi)).cast("long").alias("size"), "seq", F.explode(F.sequence(F.lit(0), copies - 1)).alias("nth"), "gap")
+        copies = F.when(F.col("gap") == most, F.lit(max(1, last_copies))).otherwise(F.greatest(F.lit(1), F.floor(F.col("gap") / hi))).cast("int")
+        slots = self.gaps.where((F.col("gap") > lo) & (F.col("gap") <= most)).select(F.lit(None).cast("long").alias("pid"), F.least(F.col("gap"), F.lit(hi)).cast("long").alias("size"), "seq", F.explode(F.sequence(F.lit(0), copies - 1)).alias("nth"), "gap")
         events = docs.select("pid", F.col("length").alias("size"), F.lit(0).cast("long").alias("seq"), F.lit(0).alias("nth"), F.lit(0).cast("long").alias("gap")).unionByName(slots)
         order = [F.desc("size"), F.asc_nulls_first(F.col("pid").isNotNull()), F.desc("gap"), F.desc("seq"), F.desc("nth"), F.asc("pid")]
         swept = written(events.repartitionByRange(max(1, -(-2 * n // self.part_rows)), *order).sortWithinPartitions(*order).mapInArrow(sweep, SWEPT), "swept")
@@ -197,8 +211,11 @@ class Rounds:
         sizes = {r["band"]: r["n"] for r in self.rows.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()}
         for k, (hi, lo) in enumerate(cuts):
             docs, n = self.rows.where((F.col("length") <= hi) & (F.col("length") > lo)).select("pid", "length"), sizes.get(k, 0)
-            while n and self.gaps is not None and (self.gaps.agg(F.max("gap")).head()[0] or 0) > lo:
-                docs, left = self.match(docs, hi, lo, n)
+            while n and self.gaps is not None:
+                most, last_copies = self.places(hi, lo, n)
+                if not most:
+                    break
+                docs, left = self.match(docs, hi, lo, n, most, last_copies)
                 if left == n:
                     break
                 n = left

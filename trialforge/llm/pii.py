@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.llm.common import _WS, Ranges, buffers, constants, discard, keyed_rows, map_rows, mix, slices, written
+from trialforge.llm.common import _WS, Ranges, buffers, constants, discard, keyed_rows, map_rows, mix, slices, tidy, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -230,6 +230,8 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """How often each of the (distinct) patterns stands at a word outside seeds: (pattern, n)."""
     table = docs.sparkSession.sparkContext.broadcast(bit_table(patterns))
 
+    @tidy
+
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
@@ -323,6 +325,8 @@ def nodes(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
 def scan(docs: DataFrame) -> DataFrame:
     """Base spans and graph nodes of each document."""
 
+    @tidy
+
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -405,6 +409,8 @@ def redacted(docs: DataFrame) -> DataFrame:
     at = names.index("text")
     found = find_pii(docs).where("spans <> ''").select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("row_id"), F.col("text_hash").alias("row_hash"), F.col("spans").alias("found")).dropDuplicates(["row_id", "row_hash"])
 
+    @tidy
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = batch.columns[:-1]

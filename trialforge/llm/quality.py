@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.llm.common import Words, buffers, constants, map_rows, mix, slices
+from trialforge.llm.common import Words, buffers, constants, map_rows, mix, slices, small_batches, tidy
 
 ROWS, DIMS, NONZERO, REACH = 1 << 14, 32, 2, 2
 BLOCK = 48
@@ -72,6 +72,8 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """Row vectors from the contexts of all words of all documents. A fixed size for any input."""
     places, signs = index_vectors()
 
+    @tidy
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ROWS * DIMS)
         for batch in batches:
@@ -199,11 +201,14 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> tuple[np.nd
     The sample is taken by hash of doc_id. Of rows that share a doc_id the labels' least counts, and
     the text with the least hash; null labels don't. Without labelled rows every score is 0.5.
     """
+    small_batches(docs.sparkSession)
     vectors = word_vectors(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).where(F.col("quality").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
+    @tidy
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(2))
@@ -222,6 +227,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> tuple[np.nd
 def score(docs: DataFrame, vectors: np.ndarray, net: Network, cut: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted of each row, by whole texts; null texts are empty."""
 
+    @tidy
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(2))
@@ -237,6 +244,8 @@ def keep(docs: DataFrame, vectors: np.ndarray, net: Network, cut: float = 0.3) -
     """The rows, with all their columns, whose score reaches the cut."""
     at = docs.columns.index("text")
 
+    @tidy
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(at))

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialforge.llm.common import n_parts, tokenizer_path, written
+from trialforge.llm.common import n_parts, tidy, tokenizer_path, written
 from trialforge.llm.tokens import tokenizer
 
 MAGIC = b"TFHUFF01"
@@ -167,6 +167,8 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 2, part
     edges = docs.select(F.percentile_approx("doc_id", F.array(*[F.lit(k / parts) for k in range(1, parts)]), 20 * parts)).head()[0] or [] if parts > 1 else []
     edges = np.unique(np.array(edges, np.int64))
 
+    @tidy
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, squeeze = tokenizer(path), zstandard.ZstdCompressor(1).compress
         for batch in batches:
@@ -244,6 +246,8 @@ def _ids(blob: pa.Scalar, width: pa.Scalar) -> np.ndarray:
 def token_digests(shards: DataFrame) -> DataFrame:
     """Read the shards back: doc_id, start, n_tokens and crc32 of the ids as little-endian u32."""
 
+    @tidy
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
@@ -259,6 +263,8 @@ def token_digests(shards: DataFrame) -> DataFrame:
 def read_tokens(shards: DataFrame) -> DataFrame:
     """Read the shards back: doc_id and its ids."""
 
+    @tidy
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
