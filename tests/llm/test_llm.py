@@ -204,6 +204,12 @@ def test_rounds_are_close_to_best_fit_decreasing(spark, part_rows):
     assert all(sum(n for _, n in e) <= 64 and [a for a, _ in sorted(e)] == [sum(n for _, n in sorted(e)[:k]) for k in range(len(e))] for e in ends.values())
 
 
+def test_small_pieces_fill_their_sequences(spark):
+    lengths = [random.Random(k).randint(1, 20) for k in range(3000)]
+    got = placed(spark, lengths, 1024, 500)
+    assert len(got) == 3000 and len({s for s, _ in got.values()}) <= -(-sum(lengths) // 1024) + 1
+
+
 def test_what_partitions_leave_to_each_other():
     """Each piece left meets the nearest free gap of an earlier partition, as one sweep over all would have it."""
     rng = random.Random(1)

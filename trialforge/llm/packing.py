@@ -12,7 +12,8 @@ placed in bulk-synchronous rounds, longest first. A round takes the pieces of on
    which ranks of pieces meet which ranks of gaps in earlier partitions, so that no two pieces get
    one gap; a join by rank makes those matches.
 3. Gaps shrink by what they got, and the round is repeated until no piece finds a gap. Only then the
-   rest of the band opens new sequences, as many pieces in each as the longest of the band allows.
+   rest of the band opens new sequences, as many pieces in each as the longest of the band allows;
+   small pieces open as many empty sequences as they fill, and the rounds go on.
 
 Bands end at seq_len / k for k = 1, 2, 3, 4, 6, 8, and at quarters from there, so there are seven or
 eight bands and about two rounds for each, whatever the input. All state is in tables in the shared
@@ -68,6 +69,8 @@ def bands(seq_len: int) -> list[tuple[int, int]]:
     return [(hi, lo) for hi, lo in zip(edges, edges[1:]) if hi > lo]
 
 
+#: From this many pieces in a sequence on, new sequences are opened empty and filled by rounds.
+SMALL = 6
 SWEPT = "found int, part int, rank long, pid long, length long, seq long, nth int, gap long"
 MATCHED, PIECE, GAP = 0, 1, 2
 
@@ -202,6 +205,15 @@ class Rounds:
             discard(last)
         self.opened = (placed.agg(F.max("seq")).head()[0] or 0) + 1
 
+    def empty(self, docs: DataFrame) -> None:
+        """As many empty sequences as the pieces' lengths fill."""
+        n = -(-docs.agg(F.sum("length")).head()[0] // self.seq_len)
+        fresh = self.spark.range(self.opened, self.opened + n).select(F.col("id").alias("seq"), F.lit(self.seq_len).cast("long").alias("gap"))
+        last, self.gaps = self.gaps, written(fresh if self.gaps is None else self.gaps.unionByName(fresh), "gaps")
+        if last is not None:
+            discard(last)
+        self.opened += n
+
     def run(self) -> DataFrame:
         cuts = [(self.seq_len, self.seq_len - 1), *bands(self.seq_len)]
         band = F.lit(0)
@@ -211,16 +223,15 @@ class Rounds:
         sizes = {r["band"]: r["n"] for r in self.rows.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect()}
         for k, (hi, lo) in enumerate(cuts):
             docs, n = self.rows.where((F.col("length") <= hi) & (F.col("length") > lo)).select("pid", "length"), sizes.get(k, 0)
-            while n and self.gaps is not None:
-                most, last_copies = self.places(hi, lo, n)
-                if not most:
-                    break
-                docs, left = self.match(docs, hi, lo, n, most, last_copies)
-                if left == n:
-                    break
+            while n:
+                most, last_copies = self.places(hi, lo, n) if self.gaps is not None else (0, 0)
+                docs, left = self.match(docs, hi, lo, n, most, last_copies) if most else (docs, n)
+                if left == n and SMALL * hi > self.seq_len:
+                    self.open(docs, self.seq_len // hi, n)
+                    left = 0
+                elif left == n:
+                    self.empty(docs)
                 n = left
-            if n:
-                self.open(docs, self.seq_len // hi, n)
         out = self.placed[0] if self.placed else self.rows.limit(0).select("pid", F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("offset"), "length")
         for more in self.placed[1:]:
             out = out.unionByName(more)
