@@ -36,3 +36,14 @@ def cache_summary(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """Files and bytes of each type."""
     f = files.withColumn("id", F.regexp_extract("file", r"^(\d+)_", 1).try_cast("int")).select("id", F.col("sz").alias("bytes"))
     return f.join(manifest.select("id", "type"), "id", "left").groupBy(F.coalesce("type", F.lit("unknown")).alias("type")).agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+
+
+def by_id(manifest: DataFrame, ids: DataFrame) -> DataFrame:
+    """Entries of the given ids; an unknown id gives a row of nulls."""
+    return ids.join(manifest, "id", "left")
+
+
+def by_name(manifest: DataFrame, names: DataFrame) -> DataFrame:
+    """Entries of the given names; of entries with one name, the one of the greatest id."""
+    last = manifest.groupBy("name").agg(F.max("id").alias("id"))
+    return names.join(last, "name", "left").join(manifest.drop("name"), "id", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,7 +100,7 @@ def chain_std(lengths: Column) -> Column:
 
 
 def slug(name: Column) -> Column:
-    return F.trim(F.lit("_"), F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"))
+    return F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), F.lit("_"))
 
 
 def direction(a: Column, b: Column) -> Column:
@@ -125,3 +127,53 @@ def family_of(category: Column) -> Column:
 
 def virtual_topology(name: str, rate: float) -> str:
     return f"{name}@fr={rate:.4g}" if rate else name
+
+
+def storage_folder(category: Column, file: Column) -> Column:
+    """Folder of a stored graph: its category, small-world graphs by their k."""
+    k = F.regexp_extract(file, "_k([0-9]+)_", 1)
+    split = F.when(k == "", "watts_strogatz_other").otherwise(F.concat(F.lit("watts_strogatz_k"), k))
+    return F.when(category == "watts_strogatz", split).otherwise(category)
+
+
+def safe_name(c: Column) -> Column:
+    return F.translate(c, "/ ", "__")
+
+
+def run_log_name(algorithm: Column, graph: Column, trial: Column, seed: Column) -> Column:
+    """File of one run's log, which tells all four."""
+    return F.concat(F.concat_ws("__", safe_name(algorithm), safe_name(graph), trial.cast("string"), seed.cast("string")), F.lit(".log"))
+
+
+# Most nodes and edges of the largest graph of each topology.
+CEILINGS = {"chimera": (2048, 6016), "pegasus": (5640, 40484), "zephyr": (4800, 45864)}
+
+
+def topology_tag(nodes: Column, edges: Column) -> Column:
+    """Names of the topologies that are large enough, joined by a bar."""
+    return F.concat_ws("|", *[F.when((nodes <= n) & (edges <= e), F.lit(name)) for name, (n, e) in CEILINGS.items()])
+
+
+def geometric_series(start: int, stop: int, factor: float) -> list[int]:
+    """start, start * factor, ... rounded, each once, and stop at the end."""
+    if factor <= 1 or start <= 0:
+        raise ValueError("a series needs a factor above 1 and a positive start")
+    steps = range(int(math.log(max(stop, start) / start) / math.log(factor)) + 2) if stop >= start else []
+    found = {n for n in (round(start * factor**k) for k in steps if start * factor**k <= stop) if n <= stop}
+    return sorted(found | {stop})
+
+
+def seed_count(nodes: Column, ceiling: int) -> Column:
+    """Five seeds near the ceiling, three elsewhere."""
+    return F.when(nodes >= 0.85 * ceiling, 5).otherwise(3)
+
+
+def jitter(name: Column, width: float = 0.4) -> Column:
+    """A place within `width` around 0 that a graph always has, from 32 bits of its name's MD5."""
+    share = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return (share - 0.5) * width
+
+
+def flat_record(embedding: Column) -> Column:
+    """An embedding as the JSON text that flat files hold; null stays null."""
+    return F.to_json(embedding)

@@ -143,6 +143,13 @@ def without_faults(nodes: DataFrame, edges: DataFrame, bad_nodes: DataFrame | No
     return nodes.select("node"), edges.select("u", "v")
 
 
+def removed_parts(nodes: DataFrame, edges: DataFrame, left_nodes: DataFrame, left_edges: DataFrame) -> DataFrame:
+    """What faults took away: (kind, u, v), v null for nodes."""
+    gone = nodes.select("node").join(left_nodes.select("node"), "node", "left_anti").select(F.lit("node").alias("kind"), F.col("node").alias("u"), F.lit(None).cast("long").alias("v"))
+    cut_ = undirected(edges).join(undirected(left_edges), ["u", "v"], "left_anti").select(F.lit("coupler").alias("kind"), "u", F.col("v").cast("long").alias("v"))
+    return gone.unionByName(cut_)
+
+
 def component_count(nodes: DataFrame, edges: DataFrame) -> int:
     labels = min_labels(nodes.withColumn("g", F.lit(0)), edges.withColumn("g", F.lit(0)), ["g"])
     return labels.where("node = label").count()
@@ -159,12 +166,23 @@ def degree_properties(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def triangles(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, a, b, c) with a < b < c: each edge points up the order, so a hub doesn't join with itself."""
-    e = edges.select(*keys, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    ab = e.select(*keys, F.col("u").alias("a"), F.col("v").alias("b"))
-    bc = e.select(*keys, F.col("u").alias("b"), F.col("v").alias("c"))
-    ac = e.select(*keys, F.col("u").alias("a"), F.col("v").alias("c"))
-    return ab.join(bc, [*keys, "b"]).join(ac, [*keys, "a", "c"])
+    """(keys, a, b, c) with a < b < c.
+
+    Each edge points from the end with fewer edges to the other (ties by number), so no node, however
+    many edges it has, has more than about sqrt(2 m) outgoing ones.
+    """
+    e = edges.select(*keys, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
+    degrees = both_ways(e, keys).groupBy(*keys, "u").agg(F.count("*").alias("d"))
+    ends = e.join(degrees.withColumnRenamed("d", "du"), [*keys, "u"]).join(degrees.select(*keys, F.col("u").alias("v"), F.col("d").alias("dv")), [*keys, "v"])
+    up = (F.col("du") < F.col("dv")) | ((F.col("du") == F.col("dv")) & (F.col("u") < F.col("v")))
+    swap = lambda a, b, da, db: (F.struct(F.col(a).alias("n"), F.col(da).alias("d")).alias("low"), F.struct(F.col(b).alias("n"), F.col(db).alias("d")).alias("high"))
+    out = ends.where(up).select(*keys, *swap("u", "v", "du", "dv")).unionByName(ends.where(~up).select(*keys, *swap("v", "u", "dv", "du")))
+    first = out.select(*keys, F.col("low.n").alias("x"), F.col("high.n").alias("y"), F.col("high.d").alias("dy"))
+    second = out.select(*keys, F.col("low.n").alias("x"), F.col("high.n").alias("z"), F.col("high.d").alias("dz"))
+    wedges = first.join(second, [*keys, "x"]).where("dy < dz or (dy = dz and y < z)").select(*keys, "x", "y", "z")
+    closed = wedges.join(out.select(*keys, F.col("low.n").alias("y"), F.col("high.n").alias("z")), [*keys, "y", "z"])
+    ordered = closed.select(*keys, F.array_sort(F.array("x", "y", "z")).alias("t"))
+    return ordered.select(*keys, F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c"))
 
 
 def clustering(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -199,6 +217,8 @@ def bfs_levels(edges: DataFrame, source: int, most: int = 10_000) -> DataFrame:
         if frontier.isEmpty():
             break
         seen = cut(seen.unionByName(frontier), "seen")
+    else:
+        raise RuntimeError(f"nodes are further away than {most - 1} steps")
     return seen
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from trialforge.functions import special
+from trialforge.operators import order
 from trialforge.operators.derive import direction, magnitude
 from trialforge.operators.tables import PROBLEM, average_ranks, per_problem_means
 
@@ -51,11 +52,11 @@ def signed_rank_sums(runs: DataFrame, metric: str = "avg_chain_length") -> DataF
     """For each pair: n_pairs, medians, m (pairs that differ), W+, W-, tie sum, and the ranks where n_pairs is 13 at most."""
     pairs = paired(per_problem_means(runs, metric)).withColumn("d", F.col("va") - F.col("vb"))
     keys = ["algo_a", "algo_b"]
-    base = pairs.groupBy(*keys).agg(F.count("*").alias("n_pairs"), F.median("va").alias("median_a"), F.median("vb").alias("median_b"))
+    middle = order.medians(pairs, keys, {"median_a": F.col("va"), "median_b": F.col("vb")})
+    base = pairs.groupBy(*keys).agg(F.count("*").alias("n_pairs")).join(middle, keys)
     # |d| with equal values counted once: ranks come from running counts
     by = pairs.where("d <> 0").groupBy(*keys, F.abs("d").alias("v")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("up"))
-    upto = F.sum("t").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    by = by.withColumn("rank", upto - (F.col("t") - 1) / 2.0)
+    by = order.running(by, keys, ["v"], "t", "before").withColumn("rank", F.coalesce("before", F.lit(0)) + (F.col("t") + 1) / 2.0)
     t = F.col("t").cast("double")
     sums = by.groupBy(*keys).agg(F.sum("t").alias("m"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("t") - F.col("up"))).alias("w_minus"), F.sum(t * t * t - t).alias("ties"), F.slice(F.array_sort(F.collect_list(F.when(F.col("rank") <= 14, F.struct("rank", "t")))), 1, 14).alias("ranks"))
     return base.join(sums, keys, "left").fillna(0, ["m", "w_plus", "w_minus", "ties"])
@@ -138,3 +139,9 @@ def friedman_test(runs: DataFrame, metric: str = "avg_chain_length", lower: bool
         "n_problems": s["n"], "n_algorithms": s["k"], "kendalls_w": s["kendall_w"], "mean_ranks": {r["algorithm"]: round(r["mean_rank"], 6) for r in rows},
         "rank_order": [r["algorithm"] for r in rows], "nemenyi_cd": special.nemenyi_distance(s["k"], s["n"]),
     }
+
+
+def rank_order(ranks: DataFrame) -> DataFrame:
+    """One row: the algorithms from best to worst mean rank, ties by name. One entry for each algorithm."""
+    ordered = F.array_sort(F.collect_list(F.struct("mean_rank", "algorithm")))
+    return ranks.agg(F.concat_ws(" < ", F.transform(ordered, lambda r: r["algorithm"])).alias("rank_order"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialforge.operators.derive import FAMILIES, family_of, success_label
+from trialforge.operators import order
 from trialforge.operators.tables import PROBLEM, share
 
 RATES = ("success_rate", "wall_time")
@@ -87,12 +88,30 @@ def density_lines(runs: DataFrame, metric: str = "avg_chain_length", categories:
     return runs.where(F.col("success") & F.col("category").isin(*categories)).groupBy("algorithm", "problem_nodes", "problem_density").agg(F.avg(metric).alias("mean_value"))
 
 
-def size_density_grid(runs: DataFrame, metric: str = "avg_chain_length", nodes: int = 10, step: float = 0.05, by: list[str] | None = None) -> DataFrame:
-    """Mean in bins of nodes and density (right-closed from the least size; rows without a bin go)."""
+def log_edges(lo: int | None, hi: int | None) -> list[int]:
+    """Whole-numbered edges of node bins in equal ratios, 10 to 40 of them, four for each doubling."""
+    lo = max(1, int(lo or 1))
+    hi = max(lo, int(hi or lo))
+    if hi == lo:
+        return [lo, hi + 1]
+    n = max(10, min(40, int(math.log2(hi / lo) * 4)))
+    edges = sorted({int(lo * ((hi + 1) / lo) ** (k / n)) for k in range(n)} | {hi + 1})
+    return edges if len(edges) > 1 else [lo, hi + 1]
+
+
+def size_density_grid(runs: DataFrame, metric: str = "avg_chain_length", nodes: int = 10, step: float = 0.05, by: list[str] | None = None, log: bool = False) -> DataFrame:
+    """Mean in bins of nodes and density (right-closed from the least size; rows without a bin go).
+
+    Rates and times over all rows have node bins in log steps if `log` is set.
+    """
     rows = runs if metric in RATES else runs.where("success")
     value = share("success") if metric == "success_rate" else F.avg(metric)
     lo = rows.agg(F.min("problem_nodes")).head()[0] or 0
     x = F.ceil((F.col("problem_nodes") - lo) / float(nodes)).cast("long") - 1
+    if log and metric in RATES:
+        edges = log_edges(*rows.agg(F.min("problem_nodes"), F.max("problem_nodes")).head())
+        # the first edge of at least the size closes its bin
+        x = F.coalesce(*[F.when(F.col("problem_nodes") <= e, F.lit(k - 1)) for k, e in enumerate(edges)]).cast("long")
     y = F.ceil(F.round(F.col("problem_density") / step, 9)).cast("long") - 1
     placed = rows.withColumns({"size_bin": x, "density_bin": y}).where("size_bin >= 0 and density_bin >= 0")
     return placed.groupBy(*(by or []), "size_bin", "density_bin").agg(value.alias("value"), F.count("*").alias("n"))
@@ -123,10 +142,11 @@ def smoothed(grid: DataFrame, sigma: float = 1.0, least: float = 0.05) -> DataFr
             return out.select("size_bin", "density_bin", "value")
         n = hi - lo + 1
         # a target at t takes from s = t + d, reflected into the grid; every target within reach of s is tried
-        spread = out.withColumn("tap", F.explode(taps)).withColumn("k", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
+        # images of s under reflection repeat every 2 n places
+        turns = reach // (2 * n) + 1
+        spread = out.withColumn("tap", F.explode(taps)).withColumn("k", F.explode(F.sequence(F.lit(-turns), F.lit(turns))))
         at = F.col(c) - lo
-        image = F.when(F.col("k") == 0, at).when(F.col("k") == -1, -at - 1).otherwise(2 * n - 1 - at)
-        spread = spread.withColumn("t", image - F.col("tap.d")).where((F.col("t") >= 0) & (F.col("t") < n))
+        spread = spread.withColumn("image", F.explode(F.array(at, -at - 1))).withColumn("t", F.col("image") + 2 * n * F.col("k") - F.col("tap.d")).where((F.col("t") >= 0) & (F.col("t") < n))
         other = "density_bin" if c == "size_bin" else "size_bin"
         scaled = spread.select((F.col("t") + lo).alias(c), other, (F.col("value") * F.col("w") * F.col("tap.w") if c == "size_bin" else F.col("value") * F.col("tap.w")).alias("value"), (F.col("w") * F.col("tap.w")).alias("w"))
         out = scaled.groupBy("size_bin", "density_bin").agg(F.sum("value").alias("value"), F.sum("w").alias("w"))
@@ -140,39 +160,28 @@ def pareto_points(runs: DataFrame, x: str = "wall_time", y: str = "avg_chain_len
 def pareto_front(points: DataFrame, keys: list[str] | None = None, maximise: bool = False) -> DataFrame:
     """Points that no other point beats in both coordinates; both are minimised unless asked otherwise.
 
-    First the least y of each x, then a running minimum over x. With keys, a front for each key;
-    without, blocks of x are scanned side by side below the minimum of the blocks before them.
+    First the least y of each x, then a running minimum over x by range partitions.
     """
     sign = -1 if maximise else 1
     pts = points.withColumns({"_x": sign * F.col("x"), "_y": sign * F.col("y")})
     keys = keys or []
     best = pts.groupBy(*keys, "_x").agg(F.min("_y").alias("_b"))
-    if not keys:
-        parts = F.percentile_approx("_x", F.array(*[F.lit(k / 64) for k in range(1, 64)]), 1000)
-        edges = best.agg(parts).head()[0] or []
-        block = F.lit(0)
-        for e in sorted(set(edges)):
-            block = block + (F.col("_x") > e).cast("int")
-        best = best.withColumn("_block", block)
-        floor = F.min("_m").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-        floors = best.groupBy("_block").agg(F.min("_b").alias("_m")).select("_block", floor.alias("_floor"))
-        best = best.join(F.broadcast(floors), "_block")  # 64 rows at most
-        before = F.least(F.min("_b").over(Window.partitionBy("_block").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)), F.col("_floor"))
-    else:
-        before = F.min("_b").over(Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, -1))
-    front = best.withColumn("_before", before).where("_before is null or _b < _before").select(*keys, "_x", F.col("_b").alias("_y"))
+    best = order.running(best.withColumn("_all", F.lit(0)), [*keys, "_all"], ["_x"], "_b", "_before", "min")
+    front = best.where("_before is null or _b < _before").select(*keys, "_x", F.col("_b").alias("_y"))
     return pts.join(front, [*keys, "_x", "_y"], "left_semi").drop("_x", "_y")
 
 
 def distribution(runs: DataFrame, metric: str = "avg_chain_length") -> DataFrame:
     """Quartiles, range and count by algorithm."""
-    qs = F.percentile(metric, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return runs.where("success").groupBy("algorithm").agg(F.min(metric).alias("v_min"), qs.alias("q"), F.max(metric).alias("v_max"), F.count("*").alias("n")).select("algorithm", "v_min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"), "v_max", "n")
+    ok = runs.where("success")
+    quartiles = order.exact_quantiles(ok, ["algorithm"], {metric: F.col(metric)}, (0.25, 0.5, 0.75)).select("algorithm", "q")
+    return ok.groupBy("algorithm").agg(F.min(metric).alias("v_min"), F.max(metric).alias("v_max"), F.count("*").alias("n")).join(quartiles, "algorithm", "left").select("algorithm", "v_min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"), "v_max", "n")
 
 
 def _macro(runs: DataFrame, keys: list[str]) -> DataFrame:
     ok = F.when(F.col("success"), F.col("avg_chain_length"))
-    cells = runs.groupBy(*keys, "category").agg(share("success").alias("s"), F.avg(ok).alias("c"), F.median("wall_time").alias("tm"), F.avg("wall_time").alias("ta"))
+    middle = order.medians(runs, [*keys, "category"], {"tm": F.col("wall_time")})
+    cells = runs.groupBy(*keys, "category").agg(share("success").alias("s"), F.avg(ok).alias("c"), F.avg("wall_time").alias("ta")).join(middle, [*keys, "category"], "left")
     return cells.groupBy(*keys).agg(F.avg("s").alias("success_rate"), F.avg("c").alias("chain_mean"), F.avg("tm").alias("time_median"), F.avg("ta").alias("time_mean"))
 
 
@@ -248,13 +257,11 @@ def success_by_density(runs: DataFrame, bins: int = 10) -> DataFrame:
 def graph_positions(runs: DataFrame) -> DataFrame:
     """Place of each graph on a categorical axis: by category, id and name.
 
-    Counts by category give the offset, so no window spans all graphs.
+    A running count over range partitions, so no window spans all graphs or a whole category.
     """
-    graphs = runs.select("category", "graph_id", PROBLEM).distinct()
-    sizes = graphs.groupBy("category").agg(F.count("*").alias("n"))
-    before = sizes.select("category", (F.sum("n").over(Window.orderBy("category")) - F.col("n")).alias("before"))
-    within = F.row_number().over(Window.partitionBy("category").orderBy("graph_id", PROBLEM))
-    return graphs.join(F.broadcast(before), "category").select("category", "graph_id", PROBLEM, (F.col("before") + within - 1).alias("position"))
+    graphs = runs.select("category", "graph_id", PROBLEM).distinct().withColumns({"_all": F.lit(0), "_one": F.lit(1).cast("long")})
+    placed = order.running(graphs, ["_all"], ["category", "graph_id", PROBLEM], "_one", "position")
+    return placed.select("category", "graph_id", PROBLEM, F.coalesce("position", F.lit(0).cast("long")).alias("position"))
 
 
 def graph_indexed_chain(runs: DataFrame) -> DataFrame:
@@ -268,11 +275,17 @@ def graph_indexed_time(runs: DataFrame) -> DataFrame:
 
 
 def sections(positions: DataFrame) -> DataFrame:
-    """First and last place of each run of one category (islands by lag and running sum)."""
-    order = Window.orderBy("position")
-    change = (F.col("category") != F.lag("category").over(order)).cast("int")
-    marked = positions.withColumn("island", F.sum(F.coalesce(change, F.lit(0))).over(order))
-    return marked.groupBy("island", "category").agg(F.min("position").alias("first"), F.max("position").alias("last"), F.count("*").alias("n"))
+    """First and last place of each run of one category.
+
+    A place whose predecessor has another category begins a run; places are without gaps, so the
+    predecessor comes by a join. Only the beginnings are then brought in order.
+    """
+    before = positions.select((F.col("position") + 1).alias("position"), F.col("category").alias("_last"))
+    begins = positions.join(before, "position", "left").where("_last is null or _last <> category").select("category", F.col("position").alias("first"))
+    order_ = Window.orderBy("first")
+    end = F.coalesce(F.lead("first").over(order_) - 1, F.lit((positions.agg(F.max("position")).head()[0] or 0)).cast("long"))
+    runs_ = begins.select((F.row_number().over(order_) - 1).cast("long").alias("island"), "category", "first", end.alias("last"))
+    return runs_.withColumn("n", F.col("last") - F.col("first") + 1)
 
 
 COMPARED = ("wall_time", "avg_chain_length", "max_chain_length", "total_qubits_used", "total_couplers_used")

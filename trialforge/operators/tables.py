@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialforge.operators import order
 from trialforge.schema import METRICS, check_metric
+from trialforge.sources.shared import cut
 
 PROBLEM = "graph_name"
 
@@ -22,11 +24,12 @@ def overall_summary(runs: DataFrame) -> DataFrame:
     """One row for each algorithm: counts and rates of all rows, moments of successful ones."""
     aggs = [F.count("*").alias("n_trials"), F.count_if("success").alias("n_success"), share("success").alias("success_rate"), share("is_valid").alias("valid_rate")]
     for metric, name in (("wall_time", "time"), ("avg_chain_length", "chain")):
-        aggs += [F.avg(_ok(metric)).alias(f"{name}_mean"), F.stddev_samp(_ok(metric)).alias(f"{name}_std"), F.median(_ok(metric)).alias(f"{name}_median")]
+        aggs += [F.avg(_ok(metric)).alias(f"{name}_mean"), F.stddev_samp(_ok(metric)).alias(f"{name}_std")]
     aggs += [F.try_divide(F.stddev_samp(_ok("wall_time")), F.avg(_ok("wall_time"))).alias("cv_time")]
     aggs += [F.avg(_ok("max_chain_length")).alias("max_chain_mean"), F.stddev_samp(_ok("max_chain_length")).alias("max_chain_std")]
     aggs += [F.avg(_ok(c)).alias(n) for c, n in (("total_qubits_used", "qubits_mean"), ("qubit_overhead_ratio", "qubit_overhead_mean"), ("coupler_overhead_ratio", "coupler_overhead_mean"))]
-    return runs.groupBy("algorithm").agg(*aggs)
+    middle = order.medians(runs, ["algorithm"], {"time_median": _ok("wall_time"), "chain_median": _ok("avg_chain_length")})
+    return runs.groupBy("algorithm").agg(*aggs).join(middle, "algorithm", "left")
 
 
 def summary_by_category(runs: DataFrame, metric: str = "avg_chain_length") -> DataFrame:
@@ -83,7 +86,7 @@ def timing_outliers(runs: DataFrame, factor: float = 10.0) -> DataFrame:
     """Successful rows over `factor` medians of their algorithm and topology, where there are two at least."""
     ok = runs.where("success")
     keys = ["algorithm", "topology_name"]
-    medians = ok.groupBy(*keys).agg(F.median("wall_time").alias("_median"), F.count("*").alias("_n")).where("_n >= 2")
+    medians = order.exact_quantiles(ok, keys, {"wall_time": F.col("wall_time")}).where("n >= 2").select(*keys, F.col("q")[0].alias("_median"))
     return ok.join(medians, keys).groupBy(*keys).agg(F.count_if(F.col("wall_time") > factor * F.col("_median")).alias("n_outliers")).where("n_outliers > 0")
 
 
@@ -102,14 +105,15 @@ def inflight_counters(runs: DataFrame) -> DataFrame:
     return runs.groupBy("algorithm").agg(F.count_if(F.col("status") == "INVALID_OUTPUT").alias("n_invalid"), F.count_if(crash).alias("n_crash"), F.min_by(F.when(crash, F.col("error")), F.when(crash, order)).alias("first_error"))
 
 
-def warning_summary(runs: DataFrame) -> DataFrame:
-    """Counts of each kind of warning and their total."""
+def warning_summary(runs: DataFrame, skipped: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Counts of each kind of warning and their total. skipped: tables of tasks that never ran, by kind."""
     kinds = {
         "INVALID_OUTPUT": runs.where("status = 'INVALID_OUTPUT'").agg(F.count("*").alias("n")),
         "CRASH": runs.where("status = 'CRASH'").agg(F.count("*").alias("n")),
         "TIMING_OUTLIER": timing_outliers(runs).agg(F.coalesce(F.sum("n_outliers"), F.lit(0)).alias("n")),
         "ALL_ALGORITHMS_FAILED": all_failed(runs).agg(F.count("*").alias("n")),
     }
+    kinds |= {kind: tasks.agg(F.count("*").alias("n")) for kind, tasks in (skipped or {}).items()}
     rows = None
     for kind, n in kinds.items():
         one = n.select(F.lit(kind).alias("kind"), F.col("n").cast("long").alias("n"))
@@ -120,14 +124,15 @@ def warning_summary(runs: DataFrame) -> DataFrame:
 def correlation_matrix(runs: DataFrame, method: str = "spearman", properties: tuple[str, ...] = ("problem_nodes", "problem_edges", "problem_density"), metrics: tuple[str, ...] = ("wall_time", "avg_chain_length", "max_chain_length", "total_qubits_used")) -> DataFrame:
     """Property by metric over successful rows; null below three rows or without variance.
 
-    Average ranks come from counts of each distinct value, so no global sort of rows is needed.
+    Average ranks come from counts of each distinct value, summed over range partitions.
     """
     rows = runs.where("success").select(*properties, *metrics)
-    for c in (*properties, *metrics) if method == "spearman" else ():
-        counts = rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n"))
-        upto = F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        ranks = counts.select(F.col(c).alias("_v"), (upto - (F.col("_n") - 1) / 2.0).alias("_r"))
-        rows = rows.join(ranks, F.col(c) == F.col("_v"), "left").drop(c, "_v").withColumnRenamed("_r", c)
+    if method == "spearman":
+        rows = rows.select(*[F.col(c).cast("double").alias(c) for c in rows.columns])
+        ranks = cut(order.average_rank_table(rows, [*properties, *metrics]), "ranks")
+        for c in (*properties, *metrics):
+            one = ranks.where(F.col("metric") == c).select(F.col("value").alias("_v"), F.col("rank").alias("_r"))
+            rows = rows.join(one, F.col(c) == F.col("_v"), "left").drop(c, "_v").withColumnRenamed("_r", c)
     pairs = [(p, m) for p in properties for m in metrics]
     sums = []
     for p, m in pairs:
@@ -143,3 +148,23 @@ def correlation_matrix(runs: DataFrame, method: str = "spearman", properties: tu
 def headline(runs: DataFrame) -> DataFrame:
     """Counts with mean and population deviation of time, by algorithm."""
     return runs.groupBy("algorithm").agg(F.count("*").alias("n_trials"), F.count_if("success").alias("n_success"), F.avg(_ok("wall_time")).alias("time_mean"), F.stddev_pop(_ok("wall_time")).alias("time_std"))
+
+
+def transposed(wide: DataFrame, key: str, columns: list[str], rows: list[str]) -> DataFrame:
+    """Columns as rows and the named keys as columns."""
+    pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
+    long = wide.select(key, F.expr(f"stack({len(columns)}, {pairs}) as (name, value)"))
+    return long.groupBy("name").pivot(key, rows).agg(F.first("value"))
+
+
+def first_few(rows: DataFrame, keys: list[str], column: str, most: int = 5) -> DataFrame:
+    """The least `most` values of each key joined by commas, with an ellipsis where there are more."""
+    ranked = rows.select(*keys, column).distinct().withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(column))).where(F.col("_r") <= most + 1)
+    some = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(column)).alias("_v"))
+    return some.select(*keys, F.concat(F.array_join(F.slice("_v", 1, most), ", "), F.when(F.size("_v") > most, ", ...").otherwise("")).alias("shown"))
+
+
+def styles(runs: DataFrame, colours: int, markers: int) -> DataFrame:
+    """Number of the colour and the marker of each algorithm, by its place among the names; few algorithms exist."""
+    place = F.row_number().over(Window.orderBy("algorithm")) - 1
+    return runs.select("algorithm").distinct().select("algorithm", (place % colours).alias("colour"), (place % markers).alias("marker"))

@@ -24,16 +24,25 @@ def copurchase(s: SparkSession, d: str) -> DataFrame:
 COP = "WITH r AS (SELECT o_orderpriority AS g, l_orderkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey), e AS (SELECT DISTINCT a.g, a.l_partkey AS u, b.l_partkey AS v FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey), both_ways AS (SELECT g, u, v FROM e UNION ALL SELECT g, v, u FROM e), deg AS (SELECT g, u, count(*) AS d FROM both_ways GROUP BY ALL)"
 query("degree_properties", COP + """ SELECT g, count(*) AS n_vertices, (sum(d) / 2)::BIGINT AS n_edges, round(sum(d) / (count(*) * (count(*) - 1.0)), 7) AS density, round(avg(d), 7) AS avg_degree, max(d) AS max_degree, min(d) AS min_degree,
  round(stddev_pop(d), 7) AS degree_std, max(d) = min(d) AS is_regular FROM deg GROUP BY g""")(lambda s, d: graphs.degree_properties(copurchase(s, d), ["g"]))
-TRI = COP + ", tri AS (SELECT x.g, x.u AS a, x.v AS b, y.v AS c FROM e x JOIN e y ON x.g = y.g AND x.v = y.u JOIN e z ON z.g = x.g AND z.u = x.u AND z.v = y.v)"
+TRI = COP + """, o AS MATERIALIZED (SELECT e.g, CASE WHEN a.d < b.d OR (a.d = b.d AND e.u < e.v) THEN e.u ELSE e.v END AS x, CASE WHEN a.d < b.d OR (a.d = b.d AND e.u < e.v) THEN e.v ELSE e.u END AS y,
+  greatest(a.d, b.d) AS dy FROM e JOIN deg a ON a.g = e.g AND a.u = e.u JOIN deg b ON b.g = e.g AND b.u = e.v),
+ tri AS (SELECT p.g, list_sort([p.x, p.y, q.y])[1] AS a, list_sort([p.x, p.y, q.y])[2] AS b, list_sort([p.x, p.y, q.y])[3] AS c
+  FROM o p JOIN o q ON p.g = q.g AND p.x = q.x AND (p.dy < q.dy OR (p.dy = q.dy AND p.y < q.y)) JOIN o z ON z.g = p.g AND z.x = p.y AND z.y = q.y)"""
 query("triangles", TRI + " SELECT * FROM tri")(lambda s, d: graphs.triangles(copurchase(s, d), ["g"]))
 query("clustering", TRI + """, loc AS (SELECT g, u, count(*) AS t FROM (SELECT g, unnest([a, b, c]) AS u FROM tri) GROUP BY ALL), j AS (SELECT deg.g, d, coalesce(t, 0) AS t, d * (d - 1) / 2.0 AS p FROM deg LEFT JOIN loc ON deg.g = loc.g AND deg.u = loc.u)
  SELECT g, (sum(t) / 3)::BIGINT AS triangles, round(coalesce(sum(t) / nullif(sum(p), 0), 0), 7) AS clustering_global, round(avg(CASE WHEN d > 1 THEN t / p ELSE 0 END), 7) AS clustering_avg FROM j GROUP BY g""")(lambda s, d: graphs.clustering(copurchase(s, d), ["g"]))
 query("assortativity", COP + " SELECT b.g, round(corr(x.d, y.d), 7) AS assortativity FROM both_ways b JOIN deg x ON x.g = b.g AND x.u = b.u JOIN deg y ON y.g = b.g AND y.u = b.v GROUP BY b.g")(lambda s, d: graphs.assortativity(copurchase(s, d), ["g"]))
-query("components")(lambda s, d: graphs.min_labels(copurchase(s, d).select("g", F.explode(F.array("u", "v")).alias("node")).distinct(), copurchase(s, d), ["g"]))
-query("bfs_levels", """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS u, l_partkey + 1000000 AS v FROM lineitem WHERE l_linenumber = 7), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
- w(node, level) AS (SELECT 1::BIGINT, 0 UNION SELECT b.v, w.level + 1 FROM w JOIN b ON b.u = w.node WHERE w.level < 12) SELECT node, min(level)::INT AS level FROM w GROUP BY node""")(
-    lambda s, d: graphs.bfs_levels(lines(s, d).where("l_linenumber = 7").select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 1000000).alias("v")).distinct(), 1, 13))
-query("graph_properties")(lambda s, d: properties.properties(lines(s, d).where("l_partkey <= 60").select((F.col("l_linenumber")).cast("long").alias("graph_id"), F.col("l_partkey").alias("u"), (F.col("l_suppkey") + 1000000).alias("v"))))
+ROUNDS = 12
+LABELS = COP + ", l0 AS (SELECT DISTINCT g, u AS node, u AS label FROM both_ways)" + "".join(
+    f", l{k + 1} AS MATERIALIZED (SELECT l.g, l.node, least(min(l.label), coalesce(min(n.label), min(l.label))) AS label FROM l{k} l LEFT JOIN both_ways b ON b.g = l.g AND b.u = l.node LEFT JOIN l{k} n ON n.g = b.g AND n.node = b.v GROUP BY l.g, l.node)" for k in range(ROUNDS)
+)
+query("components", LABELS + f" SELECT g, node, label FROM l{ROUNDS}")(lambda s, d: graphs.min_labels(copurchase(s, d).select("g", F.explode(F.array("u", "v")).alias("node")).distinct(), copurchase(s, d), ["g"]))
+query("bfs_levels", """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS u, l_partkey + 1000000 AS v FROM lineitem), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+ w(node, level) AS (SELECT 1::BIGINT, 0 UNION SELECT b.v, w.level + 1 FROM w JOIN b ON b.u = w.node WHERE w.level < 8) SELECT node, min(level)::INT AS level FROM w GROUP BY node""")(
+    lambda s, d: graphs.bfs_levels(lines(s, d).select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 1000000).alias("v")).distinct(), 1))
+query("graph_properties")(
+    lambda s, d: properties.properties(lines(s, d).join(table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").select(F.col("o_custkey").cast("long").alias("graph_id"), F.col("l_partkey").alias("u"), (F.col("l_suppkey") + 1000000).alias("v")).distinct())
+)
 
 
 def chains(s: SparkSession, d: str) -> DataFrame:
@@ -65,7 +74,17 @@ query("chain_couplers", EMB + " SELECT * FROM inner_edges")(lambda s, d: graphs.
 query("embedding_metrics", EMB + """, l AS (SELECT run_id, src, count(*) AS n FROM c GROUP BY ALL), q AS (SELECT run_id, count(DISTINCT qubit) AS total_qubits_used FROM c GROUP BY ALL), k AS (SELECT run_id, count(*) AS total_couplers_used FROM inner_edges GROUP BY ALL)
  SELECT l.run_id, round(avg(n), 7) AS avg_chain_length, max(n) AS max_chain_length, round(coalesce(stddev_samp(n), 0), 7) AS chain_length_std, any_value(total_qubits_used) AS total_qubits_used, coalesce(any_value(total_couplers_used), 0) AS total_couplers_used
  FROM l JOIN q USING (run_id) LEFT JOIN k USING (run_id) GROUP BY l.run_id""")(lambda s, d: graphs.embedding_metrics(chains(s, d), target(s, d)))
-query("validation")(lambda s, d: graphs.validate(source_nodes(s, d).where("src < 4"), source_edges(s, d).where("v < 4"), chains(s, d).where("src < 4"), chains(s, d).where("false").select("run_id", "src"), target(s, d)))
+query("validation", EMB.replace("WITH c AS", "WITH RECURSIVE c AS") + """, ie AS (SELECT run_id, src, u, v FROM inner_edges UNION SELECT run_id, src, v, u FROM inner_edges),
+ reach(run_id, src, node) AS (SELECT run_id, src, min(qubit) FROM c GROUP BY ALL UNION SELECT r.run_id, r.src, ie.v FROM reach r JOIN ie ON ie.run_id = r.run_id AND ie.src = r.src AND ie.u = r.node),
+ tt AS (SELECT u, v FROM t UNION SELECT v, u FROM t), r AS (SELECT DISTINCT run_id FROM c),
+ kept AS (SELECT DISTINCT a.run_id, a.src AS u FROM c a JOIN tt ON tt.u = a.qubit JOIN c b ON b.run_id = a.run_id AND b.qubit = tt.v AND b.src = a.src + 1),
+ bad AS (SELECT r.run_id, 0 AS k FROM r, range(1, 8) s(src) WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.run_id = r.run_id AND c.src = s.src)
+  UNION ALL SELECT n.run_id, 2 FROM (SELECT run_id, src, count(DISTINCT qubit) AS n FROM c GROUP BY ALL) n JOIN (SELECT run_id, src, count(*) AS n FROM reach GROUP BY ALL) m ON m.run_id = n.run_id AND m.src = n.src WHERE m.n < n.n
+  UNION ALL SELECT run_id, 3 FROM c GROUP BY run_id, qubit HAVING count(*) > 1
+  UNION ALL SELECT r.run_id, 4 FROM r, range(1, 7) s(u) WHERE NOT EXISTS (SELECT 1 FROM kept WHERE kept.run_id = r.run_id AND kept.u = s.u)),
+ f AS (SELECT run_id, min(k) AS k FROM bad GROUP BY run_id)
+ SELECT r.run_id, k IS NULL AS passed, ['coverage', 'non_empty_chains', 'connectivity', 'disjointness', 'edge_preservation'][k + 1] AS "check" FROM r LEFT JOIN f USING (run_id)""")(
+    lambda s, d: graphs.validate(source_nodes(s, d).where("src < 8"), source_edges(s, d).where("v < 8"), chains(s, d), chains(s, d).where("false").select("run_id", "src"), target(s, d)))
 query("key_problems", EMB + """, n AS (SELECT r.run_id, s.src FROM (SELECT DISTINCT run_id FROM c) r, range(1, 6) s(src))
  SELECT run_id, 'extra_keys' AS problem, count(*) AS n FROM (SELECT DISTINCT run_id, src FROM c WHERE src > 5) GROUP BY run_id
  UNION ALL SELECT run_id, 'missing_keys', count(*) FROM n WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.run_id = n.run_id AND c.src = n.src) GROUP BY run_id
@@ -75,8 +94,13 @@ query("faulted_edges", EMB + " SELECT u, v FROM t WHERE u % 10 <> 3 AND v % 10 <
 
 query("chimera_edges", """WITH n AS (SELECT i, j, side, k, ((i * 6 + j) * 2 + side) * 4 + k AS id FROM range(5) a(i), range(6) b(j), range(2) c(side), range(4) x(k))
  SELECT a.id AS u, b.id AS v FROM n a JOIN n b ON (a.i = b.i AND a.j = b.j AND a.side = 0 AND b.side = 1) OR (a.side = 0 AND b.side = 0 AND a.k = b.k AND a.j = b.j AND b.i = a.i + 1) OR (a.side = 1 AND b.side = 1 AND a.k = b.k AND a.i = b.i AND b.j = a.j + 1)""")(lambda s, d: graphs.chimera(s, 5, 6, 4))
-query("pegasus_edges")(lambda s, d: graphs.pegasus(s, 4))
-query("zephyr_edges")(lambda s, d: graphs.zephyr(s, 3))
+query("pegasus_edges", """WITH q AS (SELECT id, id // 144 AS u, (id // 36) % 4 AS w, (id // 3) % 12 AS k, id % 3 AS z FROM range(288) t(id)),
+ a AS (SELECT id, w * 12 + k AS x, z * 12 + [2, 10, 6][k // 4 + 1] AS y0 FROM q WHERE u = 0), b AS (SELECT id, w * 12 + k AS y, z * 12 + [6, 2, 10][k // 4 + 1] AS x0 FROM q WHERE u = 1),
+ i AS (SELECT a.id AS u, b.id AS v FROM a JOIN b ON a.x BETWEEN b.x0 AND b.x0 + 11 AND b.y BETWEEN a.y0 AND a.y0 + 11), s AS (SELECT u AS id FROM i UNION SELECT v FROM i),
+ r AS (SELECT id AS u, id + 1 AS v FROM q WHERE z < 2 UNION ALL SELECT id, id + 3 FROM q WHERE k % 2 = 0)
+ SELECT u, v FROM i UNION ALL SELECT u, v FROM r WHERE u IN (SELECT id FROM s) AND v IN (SELECT id FROM s)""")(lambda s, d: graphs.pegasus(s, 4))
+query("zephyr_edges", """WITH q AS (SELECT id, id // 168 AS u, (id // 24) % 7 AS w, (id // 3) % 2 AS j, id % 3 AS z FROM range(336) t(id)), c AS (SELECT *, unnest([2 * z + j, 2 * z + j + 1]) AS cross_ FROM q)
+ SELECT a.id AS u, b.id AS v FROM c a JOIN c b ON a.u = 0 AND b.u = 1 AND a.w = b.cross_ AND a.cross_ = b.w UNION ALL SELECT id, id + 1 FROM q WHERE z < 2 UNION ALL SELECT id, id + 3 FROM q WHERE j = 0 UNION ALL SELECT id, id + 2 FROM q WHERE j = 0 AND z > 0""")(lambda s, d: graphs.zephyr(s, 3))
 for _name, _args, _sql in (
     ("complete", (40,), "SELECT u, v FROM range(40) a(u), range(40) b(v) WHERE u < v"),
     ("bipartite", (7, 9), "SELECT u, v FROM range(7) a(u), range(7, 16) b(v)"),

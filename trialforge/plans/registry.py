@@ -136,7 +136,14 @@ query("density_lines", f" SELECT algorithm, problem_nodes, problem_density, {_r(
 GRID = ", g AS (SELECT *, (ceil((problem_nodes - (SELECT min(problem_nodes) FROM runs WHERE success)) / 10.0) - 1)::BIGINT AS size_bin, (ceil(round(problem_density / 0.05, 9)) - 1)::BIGINT AS density_bin FROM runs WHERE success)"
 query("size_density_grid", GRID + f" SELECT size_bin, density_bin, {_r('avg(avg_chain_length) AS value')}, count(*) AS n FROM g WHERE size_bin >= 0 AND density_bin >= 0 GROUP BY ALL")(lambda s, d: plotdata.size_density_grid(derived(s, d)))
 query("grid_by_algorithm", GRID + ", c AS (SELECT algorithm, size_bin, density_bin, avg(avg_chain_length) AS value, count(*) AS n FROM g WHERE size_bin >= 0 AND density_bin >= 0 GROUP BY ALL) SELECT algorithm, size_bin, density_bin, round(value, 7) AS value, n, round(min(value) OVER (), 7) AS v_min, round(max(value) OVER (), 7) AS v_max, max(size_bin) OVER () AS x_max FROM c")(lambda s, d: plotdata.grid_by_algorithm(derived(s, d)))
-query("smoothed_grid")(lambda s, d: plotdata.smoothed(plotdata.size_density_grid(derived(s, d))))
+_PASS = """, {out} AS (SELECT {keys}, sum(s.value * k.w{times}) AS value, sum(s.w * k.w) AS w FROM {box} CROSS JOIN k CROSS JOIN LATERAL (SELECT ((t + d - lo) % (2 * n) + 2 * n) % (2 * n) AS m) f
+ JOIN {src} s ON s.{c} = lo + CASE WHEN m < n THEN m ELSE 2 * n - 1 - m END GROUP BY ALL)"""
+SMOOTH = GRID + """, g0 AS (SELECT size_bin, density_bin, avg(avg_chain_length) AS value, 1.0::DOUBLE AS w FROM g WHERE size_bin >= 0 AND density_bin >= 0 GROUP BY ALL),
+ k AS (SELECT d, exp(-0.5 * d * d) / sum(exp(-0.5 * d * d)) OVER () AS w FROM range(-4, 5) x(d)),
+ bs AS (SELECT unnest(range(lo, hi + 1)) AS t, lo, hi - lo + 1 AS n FROM (SELECT min(size_bin) AS lo, max(size_bin) AS hi FROM g0)),
+ bd AS (SELECT unnest(range(lo, hi + 1)) AS t, lo, hi - lo + 1 AS n FROM (SELECT min(density_bin) AS lo, max(density_bin) AS hi FROM g0))""" + _PASS.format(out="g1", keys="t AS size_bin, s.density_bin", box="bs", src="g0", c="size_bin", times="") + _PASS.format(
+    out="g2", keys="s.size_bin, t AS density_bin", box="bd", src="g1", c="density_bin", times="")
+query("smoothed_grid", SMOOTH + " SELECT size_bin, density_bin, CASE WHEN w > 0.05 THEN round(value / w, 7) END AS value FROM g2")(lambda s, d: plotdata.smoothed(plotdata.size_density_grid(derived(s, d))))
 POINTS = ", p AS (SELECT algorithm, graph_name, avg(wall_time) AS x, avg(avg_chain_length) AS y FROM runs WHERE success GROUP BY ALL)"
 query("pareto_points", POINTS + " SELECT algorithm, graph_name, round(x, 7) AS x, round(y, 7) AS y FROM p")(lambda s, d: plotdata.pareto_points(derived(s, d)))
 query("pareto_front", POINTS + " SELECT algorithm, graph_name, round(x, 7) AS x, round(y, 7) AS y FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.x <= p.x AND q.y <= p.y AND (q.x < p.x OR q.y < p.y))")(lambda s, d: plotdata.pareto_front(plotdata.pareto_points(derived(s, d))))
