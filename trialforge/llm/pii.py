@@ -108,7 +108,7 @@ def form(word: str) -> int:
 #: Most words in a pattern, most bits in a table of patterns.
 WIDTH, MOST_BITS = 3, 1 << 27
 #: Occurrences, and patterns with their counts, that a task holds.
-HELD = 1 << 20
+HELD = 1 << 18
 _EDGE = np.zeros(256, dtype=bool)
 _EDGE[list(STRIP.encode())] = True
 _STEP = constants(WIDTH, 31)
