@@ -9,6 +9,7 @@ from __future__ import annotations
 import ctypes
 import math
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -84,7 +85,10 @@ def release() -> None:
         pass
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def keeping_units(run: Batches) -> Batches:
     """The same function of batches, which releases memory at the end of a task."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,6 +100,19 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return tidied
 
 
+def tidy(run: Batches) -> Batches:
+    """The same, for functions that do not use the tokenizer: what it has remembered in this process goes."""
+    keeping = keeping_units(run)
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded = sys.modules.get("trialforge.llm.tokens")
+        if loaded:
+            loaded.forget()
+        yield from keeping(batches)
+
+    return tidied
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read it back."""
     spark = df.sparkSession

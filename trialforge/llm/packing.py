@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialforge.llm.common import discard, tidy, tokenizer_path, written
+from trialforge.llm.common import discard, keeping_units, tokenizer_path, written
 from trialforge.llm.tokens import tokenizer
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"

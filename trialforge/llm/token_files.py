@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialforge.llm.common import n_parts, tidy, tokenizer_path, written
+from trialforge.llm.common import keeping_units, n_parts, tidy, tokenizer_path, written
 from trialforge.llm.tokens import tokenizer
 
 MAGIC = b"TFHUFF01"

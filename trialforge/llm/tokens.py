@@ -8,8 +8,8 @@ straight to the library's BPE model). A text with a cut that is not certain (run
 very long units) is encoded whole.
 
 Units are found by a 62-bit hash in a table of numpy arrays, a slice of texts at a time, and a hit
-counts only where 62 further bits agree. The memo is per worker process and is emptied when it has
-`limit` units.
+counts only where 32 further bits agree. The memo is per worker process and is emptied when it has
+`limit` units, or when the process turns to another operator.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def byte_letters() -> list[str]:
 
 
 class UnitTokenizer:
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         quiet_env()
         from tokenizers import Tokenizer
 
@@ -49,7 +49,7 @@ class UnitTokenizer:
 
     def clear(self) -> None:
         self.keys = np.zeros(int(self.mask) + 1, np.uint64)
-        self.checks = np.zeros(int(self.mask) + 1, np.uint64)
+        self.checks = np.zeros(int(self.mask) + 1, np.uint32)
         self.values = np.zeros(int(self.mask) + 1, np.int32)
         self.flat = np.zeros(1 << 16, np.int32)
         self.begin, self.size = np.zeros(1 << 15, np.int32), np.zeros(1 << 15, np.int32)
@@ -132,6 +132,7 @@ class UnitTokenizer:
         keep = later | (ends > starts)
         starts, ends, later, doc = starts[keep], ends[keep], later[keep], doc[keep]
         h, check = Ranges(data, 4).of(starts, ends)
+        check = check.astype(np.uint32)
         h ^= np.where(later, _LATER, np.uint64(0))
         h[h == 0] = 1
         unit = self._find(h, check)
@@ -187,6 +188,12 @@ class UnitTokenizer:
 _LOADED: dict[str, UnitTokenizer] = {}
 
 
+def forget() -> None:
+    """Empty the memos of this process."""
+    for t in _LOADED.values():
+        t.clear()
+
+
 def tokenizer(path: str) -> UnitTokenizer:
     """One per worker process and file."""
     if path not in _LOADED:
