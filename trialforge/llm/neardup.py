@@ -65,7 +65,6 @@ def sketch(docs: DataFrame, n: int) -> DataFrame:
     salt = constants(BANDS * BAND_ROWS, 7).reshape(BANDS, BAND_ROWS)
 
     @tidy
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(2))
@@ -192,7 +191,6 @@ def first_pairs(rows: DataFrame, share: Fraction, miss: float) -> DataFrame:
     bounds, sure = least_matches(float(share), miss), sure_matches(float(share))
 
     @tidy
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped_rows(batches, "group"):
             group, node, side, size = _table(table, "group", "node", "side", "n_shingles")
@@ -229,7 +227,6 @@ def residual_links(rows: DataFrame, share: Fraction, miss: float) -> DataFrame:
     bounds = least_matches(float(share), miss)
 
     @tidy
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped_rows(batches, "group"):
             group, node, comp, side, size, band = _table(table, "group", "node", "comp", "side", "n_shingles", "band")
@@ -270,7 +267,6 @@ def verify(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
 
     @tidy
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             on = np.zeros(batch.num_rows, bool)
@@ -343,7 +339,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: str = "0.8", m
     source = _rows(docs).withColumn("id", F.coalesce("doc_id", F.lit(LAST))).select("id", "th", "text")
 
     @tidy
-
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(1))

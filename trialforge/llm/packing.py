@@ -40,8 +40,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def pieces(docs: DataFrame, path: str, seq_len: int, end_id: int) -> DataFrame:
     """One row per piece of each document (null or empty text: the end id alone)."""
 
-    @tidy
-
+    @keeping_units
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for batch in batches:

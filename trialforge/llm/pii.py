@@ -231,7 +231,6 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(bit_table(patterns))
 
     @tidy
-
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
@@ -326,7 +325,6 @@ def scan(docs: DataFrame) -> DataFrame:
     """Base spans and graph nodes of each document."""
 
     @tidy
-
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -410,7 +408,6 @@ def redacted(docs: DataFrame) -> DataFrame:
     found = find_pii(docs).where("spans <> ''").select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("row_id"), F.col("text_hash").alias("row_hash"), F.col("spans").alias("found")).dropDuplicates(["row_id", "row_hash"])
 
     @tidy
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = batch.columns[:-1]

@@ -73,7 +73,6 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     places, signs = index_vectors()
 
     @tidy
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ROWS * DIMS)
         for batch in batches:
@@ -208,7 +207,6 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> tuple[np.nd
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     @tidy
-
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(2))
@@ -228,7 +226,6 @@ def score(docs: DataFrame, vectors: np.ndarray, net: Network, cut: float = 0.3)
     """doc_id, held_out, score and predicted of each row, by whole texts; null texts are empty."""
 
     @tidy
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(2))
@@ -245,7 +242,6 @@ def keep(docs: DataFrame, vectors: np.ndarray, net: Network, cut: float = 0.3) -
     at = docs.columns.index("text")
 
     @tidy
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(batch.column(at))

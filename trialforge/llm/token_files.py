@@ -167,8 +167,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 2, part
     edges = docs.select(F.percentile_approx("doc_id", F.array(*[F.lit(k / parts) for k in range(1, parts)]), 20 * parts)).head()[0] or [] if parts > 1 else []
     edges = np.unique(np.array(edges, np.int64))
 
-    @tidy
-
+    @keeping_units
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, squeeze = tokenizer(path), zstandard.ZstdCompressor(1).compress
         for batch in batches:
@@ -247,7 +246,6 @@ def token_digests(shards: DataFrame) -> DataFrame:
     """Read the shards back: doc_id, start, n_tokens and crc32 of the ids as little-endian u32."""
 
     @tidy
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
@@ -264,7 +262,6 @@ def read_tokens(shards: DataFrame) -> DataFrame:
     """Read the shards back: doc_id and its ids."""
 
     @tidy
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
