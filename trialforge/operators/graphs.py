@@ -411,9 +411,9 @@ def generate(spark: SparkSession, family: str, *p: int) -> DataFrame:
         if family == "honeycomb":  # a brick wall
             return right.unionByName(at.where((r < rows - 1) & ((r + c) % 2 == 0)).select("u", (u + columns).alias("v")))
         down = at.where(r < rows - 1).select("u", (u + columns).alias("v"))
-        falling = at.where((r < rows - 1) & (c < columns - 1) & (r % 2 == 0) & (c % 2 == 0)).select("u", (u + columns + 1).alias("v"))
-        rising = at.where((r < rows - 1) & (c > 0) & (r % 2 == 1) & (c % 2 == 0)).select("u", (u + columns - 1).alias("v"))
-        return right.unionByName(down).unionByName(falling).unionByName(rising)
+        # cells alternate, and every second one has a diagonal, which rises to the right
+        rising = at.where((r > 0) & (c < columns - 1) & ((r + c) % 2 == 0)).select((u - columns + 1).alias("u"), F.col("u").alias("v"))
+        return right.unionByName(down).unionByName(rising)
     if family == "kagome":
         return line_graph(generate(spark, "honeycomb", *p))
     if family == "bcc_lattice":

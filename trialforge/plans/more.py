@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialforge.operators import catalog, derive, filters, graphs, properties, tasks
+from trialforge.operators import catalog, derive, filters, generators, graphs, properties, tasks
 from trialforge.plans.registry import query
 from trialforge.plans.roles import derived, table
 from trialforge.streaming import ingest
@@ -117,6 +117,18 @@ for _name, _args, _sql in (
 ):
     query(f"graph_{_name}", f"SELECT u::BIGINT AS u, v::BIGINT AS v FROM ({_sql})")(lambda s, d, n=_name, a=_args: graphs.generate(s, n, *a).select(F.col("u").cast("long"), F.col("v").cast("long")))
 
+_GRID = "SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM (SELECT r * {c} + k AS u, (r + dr + {r}) % {r} * {c} + (k + dc + {c}) % {c} AS v FROM range({r}) a(r), range({c}) b(k), (VALUES {moves}) m(dr, dc){where}) WHERE u <> v"
+for _name, _call, _sql in (
+    ("grid_periodic", lambda s: generators.periodic(s, "grid", 6, 5), _GRID.format(r=6, c=5, moves="(0, 1), (1, 0)", where="")),
+    ("king_periodic", lambda s: generators.periodic(s, "king_graph", 6, 5), _GRID.format(r=6, c=5, moves="(0, 1), (1, 0), (1, 1), (1, -1)", where="")),
+    ("shastry_sutherland_periodic", lambda s: generators.periodic(s, "shastry_sutherland", 6, 4), _GRID.format(r=6, c=4, moves="(0, 1), (1, 0), (-1, 1)", where=" WHERE dr >= 0 OR (r + k) % 2 = 0")),
+    ("shastry_sutherland", lambda s: graphs.generate(s, "shastry_sutherland", 6, 5), "SELECT u, v FROM range(30) a(u), range(30) b(v) WHERE (v = u + 1 AND u % 5 < 4) OR v = u + 5 OR (v = u + 4 AND u % 5 > 0 AND (v // 5 + v % 5) % 2 = 0)"),
+    ("cubic_periodic", lambda s: generators.periodic(s, "cubic_lattice", 3, 4, 5), "SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM (SELECT (x * 4 + y) * 5 + z AS u, ((x + i) % 3 * 4 + (y + j) % 4) * 5 + (z + k) % 5 AS v FROM range(3) a(x), range(4) b(y), range(5) c(z), (VALUES (1, 0, 0), (0, 1, 0), (0, 0, 1)) m(i, j, k))"),
+    ("portfolio_block", lambda s: generators.portfolio(s, 23, "block"), "WITH n AS (SELECT u, CASE WHEN u < 15 THEN u // 5 ELSE 3 + (u - 15) // 4 END AS b FROM range(23) a(u)) SELECT a.u, b.u AS v FROM n a JOIN n b ON a.u < b.u AND a.b = b.b"),
+    ("honeycomb_cells", lambda s: generators.honeycomb_cells(s, 2, 3), "WITH n AS (SELECT i, j, row_number() OVER (ORDER BY i, j) - 1 AS k FROM range(4) a(i), range(6) b(j) WHERE NOT (i IN (0, 3) AND j = 5)) SELECT a.k AS u, b.k AS v FROM n a JOIN n b ON (a.i = b.i AND b.j = a.j + 1) OR (b.i = a.i + 1 AND a.j = b.j AND a.i % 2 = a.j % 2)"),
+):
+    query(f"graph_{_name}", f"SELECT u::BIGINT AS u, v::BIGINT AS v FROM ({_sql})")(lambda s, d, f=_call: f(s).select(F.col("u").cast("long"), F.col("v").cast("long")))
+
 # Tasks.
 GRAPHS = "SELECT p_partkey AS graph_id, 'g' || p_partkey AS graph_name, p_size AS nodes, p_size * 3 AS edges, CASE WHEN p_partkey % 3 = 0 THEN ['chi', 'PEG'] END AS topologies FROM part"
 PLAN = f"""WITH g AS ({GRAPHS}), a(algorithm, supported) AS (VALUES ('x', NULL), ('y', ['chimera'])), t(topology_name, most_nodes, most_edges) AS (VALUES ('chimera_4', 20, 70), ('pegasus_4', 40, 100)),
