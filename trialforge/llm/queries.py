@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialforge.llm import mixing, neardup, packing, pii, quality, rules, substring, token_files, webp
+from trialforge.llm import counts, mixing, neardup, packing, pii, quality, rules, substring, token_files, webp
 from trialforge.llm.common import documents, written
 
 
@@ -52,8 +52,27 @@ def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(documents(spark, sf_dir))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(documents(spark, sf_dir))
+
+
+OPERATORS = (
+    op1_minhash_near_dedup,
+    op2_best_fit_packing,
+    op3_quality_classifier,
+    op4_suffix_array_dedup,
+    op5_token_files,
+    op6_source_mixing,
+    op7_substring_dedup,
+    op8_host_quality_rules,
+    op9_lossless_webp,
+    op10_contextual_pii,
+    op13_token_counts,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_quality_classifier, op4_suffix_array_dedup, op5_token_files, op6_source_mixing, op7_substring_dedup, op8_host_quality_rules, op9_lossless_webp, op10_contextual_pii)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:

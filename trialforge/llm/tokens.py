@@ -96,6 +96,10 @@ class UnitTokenizer:
         self.used += total
         self.units += n
 
+    def _certain(self, part: str, later: bool) -> bool:
+        """Whether a unit may be encoded by itself, besides the rules on its length and first character."""
+        return True
+
     def _library_ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -144,7 +148,7 @@ class UnitTokenizer:
             apart = check[missing] != check[missing[first]][back]
             for j, (a, b, sp) in enumerate(zip(starts[missing[first]].tolist(), ends[missing[first]].tolist(), later[missing[first]].tolist())):
                 part = raw[a:b].decode()
-                if b - a > LONGEST_UNIT or sp and (not part or part[0].isspace()):
+                if b - a > LONGEST_UNIT or sp and (not part or part[0].isspace()) or not self._certain(part, sp):
                     safe[j] = False
                 else:
                     strings.append(" " + part if sp else part)
