@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialforge.llm.common import buffers, grouped_rows, keeping_units, n_parts, slices, tidy, tokenizer_path, written
-from trialforge.llm.counts import differences, squeeze, summed, widen
+from trialforge.llm.counts import differences, joined, parted, squeeze, summed, widen
 from trialforge.llm.pieces import exact_tokenizer, spaced
 
 #: Cells of one dense block.
@@ -140,7 +140,7 @@ def _chunks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             per = np.bincount(doc, minlength=batch.num_rows)
             steps = differences(slots.reshape(-1), (np.cumsum(per) - per)[per > 0])
             packed = [squeeze(scalars[k].astype(kind)) for k, kind in _SCALARS] + [squeeze(per.astype("<u4")), squeeze(steps), squeeze(times.astype("<u4"))]
-            rows = [(-1, None, None, _joined(packed))]
+            rows = [(-1, None, None, joined(packed))]
             block = (CELLS // wide or 1) * wide
             cut = np.flatnonzero(np.diff(codes // block, prepend=-1, append=-1))
             for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
@@ -152,15 +152,6 @@ def _chunks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(link, _ROW_TYPE)
 
 
-def _joined(parts: list[bytes]) -> bytes:
-    return np.array([len(p) for p in parts], "<u8").tobytes() + b"".join(parts)
-
-
-def _parted(raw: bytes, n: int) -> list[bytes]:
-    ends = n * 8 + np.cumsum(np.frombuffer(raw, "<u8", n).astype(np.int64))
-    return [raw[x:y] for x, y in zip([n * 8, *ends[:-1].tolist()], ends.tolist())]
-
-
 def _codes(raw: bytes) -> np.ndarray:
     return np.cumsum(widen(raw, "<u4").astype(np.int64))
 
@@ -220,7 +211,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None)
     blocks = written(_add_up(level, parts, wide, kind, True), "blocks")
 
     # each gang of a stripe's rows meets its block, which stands first
-    first = blocks.select("stripe", F.explode(F.sequence(F.lit(0), F.lit(gangs - 1))).cast("long").alias("gang"), F.lit(-1).cast("long").alias("chunk"), "codes", "counts", "best")
+    first = blocks.select("stripe", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(gangs - 1).cast("long"))).alias("gang"), F.lit(-1).cast("long").alias("chunk"), "codes", "counts", "best")
     asked = dealt.select("stripe", "gang", "chunk", "codes", F.lit(None).cast("binary").alias("counts"), F.lit(None).cast("binary").alias("best"))
     meeting = first.unionByName(asked).repartition(parts, "stripe", "gang").sortWithinPartitions("stripe", "gang", "chunk")
 
@@ -245,7 +236,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None)
     @tidy
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped_rows(batches, "chunk"):
-            *scalars, per, steps, times = _parted(table.column("docs")[0].as_py(), len(_SCALARS) + 3)
+            *scalars, per, steps, times = parted(table.column("docs")[0].as_py(), len(_SCALARS) + 3)
             held = {k: widen(raw, kind) for raw, (k, kind) in zip(scalars, _SCALARS)}
             per, times = widen(per, "<u4").astype(np.int64), widen(times, "<u4").astype(np.int64)
             slots = summed(widen(steps, "<u4"), per)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialforge.llm import counts, mixing, neardup, packing, pii, quality, rules, substring, token_files, webp
+from trialforge.llm import alignment, counts, mixing, neardup, packing, pii, quality, rules, substring, token_files, tries, webp
 from trialforge.llm.common import documents, written
 
 
@@ -52,6 +52,14 @@ def op10_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(documents(spark, sf_dir))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(tries.conversations(spark, sf_dir))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(documents(spark, sf_dir))
 
@@ -67,6 +75,8 @@ OPERATORS = (
     op8_host_quality_rules,
     op9_lossless_webp,
     op10_contextual_pii,
+    op11_token_alignment,
+    op12_prefix_trie,
     op13_token_counts,
 )
 
@@ -76,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {op6_source_mixing.__name__: mixing.ORACLE, op8_host_quality_rules.__name__: rules.ORACLE}
+    return {op6_source_mixing.__name__: mixing.ORACLE, op8_host_quality_rules.__name__: rules.ORACLE, op12_prefix_trie.__name__: tries.ORACLE}
