@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.llm.common import buffers, grouped_rows, keeping_units, n_parts, slices, tidy, tokenizer_path, written
-from trialforge.llm.counts import differences, joined, parted, squeeze, summed, widen
+from trialforge.llm.common import buffers, keeping_units, n_parts, slices, tidy, tokenizer_path, written
+from trialforge.llm.counts import differences, joined, parted, runs, squeeze, summed, widen
 from trialforge.llm.pieces import exact_tokenizer, spaced
 
 #: Cells of one dense block.
@@ -235,7 +235,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None)
 
     @tidy
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped_rows(batches, "chunk"):
+        for table in runs(batches, "chunk"):
             *scalars, per, steps, times = parted(table.column("docs")[0].as_py(), len(_SCALARS) + 3)
             held = {k: widen(raw, kind) for raw, (k, kind) in zip(scalars, _SCALARS)}
             per, times = widen(per, "<u4").astype(np.int64), widen(times, "<u4").astype(np.int64)

@@ -68,6 +68,15 @@ def parted(raw: bytes, n: int) -> list[bytes]:
     return [raw[x:y] for x, y in zip([n * 8, *ends[:-1].tolist()], ends.tolist())]
 
 
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """One table for each run of equal `key`, from batches sorted by it."""
+    for table in grouped_rows(batches, key):
+        keys = table.column(key).to_numpy()
+        edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])).tolist() + [len(keys)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            yield table.slice(a, b - a)
+
+
 class Remembered:
     """Small numbers by 64-bit hashes, with 32 further bits as a check: an open table of numpy arrays that grows."""
 
@@ -190,7 +199,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 4096) ->
 
     @tidy
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped_rows(batches, "chunk"):
+        for table in runs(batches, "chunk"):
             first, *found = table.column("data").to_pylist()
             ids, null, sizes, held, slots, times = (widen(x, kind) for x, kind in zip(parted(first, 6), ("<i8", "u1", "<i8", "<u4", "<u4", "<u4")))
             held = held.astype(np.int64)
