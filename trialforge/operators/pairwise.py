@@ -1,20 +1,21 @@
 """Comparisons of algorithms by pairs, and rank tests over complete problems.
 
 The statistics that need every row (ranks, signed-rank sums, tie sums) are aggregated by Spark;
-only one row for each pair of algorithms reaches the scalar tail functions.
+one row for each pair of algorithms is left for the tails, which are column expressions too.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from trialforge.functions import special
+from trialforge.functions import special, tails
 from trialforge.operators import order
 from trialforge.operators.derive import direction, magnitude
 from trialforge.operators.tables import PROBLEM, average_ranks, per_problem_means
+from trialforge.sources.shared import cut
 
 
 def paired(means: DataFrame, key: str = PROBLEM) -> DataFrame:
@@ -62,13 +63,23 @@ def signed_rank_sums(runs: DataFrame, metric: str = "avg_chain_length") -> DataF
     return base.join(sums, keys, "left").fillna(0, ["m", "w_plus", "w_minus", "ties"])
 
 
-@F.pandas_udf(StructType([StructField("p", DoubleType()), StructField("log10_p", DoubleType())]))
-def _tails(n: pd.Series, m: pd.Series, w: pd.Series, ties: pd.Series, ranks: pd.Series) -> pd.DataFrame:
-    rows = []
-    for nn, mm, ww, tt, rr in zip(n, m, w, ties, ranks):
-        flat = [r["rank"] for r in rr for _ in range(r["t"])] if rr is not None and nn <= 13 else None
-        rows.append((special.wilcoxon_p(nn, mm, ww, tt, flat), special.wilcoxon_log10_p(mm, ww, tt)))
-    return pd.DataFrame(rows, columns=["p", "log10_p"]).astype(float)
+def signed_rank_p(sums: DataFrame) -> DataFrame:
+    """`sums` with p and log10_p: exact by all choices of signs where pairs are few, else the normal approximation.
+
+    Without ties or zeros p is exact up to 50 pairs, with them up to 13. log10_p is the normal approximation always,
+    0 where there is no variance. One row for each pair of algorithms.
+    """
+    m, w, keys = F.col("m"), F.col("w_statistic"), ["algo_a", "algo_b"]
+    distinct = (m == F.col("n_pairs")) & (F.col("ties") == 0) & (F.col("n_pairs") <= 50)
+    given = F.flatten(F.transform("ranks", lambda r: F.array_repeat((2 * r["rank"]).cast("long"), r["t"].cast("int"))))
+    steps = F.when(distinct, F.transform(F.sequence(F.lit(1).cast("long"), m.cast("long")), lambda r: 2 * r)).when(F.col("n_pairs") <= 13, given)
+    sums = cut(sums, "signed-ranks")
+    exact = tails.signed_rank_tails(sums.where(m > 0).select(*keys, steps.alias("steps"), w.alias("w")).where("steps is not null"), keys)
+    variance = m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48
+    score = F.when((m > 0) & (variance > 0), F.abs(w - m * (m + 1) / 4) / F.sqrt(variance))
+    ln_p = tails.ln_erfc(score / math.sqrt(2))
+    known = sums.join(exact, keys, "left").withColumn("_ln", ln_p)
+    return known.withColumn("p", F.coalesce("tail", F.least(F.lit(1.0), F.exp("_ln")))).withColumn("log10_p", F.coalesce(F.least(F.lit(0.0), F.col("_ln") / math.log(10.0)), F.lit(0.0))).drop("_ln", "tail")
 
 
 def holm(tests: DataFrame, p: str = "p_value") -> DataFrame:
@@ -96,10 +107,10 @@ def _flag(p: Column, alpha: float) -> Column:
 def significance_tests(runs: DataFrame, metric: str = "avg_chain_length", min_pairs: int = 5) -> DataFrame:
     """Wilcoxon signed-rank tests of all pairs with Holm correction; below min_pairs the statistics are null."""
     tests = effect_sizes(signed_rank_sums(runs, metric))
-    tests = tests.withColumn("_t", _tails("n_pairs", "m", "w_statistic", "ties", "ranks"))
+    tests = signed_rank_p(tests)
     enough = F.col("n_pairs") >= min_pairs
-    p = F.when(enough & ~F.isnan("_t.p"), F.col("_t.p"))
-    tests = tests.select("algo_a", "algo_b", "n_pairs", *[F.when(enough, F.col(c)).alias(c) for c in ("median_a", "median_b", "median_diff", "direction", "w_statistic")], p.alias("p_value"), F.when(enough, F.col("_t.log10_p")).alias("log10_p"), F.when(enough, F.col("effect_size")).alias("effect_size"))
+    p = F.when(enough, F.col("p"))
+    tests = tests.select("algo_a", "algo_b", "n_pairs", *[F.when(enough, F.col(c)).alias(c) for c in ("median_a", "median_b", "median_diff", "direction", "w_statistic")], p.alias("p_value"), F.when(enough, F.col("log10_p")).alias("log10_p"), F.when(enough, F.col("effect_size")).alias("effect_size"))
     out = holm(tests)
     for name, alpha in (("significant_005", 0.05), ("significant_001", 0.01), ("significant_0001", 0.001)):
         out = out.withColumn(name, _flag(F.col("corrected_p"), alpha))

@@ -20,9 +20,9 @@ def rounded(df: DataFrame, places: int = 7) -> DataFrame:
     return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, places: int = 7) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir), places)
         if sql is not None:
             ORACLES[name] = f"WITH {RUNS_SQL}{sql}" if sql.lstrip().startswith((",", "SELECT")) else sql
         return f
@@ -82,7 +82,6 @@ query("wilcoxon_statistics", SIGNED + f""" SELECT algo_a, algo_b, n_pairs, {_r("
     lambda s, d: pairwise.effect_sizes(pairwise.signed_rank_sums(derived(s, d))).drop("ranks"))
 query("wilcoxon_normal_score", SIGNED + """ SELECT algo_a, algo_b, round(abs(least(w_plus, w_minus) - m * (m + 1) / 4.0) / sqrt(m * (m + 1) * (2 * m + 1) / 24.0 - ties / 48), 7) AS z
  FROM sums JOIN ties USING (algo_a, algo_b)""")(lambda s, d: pairwise.signed_rank_sums(derived(s, d)).selectExpr("algo_a", "algo_b", "abs(least(w_plus, w_minus) - m * (m + 1) / 4.0) / sqrt(m * (m + 1) * (2 * m + 1) / 24.0 - ties / 48) AS z"))
-query("significance_tests")(lambda s, d: pairwise.significance_tests(derived(s, d)))
 query("holm_correction", PAIRED + """, tests AS (SELECT algo_a, algo_b, avg((va < vb)::INT) / 10 AS p_value FROM paired GROUP BY ALL),
  stepped AS (SELECT *, p_value * (count(*) OVER () - row_number() OVER (ORDER BY p_value, algo_a, algo_b) + 1) AS s FROM tests)
  SELECT algo_a, algo_b, round(p_value, 7) AS p_value, round(least(1.0, max(s) OVER (ORDER BY p_value, algo_a, algo_b ROWS UNBOUNDED PRECEDING)), 7) AS corrected_p FROM stepped""")(
