@@ -52,15 +52,18 @@ def form(word):
 
 def brute(texts, rounds=5, prior=2.0, sure=0.7, support=5, least=0.01):
     """Id spans of each text, and the occurrences of each pattern of the graph."""
-    places, edges, seed, total, sure_places = defaultdict(list), Counter(), set(), Counter(), defaultdict(list)
+    places, edges, seed, total = defaultdict(list), Counter(), set(), Counter()
     for k, text in enumerate(texts):
         base, words = [(a, b) for _, a, b in pii.base_spans(text)], tokens(text)
         random_ = random_strings(text, base)
         runs = {m.span() for m in re.finditer(r"[A-Za-z0-9_-]{16,}", text)}
-        sure_places[k] = random_
         for a, b in base + random_:
-            seed.add(text[a:b].lower())
-            for p in patterns(words, a, b) + [form(text[a:b])] * ((a, b) in random_):
+            found = patterns(words, a, b) + [form(text[a:b])] * ((a, b) in random_)
+            if (a, b) in base or pii.seeding(text[a:b]):
+                seed.add(text[a:b].lower())
+            if (a, b) in random_:
+                places[k].append((a, b, text[a:b], found))
+            for p in found:
                 edges[text[a:b].lower(), p] += 1
                 total[p] += 1
         total.update(form(text[a:b]) for a, b in runs - set(random_))
@@ -86,7 +89,7 @@ def brute(texts, rounds=5, prior=2.0, sure=0.7, support=5, least=0.01):
             doubt[i] *= 1 - 0.999 * score[p] * (score[p] >= least)
         belief = {(i, p): 1.0 if i in seed else 1 - doubt[i] for i, p in edges}
     good = {p for p in distinct if score[p] >= sure and distinct[p] >= support}
-    spans = [",".join(f"id:{a}:{b}" for a, b in sorted([(a, b) for a, b, _, found in places[k] if good & set(found)] + sure_places[k])) for k in range(len(texts))]
+    spans = [",".join(f"id:{a}:{b}" for a, b in sorted((a, b) for a, b, _, found in places[k] if good & set(found))) for k in range(len(texts))]
     return spans, {p: (distinct[p], total[p]) for p in distinct}
 
 
@@ -116,8 +119,8 @@ def test_against_brute_force(spark):
     want, size = brute(texts)
     assert ids(spark, texts) == want and any(want)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    nodes = pii.scan(docs).selectExpr("explode(nodes) node").selectExpr("node.seed seed", "node.instance instance", "explode(node.patterns) pattern")
-    edges = nodes.groupBy("instance", "pattern").agg(F.max("seed").alias("seed"), F.count("*").alias("n"), F.sum(F.col("seed").cast("long")).alias("n_seed"))
+    nodes = pii.scan(docs).selectExpr("explode(nodes) node").selectExpr("node.seed seed", "node.random random", "node.instance instance", "explode(node.patterns) pattern")
+    edges = nodes.groupBy("instance", "pattern").agg(F.max("seed").alias("seed"), F.count("*").alias("n"), F.sum((F.col("seed") | F.col("random")).cast("long")).alias("n_known"))
     got = pii.totals(docs, edges).collect()
     assert sorted((r["support"], r["total"]) for r in got) == sorted(size.values())
 
@@ -150,6 +153,18 @@ def test_whole_words_on_each_side(spark):
     assert got[12] == "id:13:20" and got[13] == "id:6:13" and got[14] == ""
 
 
+def test_random_strings_need_a_pattern(spark):
+    """Strings that look random are no spans where no sure pattern stands around them; where one does, both halves are."""
+    rng = random.Random(6)
+    value = lambda: f"{rng.getrandbits(160):040x}"
+    alone = [f"w{k} q{k} {'Zz' * k}{rng.getrandbits(90):023d}x9y8z7_{k} r{k}" for k in range(3)]
+    texts = [f"n{k} secret = {value()} m{k}" for k in range(40)] + alone
+    got = ids(spark, texts)
+    assert all(got[:40]) and not any(got[40:])
+    halves = {pii.seeding(t.split()[3]) for t in texts[:40]}
+    assert halves == {True, False}
+
+
 def test_recall_and_precision_on_held_out_identifiers(spark):
     """Planted identifiers that are no seeds: short values assigned to names that seeds share or not, and keys of one form."""
     rng = random.Random(8)

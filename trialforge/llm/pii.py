@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and contextual extraction bootstrapped from what they find.
 
-Seeds are the entities of the fixed patterns, and random-looking strings: 20 letters, digits, "-" or
-"_" at least, with four steps or more between letters and digits. Lexical patterns of an entity are
+Seeds are the entities of the fixed patterns, and one half (by a hash of the string) of the random-looking
+strings: 20 letters, digits, "-" or "_" at least, with four steps or more between letters and digits. Lexical patterns of an entity are
 the one, two or three whole words before it, those after it, its neighbours on both sides together,
 and for 16 characters or more its own form (letters in use, first four letters, length). Words are
 lower-cased, without punctuation at their edges; a run of "=" is a word of its own.
@@ -10,8 +10,8 @@ Spark scores the graph of patterns and instances in rounds: a pattern is as good
 share of all its occurrences, with any word or seed there, less a discount for few distinct believed
 instances; an instance is believed as the noisy-or of its patterns, seeds always. So an identifier
 that one round believes is evidence for its other patterns in the next. Patterns that end above
-`sure` then give spans of kind "id" to words that no fixed pattern covers: words of six characters
-or more with a digit, or after "=". Random-looking strings are spans of kind "id" in any case.
+`sure` then give spans of kind "id" to what no fixed pattern covers: random-looking strings of either half,
+and words of six characters or more with a digit, or after "=". Nothing is such a span by its looks alone.
 
 Shares are of occurrences, not of distinct neighbours: distinct words run out as the input grows
 and distinct seeds do not, so a common word would become sure by size alone. Occurrences of the
@@ -98,6 +98,11 @@ def random_looking(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[i
     return [(a, b) for a, b in found if not any(a < d and c < b for _, c, d in spans)] if found else []
 
 
+def seeding(word: str) -> bool:
+    """Whether a random-looking string is in the half that is believed from the start."""
+    return hashlib.blake2b(word.encode(errors="replace"), digest_size=1).digest()[0] < 128
+
+
 def form(word: str) -> int:
     """A number for the form of a run: letters in use, first four letters (not of hex), length."""
     kind = next((name for name, letters in LETTERS if letters.fullmatch(word)), "mixed")
@@ -227,7 +232,7 @@ def _in_table(table: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """How often each of the (distinct) patterns stands at a word outside seeds: (pattern, n)."""
+    """How often each of the (distinct) patterns stands at a word outside base entities and random-looking strings: (pattern, n)."""
     table = docs.sparkSession.sparkContext.broadcast(bit_table(patterns))
 
     @tidy
@@ -255,8 +260,8 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
                 free = np.ones(len(w.start), bool)
                 forms = []
                 for t, at in zip(texts, offsets.tolist()):
-                    seeds, random = seeds_of(t)
-                    for a, b in _places(t, sorted(seeds)):
+                    places, random = counted_places(t)
+                    for a, b in _places(t, sorted(places)):
                         free[np.searchsorted(w.end, at + a, side="right") : np.searchsorted(w.start, at + b)] = False
                     forms += [form(m[0]) for m in RUN.finditer(t) if m.span() not in random]
                 for pattern in (*w.around(np.flatnonzero(free)), np.array(forms, np.int64).view(np.uint64)):
@@ -277,8 +282,8 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def totals(docs: DataFrame, edges: DataFrame) -> DataFrame:
     """Each pattern of the graph with all its occurrences, and its distinct instances in the graph as support."""
-    known = written(edges.groupBy("pattern").agg(F.count("*").alias("support"), F.sum("n_seed").alias("n_seed")), "pii-patterns")
-    total = (F.col("n_seed") + F.coalesce("n", F.lit(0))).alias("total")
+    known = written(edges.groupBy("pattern").agg(F.count("*").alias("support"), F.sum("n_known").alias("n_known")), "pii-patterns")
+    total = (F.col("n_known") + F.coalesce("n", F.lit(0))).alias("total")
     return written(known.join(occurrences(docs, known), "pattern", "left").select("pattern", "support", total), "pii-totals")
 
 
@@ -286,8 +291,8 @@ _NODE = pa.struct([("seed", pa.bool_()), ("random", pa.bool_()), ("start", pa.in
 _NODE_DDL = "struct<seed: boolean, random: boolean, start: bigint, end: bigint, instance: bigint, patterns: array<bigint>>"
 
 
-def seeds_of(text: str) -> tuple[list[tuple[int, int]], set[tuple[int, int]]]:
-    """Places of all seeds, and of those that are random-looking strings."""
+def counted_places(text: str) -> tuple[list[tuple[int, int]], set[tuple[int, int]]]:
+    """Places that the graph counts by itself: of base entities and random-looking strings, and of the latter alone."""
     spans = base_spans(text)
     random = random_looking(text, spans)
     return [(a, b) for _, a, b in spans] + random, set(random)
@@ -296,7 +301,7 @@ def seeds_of(text: str) -> tuple[list[tuple[int, int]], set[tuple[int, int]]]:
 def nodes(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
     """Seeds, and words outside them that may be identifiers, with their patterns."""
     random = random_looking(text, spans)
-    found = [(True, False, a, b) for _, a, b in spans] + [(True, True, a, b) for a, b in random]
+    found = [(True, False, a, b) for _, a, b in spans] + [(seeding(text[a:b]), True, a, b) for a, b in random]
     if "=" in text or DIGIT.search(text):
         covered = sorted((a, b) for _, _, a, b in found)
         k = 0
@@ -376,11 +381,10 @@ def find_pii(docs: DataFrame, rounds: int = 5, prior: float = 2.0, sure: float =
     rows = written(scanned.withColumn("row", F.monotonically_increasing_id()), "pii-rows")
     discard(scanned)
     flat = rows.select("row", F.explode("nodes").alias("node")).select("row", "node.*")
-    links = flat.select("row", "seed", "start", "end", "instance", F.explode("patterns").alias("pattern"))
-    edges = written(links.groupBy("instance", "pattern").agg(F.max("seed").alias("seed"), F.count("*").alias("n"), F.sum(F.col("seed").cast("long")).alias("n_seed")), "pii-edges")
+    links = flat.select("row", "seed", "random", "start", "end", "instance", F.explode("patterns").alias("pattern"))
+    edges = written(links.groupBy("instance", "pattern").agg(F.max("seed").alias("seed"), F.count("*").alias("n"), F.sum((F.col("seed") | F.col("random")).cast("long")).alias("n_known")), "pii-edges")
     good = score_patterns(edges, totals(docs, edges), rounds, prior).where((F.col("confidence") >= sure) & (F.col("support") >= support)).select("pattern")
-    found = links.where("not seed").join(good, "pattern", "left_semi").select("row", "start", "end").distinct()
-    found = found.unionByName(flat.where("random").select("row", "start", "end"))
+    found = links.where("random or not seed").join(good, "pattern", "left_semi").select("row", "start", "end").distinct()
     spans = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ids"))
     ids = F.transform("ids", lambda s: F.concat_ws(":", F.lit("id"), s["start"].cast("string"), s["end"].cast("string")))
     joined = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.array_join(ids, ","))
