@@ -4,11 +4,14 @@ Each document gets counts, a verdict by each of four rules and a base verdict. F
 are summed by host (with partial sums, so one host with a third of all rows is no hot task), the
 hosts' rates are shrunk by a beta prior for each rule, fitted to all hosts by moments, and the
 verdict on the host joins back to its documents. A host fails where its shrunk rate of any rule is
-above the threshold.
+more than `ratio` times the prior's mean, that is the mean of the hosts' rates, and above `least`.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,34 +63,34 @@ def document_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     return d.withColumn("base_failed", F.expr(f"({RULES['short']}) OR ({RULES['repeats']})"))
 
 
-def host_verdicts(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
+def host_verdicts(rows: DataFrame, least: float = 0.25, ratio: float = 2.0) -> DataFrame:
     """Failure rates of each host by rule, shrunk to the beta prior that the hosts' rates have by moments."""
     failures = [F.sum(F.expr(f"cast({rule} AS long)")).alias(f"failed_{name}") for name, rule in RULES.items()]
     hosts = rows.groupBy("host").agg(F.count("*").alias("n"), *failures)
     moments = []
     for name in RULES:
         failed = F.col(f"failed_{name}")
-        moments += [(F.sum(failed) / F.sum("n")).alias(f"mean_{name}"), F.var_pop(failed / F.col("n")).alias(f"spread_{name}")]
+        moments += [F.avg(failed / F.col("n")).alias(f"mean_{name}"), F.var_pop(failed / F.col("n")).alias(f"spread_{name}")]
     # one row, a pair of numbers for each rule
     found = hosts.agg(*moments).head()
-    rates = []
+    rates, outlying = [], []
     for name in RULES:
         mean, spread = found[f"mean_{name}"] or 0.0, found[f"spread_{name}"] or 0.0
         # prior documents, between 1 and 1000
         strength = min(1000.0, max(1.0, mean * (1 - mean) / spread - 1)) if spread else 1000.0
         rates.append(((F.col(f"failed_{name}") + mean * strength) / (F.col("n") + strength)).alias(f"rate_{name}"))
-    highest = F.greatest(*[F.col(f"rate_{name}") for name in RULES])
-    return hosts.select("host", "n", *rates).withColumn("host_failed", highest > threshold)
+        outlying.append(F.col(f"rate_{name}") > max(least, ratio * mean))
+    return hosts.select("host", "n", *rates).withColumn("host_failed", reduce(or_, outlying))
 
 
-def quality_rules(docs: DataFrame, host: str = "source", threshold: float = 0.5) -> DataFrame:
+def quality_rules(docs: DataFrame, host: str = "source", least: float = 0.25, ratio: float = 2.0) -> DataFrame:
     """Counts, base_failed, the host's shrunk failure rate by each rule, and kept.
 
     Every row gives a row. Rows without a host are one host of their own. A null text has no
     words and fails. Other columns are ignored.
     """
     rows = written(document_rules(docs, host), "rules")
-    verdicts = host_verdicts(rows, threshold).withColumnRenamed("host", "of_host")
+    verdicts = host_verdicts(rows, least, ratio).withColumnRenamed("host", "of_host")
     joined = rows.join(verdicts, F.col("host").eqNullSafe(F.col("of_host")), "left")
     kept = ~F.col("base_failed") & ~F.col("host_failed")
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), *[f"rate_{name}" for name in RULES])
@@ -127,18 +130,19 @@ WITH d AS (
 ), h AS (
     SELECT source, rule, count(*) AS n, sum(failed)::BIGINT AS failures FROM long GROUP BY source, rule
 ), p AS (
-    SELECT rule, sum(failures) / sum(n) AS mean, var_pop(failures / n) AS spread FROM h GROUP BY rule
+    SELECT rule, avg(failures / n) AS mean, var_pop(failures / n) AS spread FROM h GROUP BY rule
 ), s AS (
     SELECT rule, mean, CASE WHEN spread = 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0, mean * (1 - mean) / spread - 1)) END AS strength FROM p
 ), v AS (
     SELECT source, max((failures + mean * strength) / (n + strength)) FILTER (rule = 'short') AS rate_short,
            max((failures + mean * strength) / (n + strength)) FILTER (rule = 'repeats') AS rate_repeats,
            max((failures + mean * strength) / (n + strength)) FILTER (rule = 'symbols') AS rate_symbols,
-           max((failures + mean * strength) / (n + strength)) FILTER (rule = 'lines') AS rate_lines
+           max((failures + mean * strength) / (n + strength)) FILTER (rule = 'lines') AS rate_lines,
+           bool_or((failures + mean * strength) / (n + strength) > greatest(0.25, 2 * mean)) AS host_failed
     FROM h JOIN s USING (rule) GROUP BY source
 )
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT greatest(rate_short, rate_repeats, rate_symbols, rate_lines) > 0.5 AS kept,
+       NOT base_failed AND NOT host_failed AS kept,
        round(rate_short, 9) AS rate_short, round(rate_repeats, 9) AS rate_repeats,
        round(rate_symbols, 9) AS rate_symbols, round(rate_lines, 9) AS rate_lines
 FROM f LEFT JOIN v ON f.source IS NOT DISTINCT FROM v.source
