@@ -9,6 +9,7 @@ import struct
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -423,6 +424,24 @@ def test_hosts(spark):
     assert 0.5 < highest(got[0]) < 0.9 and highest(got[100]) < 0.5
 
 
+def test_hosts_in_sql(spark):
+    """A host of repeats that pass the base verdict one by one fails in SQL as well, a third of all rows or not."""
+    word = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    for n in (60, 500):
+        rows = [(k, word(k), f"good{k % 9}", "en", 5) for k in range(900)] + [(1000 + k, word(k).replace(" ", " || "), "bars", "en", 5) for k in range(n)]
+        con = duckdb.connect()
+        con.register("documents", pa.table({k: [r[i] for r in rows] for i, k in enumerate(("doc_id", "text", "source", "lang", "n_chars"))}))
+        want = {r[0]: r[1] for r in con.sql(f"SELECT doc_id, kept FROM ({rules.ORACLE})").fetchall()}
+        got = {r["doc_id"]: r["kept"] for r in rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")).collect()}
+        assert got == want and {d for d, kept in got.items() if not kept} == set(range(1000, 1000 + n))
+
+
+def test_draws_of_rows_without_ids(spark):
+    """Rows that share an id, or have none, draw apart by their texts."""
+    rows = mixing.sized(spark.range(4000).selectExpr("if(id % 2 = 0, null, 7L) doc_id", "concat('a b ', id) text", "'s' source"))
+    assert rows.select("key").distinct().count() == 4000
+
+
 def test_rules_are_native(docs):
     plan = rules.document_rules(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -28,9 +28,9 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def _draw(seed: int) -> Column:
-    """A number in (0, 1) from 48 bits of md5(seed:doc_id)."""
-    hex48 = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12)
+def _draw(seed: int, text: Column) -> Column:
+    """A number in (0, 1) from 48 bits of md5(seed:doc_id:md5(text)), so rows that share an id draw apart."""
+    hex48 = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(text))), 1, 12)
     return (F.conv(hex48, 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
@@ -38,10 +38,10 @@ def sized(docs: DataFrame, seed: int = 17, whole: bool = False) -> DataFrame:
     """doc_id, source, size in words, and the exponential key of each row; on request the row itself."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), symbols.cast("long").alias("symbols"), F.xxhash64(text).alias("text_hash"), *([whole_row(docs)] if whole else []))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), symbols.cast("long").alias("symbols"), F.xxhash64(text).alias("text_hash"), _draw(seed, text).alias("draw"), *([whole_row(docs)] if whole else []))
     # down to the least weight for two symbols a word or more
     weight = F.greatest(F.lit(LEAST_WEIGHT), 1 - F.col("symbols") * 0.375 / F.greatest(F.col("size"), F.lit(1)))
-    return d.withColumn("key", -F.ln(_draw(seed)) / weight).drop("symbols")
+    return d.withColumn("key", -F.ln("draw") / weight).drop("symbols", "draw")
 
 
 def source_targets(rows: DataFrame) -> DataFrame:
@@ -69,8 +69,8 @@ def mix(docs: DataFrame, seed: int = 17, whole: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, taken words, whole epochs and words of the last, partial taking.
 
     The document at the end of a budget is taken in part, so a source's taken words are its target
-    rounded down. A null text or doc_id is a row like others (size 0; one key for all null ids,
-    which then come in order of size and a hash of the text); rows without a source are a source of
+    rounded down. A null text or doc_id is a row like others (size 0 for a null text; rows of one id draw
+    by their texts, and only rows of one id and text share a key); rows without a source are a source of
     their own, the last. Repeated rows are rows of their own. No rows, no result. Other columns are
     ignored; with `whole`, the column `row` has each row as it came.
     """
@@ -121,7 +121,7 @@ WITH d AS (
 ), z AS (
     SELECT doc_id, source, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS size,
            length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS symbols,
-           (('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656 AS draw
+           (('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(text)), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656 AS draw
     FROM d
 ), k AS (
     SELECT doc_id, source, size, -ln(draw) / greatest(0.25::DOUBLE, 1 - symbols * 0.375::DOUBLE / greatest(size, 1)) AS key FROM z
