@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialforge.operators import catalog, derive, filters, generators, graphs, properties, tasks
+from trialforge.operators import catalog, derive, filters, generators, graphs, tasks
 from trialforge.plans.registry import query
 from trialforge.plans.roles import derived, table
 from trialforge.streaming import ingest
@@ -40,9 +40,6 @@ query("components", LABELS + f" SELECT g, node, label FROM l{ROUNDS}")(lambda s,
 query("bfs_levels", """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS u, l_partkey + 1000000 AS v FROM lineitem), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
  w(node, level) AS (SELECT 1::BIGINT, 0 UNION SELECT b.v, w.level + 1 FROM w JOIN b ON b.u = w.node WHERE w.level < 8) SELECT node, min(level)::INT AS level FROM w GROUP BY node""")(
     lambda s, d: graphs.bfs_levels(lines(s, d).select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 1000000).alias("v")).distinct(), 1))
-query("graph_properties")(
-    lambda s, d: properties.properties(lines(s, d).join(table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").select(F.col("o_custkey").cast("long").alias("graph_id"), F.col("l_partkey").alias("u"), (F.col("l_suppkey") + 1000000).alias("v")).distinct())
-)
 
 
 def chains(s: SparkSession, d: str) -> DataFrame:
