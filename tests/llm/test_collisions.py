@@ -81,3 +81,19 @@ def test_units_of_a_tokenizer():
     parts = [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
     assert parts[0] == parts[2] != parts[1]
     assert parts[1] == tok.library.encode(f"x {two}", add_special_tokens=False).ids
+
+
+def test_common_prefixes():
+    """Lengths by ranks are those of the bytes, whatever the limit, in texts that repeat themselves."""
+    rng = np.random.default_rng(3)
+    for limit in (9, 40, 200, 230):
+        unit = rng.integers(0, 2, 37).astype(np.uint8)
+        text = np.concatenate([np.tile(unit, 12), rng.integers(0, 2, 300).astype(np.uint8), np.tile(unit[:5], 90), np.zeros(400, np.uint8)])
+        a, b = (rng.integers(0, len(text) - limit, 500) for _ in range(2))
+        a[:50] = b[:50]
+        levels = []
+        substring.suffix_classes(text, limit, None, levels)
+        got = substring.common_prefixes(text, levels, a, b, limit)
+        for x, y, n in zip(a.tolist(), b.tolist(), got.tolist()):
+            same = text[x : x + limit] == text[y : y + limit]
+            assert n == (limit if same.all() else int(np.argmin(same)))

@@ -394,10 +394,11 @@ class ByteAnchors:
         self.run_start, self.run_end, self.hash = start[order], end[order], h[order]
 
 
-def suffix_classes(text: np.ndarray, length: int, at: np.ndarray | None = None) -> np.ndarray:
+def suffix_classes(text: np.ndarray, length: int, at: np.ndarray | None = None, levels: list[tuple[int, np.ndarray]] | None = None) -> np.ndarray:
     """Rank of each position in the order of suffixes cut to `length` bytes (equal strings, equal ranks).
 
-    With `at`, only these positions are ranked in the last round, and returned.
+    With `at`, only these positions are ranked in the last round, and returned. `levels` gets the ranks of all
+    positions by each shorter length on the way.
 
     Prefix multiplication: ranks by 8 bytes, then by two or three ranks side by side as long as
     they fit in 64 bits. Past the end, bytes 0 and rank 0.
@@ -422,6 +423,8 @@ def suffix_classes(text: np.ndarray, length: int, at: np.ndarray | None = None)
     bits = int(n + 1).bit_length()
     ways = 3 if 3 * bits <= 64 else 2
     while depth < length:
+        if levels is not None:
+            levels.append((depth, rank))
         reach = min(length - depth, (ways - 1) * depth)
         last = at is not None and depth + reach == length
         key = (rank[at] if last else rank).astype(np.uint64)
@@ -435,6 +438,26 @@ def suffix_classes(text: np.ndarray, length: int, at: np.ndarray | None = None)
     return rank if at is None or length > 8 else rank[at]
 
 
+def common_prefixes(text: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
+    """Length of the common prefix of the suffixes at a and at b, `limit` at most.
+
+    Equal ranks by a length go that far at once, from the longest length down; then single bytes are compared.
+    Suffixes at a and b have `limit` bytes at least.
+    """
+    out = np.zeros(len(a), np.int64)
+    longer = limit + 1
+    for depth, rank in (*reversed(levels), (1, text)):
+        # what a longer length left over holds this one fewer times
+        for _ in range((longer - 1) // depth):
+            on = np.flatnonzero(out + depth <= limit)
+            on = on[rank[a[on] + out[on]] == rank[b[on] + out[on]]]
+            if not len(on):
+                break
+            out[on] += depth
+        longer = depth
+    return out
+
+
 class Segments:
     """A bucket's strings with repeated anchors: runs of them, and the distinct contents of runs."""
 
@@ -541,24 +564,23 @@ def _decide_bytes(length: int, keep_first: bool) -> Callable:
         strings = size - (length - 1)
         begin, upto = np.cumsum(size) - size, np.cumsum(strings)
         within = np.arange(upto[-1]) - np.repeat(upto - strings, strings)
-        mine = suffix_classes(text, length, np.repeat(begin, strings) + within)
+        at = np.repeat(begin, strings) + within
+        levels: list[tuple[int, np.ndarray]] = []
+        mine = suffix_classes(text, length, at, levels)
         of = np.array(table.column("of").to_pylist())
-        # only suffixes that share `length` bytes with another can have a factor of that length
-        some = np.flatnonzero(np.bincount(mine)[mine] > 1)
-        by = np.repeat(np.repeat(of, counts), strings)[some]
-        place, doc, key = (np.repeat(x, strings)[some] for x in (place, doc, key))
-        by_place = np.lexsort((place + within[some], doc, by, key))
-        places = np.empty(len(some), np.int64)
-        places[by_place] = np.arange(len(some))
-        order = np.lexsort((places, mine[some]))
-        # common prefixes with the one before, cut at `length`; shorter ones make no difference
-        lcp = np.zeros(len(some), np.int64)
-        lcp[1:] = np.where(np.diff(mine[some][order].astype(np.int64)) == 0, length, 0)
+        # places in order of the documents
+        by_place = np.lexsort((np.repeat(place, strings) + within, np.repeat(doc, strings), np.repeat(np.repeat(of, counts), strings), np.repeat(key, strings)))
+        places = np.empty(len(mine), np.int64)
+        places[by_place] = np.arange(len(mine))
+        # suffix order, the common prefixes of neighbours in it, and the longest factor at an earlier (or later) place
+        order = np.lexsort((places, mine))
+        lcp = np.zeros(len(mine), np.int64)
+        lcp[1:] = common_prefixes(text, levels, at[order[:-1]], at[order[1:]], length)
         factors = previous_factors(places[order], lcp)
         if not keep_first:
             factors = np.maximum(factors, previous_factors(-places[order], lcp))
         again = np.zeros(len(mine), bool)
-        again[some[order]] = factors >= length
+        again[order] = factors >= length
         if not keep_first:
             again |= np.repeat(twice > 0, strings)
         ends = np.cumsum(counts)
