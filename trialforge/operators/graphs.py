@@ -181,8 +181,8 @@ def triangles(edges: DataFrame, keys: list[str]) -> DataFrame:
     second = out.select(*keys, F.col("low.n").alias("x"), F.col("high.n").alias("z"), F.col("high.d").alias("dz"))
     wedges = first.join(second, [*keys, "x"]).where("dy < dz or (dy = dz and y < z)").select(*keys, "x", "y", "z")
     closed = wedges.join(out.select(*keys, F.col("low.n").alias("y"), F.col("high.n").alias("z")), [*keys, "y", "z"])
-    ordered = closed.select(*keys, F.array_sort(F.array("x", "y", "z")).alias("t"))
-    return ordered.select(*keys, F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c"))
+    low, high = F.least("x", "y", "z"), F.greatest("x", "y", "z")
+    return closed.select(*keys, low.alias("a"), (F.col("x") + F.col("y") + F.col("z") - low - high).alias("b"), high.alias("c"))
 
 
 def clustering(edges: DataFrame, keys: list[str]) -> DataFrame:

@@ -117,9 +117,9 @@ def size_density_grid(runs: DataFrame, metric: str = "avg_chain_length", nodes:
     return placed.groupBy(*(by or []), "size_bin", "density_bin").agg(value.alias("value"), F.count("*").alias("n"))
 
 
-def grid_by_algorithm(runs: DataFrame, metric: str = "avg_chain_length") -> DataFrame:
-    """A grid for each algorithm with the limits that all share (0 and 1 for rates)."""
-    grid = size_density_grid(runs, metric, by=["algorithm"])
+def grid_by_algorithm(runs: DataFrame, metric: str = "avg_chain_length", log: bool = False) -> DataFrame:
+    """A grid for each algorithm with the limits that all share (0 and 1 for rates); log: node bins in equal ratios for rates."""
+    grid = size_density_grid(runs, metric, by=["algorithm"], log=log)
     every = Window.partitionBy()
     lo, hi = (F.lit(0.0), F.lit(1.0)) if metric == "success_rate" else (F.min("value").over(every), F.max("value").over(every))
     return grid.withColumns({"v_min": lo, "v_max": hi, "x_max": F.max("size_bin").over(every)})
@@ -270,6 +270,13 @@ def graph_indexed_chain(runs: DataFrame) -> DataFrame:
     return means.join(graph_positions(runs), ["graph_id", PROBLEM])
 
 
+def graph_indexed_points(runs: DataFrame) -> DataFrame:
+    """Each successful trial with its graph's place, nodes and density, and the mean of its algorithm on the graph."""
+    means = graph_indexed_chain(runs).select("algorithm", "graph_id", PROBLEM, "category", "position", "problem_nodes", "problem_density", "mean_value")
+    points = runs.where("success").select("algorithm", "graph_id", PROBLEM, "topology_name", "trial", "seed", F.col("avg_chain_length").alias("value"))
+    return points.join(means, ["algorithm", "graph_id", PROBLEM])
+
+
 def graph_indexed_time(runs: DataFrame) -> DataFrame:
     return runs.select("algorithm", "graph_id", PROBLEM, "topology_name", "trial", "seed", "wall_time", "is_timeout")
 
@@ -282,9 +289,12 @@ def sections(positions: DataFrame) -> DataFrame:
     """
     before = positions.select((F.col("position") + 1).alias("position"), F.col("category").alias("_last"))
     begins = positions.join(before, "position", "left").where("_last is null or _last <> category").select("category", F.col("position").alias("first"))
-    order_ = Window.orderBy("first")
-    end = F.coalesce(F.lead("first").over(order_) - 1, F.lit((positions.agg(F.max("position")).head()[0] or 0)).cast("long"))
-    runs_ = begins.select((F.row_number().over(order_) - 1).cast("long").alias("island"), "category", "first", end.alias("last"))
+    one, last = F.lit(1).cast("long"), positions.agg(F.max("position")).head()[0] or 0
+    begins = begins.withColumns({"_all": F.lit(0), "_one": one, "_back": -F.col("first")})
+    # how many begin before, and the least that begins after: sums over range partitions
+    numbered = order.running(begins, ["_all"], ["first"], "_one", "island")
+    ended = order.running(numbered, ["_all"], ["_back"], "first", "_next", "min")
+    runs_ = ended.select(F.coalesce("island", F.lit(0).cast("long")).alias("island"), "category", "first", F.coalesce(F.col("_next") - 1, F.lit(last)).cast("long").alias("last"))
     return runs_.withColumn("n", F.col("last") - F.col("first") + 1)
 
 

@@ -26,7 +26,7 @@ query("degree_properties", COP + """ SELECT g, count(*) AS n_vertices, (sum(d) /
  round(stddev_pop(d), 7) AS degree_std, max(d) = min(d) AS is_regular FROM deg GROUP BY g""")(lambda s, d: graphs.degree_properties(copurchase(s, d), ["g"]))
 TRI = COP + """, o AS MATERIALIZED (SELECT e.g, CASE WHEN a.d < b.d OR (a.d = b.d AND e.u < e.v) THEN e.u ELSE e.v END AS x, CASE WHEN a.d < b.d OR (a.d = b.d AND e.u < e.v) THEN e.v ELSE e.u END AS y,
   greatest(a.d, b.d) AS dy FROM e JOIN deg a ON a.g = e.g AND a.u = e.u JOIN deg b ON b.g = e.g AND b.u = e.v),
- tri AS (SELECT p.g, list_sort([p.x, p.y, q.y])[1] AS a, list_sort([p.x, p.y, q.y])[2] AS b, list_sort([p.x, p.y, q.y])[3] AS c
+ tri AS (SELECT p.g, least(p.x, p.y, q.y) AS a, p.x + p.y + q.y - least(p.x, p.y, q.y) - greatest(p.x, p.y, q.y) AS b, greatest(p.x, p.y, q.y) AS c
   FROM o p JOIN o q ON p.g = q.g AND p.x = q.x AND (p.dy < q.dy OR (p.dy = q.dy AND p.y < q.y)) JOIN o z ON z.g = p.g AND z.x = p.y AND z.y = q.y)"""
 query("triangles", TRI + " SELECT * FROM tri")(lambda s, d: graphs.triangles(copurchase(s, d), ["g"]))
 query("clustering", TRI + """, loc AS (SELECT g, u, count(*) AS t FROM (SELECT g, unnest([a, b, c]) AS u FROM tri) GROUP BY ALL), j AS (SELECT deg.g, d, coalesce(t, 0) AS t, d * (d - 1) / 2.0 AS p FROM deg LEFT JOIN loc ON deg.g = loc.g AND deg.u = loc.u)
