@@ -79,7 +79,7 @@ def signed_rank_p(sums: DataFrame) -> DataFrame:
     score = F.when((m > 0) & (variance > 0), F.abs(w - m * (m + 1) / 4) / F.sqrt(variance))
     ln_p = tails.ln_erfc(score / math.sqrt(2))
     known = sums.join(exact, keys, "left").withColumn("_ln", ln_p)
-    return known.withColumn("p", F.coalesce("tail", F.least(F.lit(1.0), F.exp("_ln")))).withColumn("log10_p", F.coalesce(F.least(F.lit(0.0), F.col("_ln") / math.log(10.0)), F.lit(0.0))).drop("_ln", "tail")
+    return known.withColumn("p", F.coalesce("tail", F.when(F.col("_ln").isNotNull(), F.least(F.lit(1.0), F.exp("_ln"))))).withColumn("log10_p", F.coalesce(F.least(F.lit(0.0), F.col("_ln") / math.log(10.0)), F.lit(0.0))).drop("_ln", "tail")
 
 
 def holm(tests: DataFrame, p: str = "p_value") -> DataFrame:

@@ -29,7 +29,7 @@ TESTED = """,
  logs AS (SELECT *, CASE WHEN x IS NULL THEN NULL WHEN x = 0 THEN 0
   WHEN x < 2.5 THEN ln(1 - 2 / sqrt(pi()) * exp(-x * x) * x * list_sum(list_transform(range(0, 81), lambda n: exp(n * ln(2 * x * x) - lgamma(2 * n + 2) + n * ln(2) + lgamma(n + 1)))))
   ELSE -x * x - 0.5 * ln(pi()) - ln(x + list_reduce(list_prepend(0.0::DOUBLE, range(200, 0, -1)::DOUBLE[]), lambda a, n: n / 2 / (x + a))) END AS l FROM scores),
- raw AS (SELECT l.*, CASE WHEN n_pairs >= 5 THEN coalesce(e.p, least(1.0, exp(l.l))) END AS p,
+ raw AS (SELECT l.*, CASE WHEN n_pairs >= 5 THEN coalesce(e.p, CASE WHEN l.l IS NOT NULL THEN least(1.0, exp(l.l)) END) END AS p,
   CASE WHEN n_pairs >= 5 THEN coalesce(least(0.0, l.l / ln(10)), 0.0) END AS log10_p,
   CASE WHEN n_pairs >= 5 THEN CASE WHEN m > 0 THEN 1 - 2 * w / (m * (m + 1) / 2.0) ELSE 0 END END AS effect
   FROM logs l LEFT JOIN exact e USING (algo_a, algo_b)),
