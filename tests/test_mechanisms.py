@@ -5,6 +5,9 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -234,3 +237,9 @@ def test_versioned_table(spark):
     kept.merge(spark.createDataFrame([(4, "after")], "k long, b string"))
     assert {r["k"]: r["b"] for r in kept.rows().where("b is not null").collect()} == {3: "x", 103: "new", 4: "after"}
     assert "dynamicpruning" in kept.rows()._jdf.queryExecution().toString().lower()
+
+
+def test_queries_are_listed_without_a_session():
+    root = Path(__file__).resolve().parent.parent
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0 and len(out.stdout.split()) == 2
