@@ -575,7 +575,10 @@ def _decide_bytes(length: int, keep_first: bool) -> Callable:
         # suffix order, the common prefixes of neighbours in it, and the longest factor at an earlier (or later) place
         order = np.lexsort((places, mine))
         lcp = np.zeros(len(mine), np.int64)
-        lcp[1:] = common_prefixes(text, levels, at[order[:-1]], at[order[1:]], length)
+        # equal ranks by the whole length are that long a prefix; the shorter ranks and the bytes tell the others' lengths
+        lcp[1:] = length
+        apart = np.flatnonzero(mine[order[1:]] != mine[order[:-1]]) + 1
+        lcp[apart] = common_prefixes(text, levels, at[order[apart - 1]], at[order[apart]], length)
         factors = previous_factors(places[order], lcp)
         if not keep_first:
             factors = np.maximum(factors, previous_factors(-places[order], lcp))
