@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialforge.llm import mixing, neardup, packing, pii, quality
-from trialforge.llm.common import documents, keyed_rows, written
+from trialforge.llm.common import documents, keyed_rows, meet, written
 
 #: Stages hold a classifier, hashed graphs and a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
@@ -28,7 +28,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each group of near copies (five words, similarity 0.8); equal rows once."""
     first = neardup.near_duplicates(docs).where("first").select(F.col("key_id").alias("row_id"), F.col("text_hash").alias("row_hash")).distinct()
-    kept = keyed_rows(docs).join(first, ["row_id", "row_hash"], "left_semi")
+    kept = meet(keyed_rows(docs), first, ["row_id", "row_hash"], "left_semi")
     return kept.dropDuplicates(["row_id", "row_hash"]).select("row.*")
 
 

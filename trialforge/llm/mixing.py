@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialforge.llm.common import whole_row, written
+from trialforge.llm.common import meet, whole_row, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -89,7 +89,7 @@ def mix(docs: DataFrame, seed: int = 17, whole: bool = False) -> DataFrame:
     sums = sums.select(F.col("source").alias("summed"), "bucket", before.alias("before"))
     plan = sums.join(targets, F.col("summed").eqNullSafe(F.col("of_source"))).select(F.coalesce(F.concat(F.lit("="), "summed"), F.lit("")).alias("mix_key"), "bucket", "before", "source_size", "target", "epochs", "rest")
     within = Window.partitionBy("mix_key", "bucket").orderBy("key", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
-    joined = rows.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0).cast("long"))).join(plan, ["mix_key", "bucket"])
+    joined = meet(rows.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0).cast("long"))), plan, ["mix_key", "bucket"])
     upto = F.col("before") + F.col("within")
     partly = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.col("rest") - upto))
     joined = joined.withColumn("last_words", partly)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.llm.common import Words, buffers, constants, discard, grouped_rows, mix, slices, tidy, written
+from trialforge.llm.common import Words, buffers, constants, discard, grouped_rows, meet, mix, slices, tidy, written
 
 BANDS, BAND_ROWS, SIGNATURE, BATCH = 25, 5, 128, 32
 CHUNK = 256
@@ -278,7 +278,7 @@ def verify(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
                 on[k] = both * share.denominator >= (len(x) + len(y) - both) * share.numerator
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(on)) for c in batch.columns[:2]], names=["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    return meet(meet(pairs, left, "a"), right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame, most: int = 40) -> DataFrame:
@@ -288,9 +288,9 @@ def components(links: DataFrame, most: int = 40) -> DataFrame:
     for _ in range(most):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = meet(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = meet(large, least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, edges = edges, written(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "stars")
         discard(last)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).head())
@@ -331,11 +331,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: str = "0.8", m
     buckets = buckets.groupBy("n", "least", "x", "s").agg(F.min(F.struct("band", "bucket")).alias("first")).select("first.bucket", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     # chunk 0 holds the least hashes, whatever the number of chunks, so that buckets share it
     share_of = F.pmod(F.xxhash64("node"), F.lit(1 << 20))
-    members = written(rows.join(buckets, "bucket").withColumn("chunk", F.floor(share_of * F.col("chunks") / (1 << 20)).cast("int")), "members")
+    members = written(meet(rows, buckets, "bucket").withColumn("chunk", F.floor(share_of * F.col("chunks") / (1 << 20)).cast("int")), "members")
     light = nodes.select("node", "n_shingles", "signature")
 
     # full sets of the nodes in buckets
-    involved = members.select("node").distinct().join(nodes.select("node", "rep"), "node").select("node", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"))
+    involved = meet(members.select("node").distinct(), nodes.select("node", "rep"), "node").select("node", F.col("rep.id").alias("id"), F.col("rep.th").alias("th"))
     source = _rows(docs).withColumn("id", F.coalesce("doc_id", F.lit(LAST))).select("id", "th", "text")
 
     @tidy
@@ -346,36 +346,36 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: str = "0.8", m
                 values, at = shingle_sets(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], shingle)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[x:y], pa.array([values[p:q].tobytes() for p, q in zip(at[:-1], at[1:])], pa.binary())], names=["node", "shingles"])
 
-    found = source.join(involved, ["id", "th"]).select("node", "text").mapInArrow(extract, "node long, shingles binary")
+    found = meet(source, involved, ["id", "th"]).select("node", "text").mapInArrow(extract, "node long, shingles binary")
     sets = written(found, "sets")
 
     # first round: each chunk with itself and with chunk 0
     each = members.select("bucket", "node", F.col("chunk").alias("q"), F.lit(1).alias("side"))
     hub = members.where("chunk = 0 and chunks > 1").select("bucket", "node", F.explode(F.sequence(F.lit(1), F.col("chunks") - 1)).alias("q"), F.lit(0).alias("side"))
-    meet = each.unionByName(hub).join(light, "node").select(_group("bucket", "q").alias("group"), "node", "side", "n_shingles", "signature")
-    pairs = written(first_pairs(meet.repartition("group").sortWithinPartitions("group"), share, miss), "pairs")
+    grouped = meet(each.unionByName(hub), light, "node").select(_group("bucket", "q").alias("group"), "node", "side", "n_shingles", "signature")
+    pairs = written(first_pairs(grouped.repartition("group").sortWithinPartitions("group"), share, miss), "pairs")
     links = written(verify(pairs, sets, share), "verified")
     comps = components(links)
 
     # residual round: nodes outside the largest component of their bucket, against all members
-    placed = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = meet(members, comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     per = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     largest = per.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("bucket", F.col("top.comp").alias("top"))
-    open_ = written(placed.join(largest, "bucket"), "open")
+    open_ = written(meet(placed, largest, "bucket"), "open")
     rest = open_.where("comp <> top")
     blocks = rest.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("blocks"))
-    rest = rest.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
+    rest = meet(rest, blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
     left = rest.select("bucket", "band", "node", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("q"), F.lit(0).alias("side"))
-    right = open_.join(blocks, "bucket").select("bucket", "band", "node", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("chunk").alias("q"), F.lit(1).alias("side"))
-    whole = nodes.select("node", "n_shingles", "signature", "bands").join(sets, "node")
-    meet = left.unionByName(right).join(whole, "node").select(_group("bucket", "block", "q").alias("group"), "band", "node", "comp", "side", "n_shingles", "signature", "bands", "shingles")
-    more = written(residual_links(meet.repartition("group").sortWithinPartitions("group"), share, miss), "more-links")
+    right = meet(open_, blocks, "bucket").select("bucket", "band", "node", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("chunk").alias("q"), F.lit(1).alias("side"))
+    whole = meet(nodes.select("node", "n_shingles", "signature", "bands"), sets, "node")
+    grouped = meet(left.unionByName(right), whole, "node").select(_group("bucket", "block", "q").alias("group"), "band", "node", "comp", "side", "n_shingles", "signature", "bands", "shingles")
+    more = written(residual_links(grouped.repartition("group").sortWithinPartitions("group"), share, miss), "more-links")
     if not more.isEmpty():
         comps = components(comps.where("node > comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
 
-    joined = nodes.select("node", "digest", "rep").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    joined = meet(nodes.select("node", "digest", "rep"), comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = joined.groupBy("comp").agg(F.min("rep").alias("least"))
-    known = joined.join(least, "comp").select("digest", "least")
-    out = sketches.select("doc_id", "n_shingles", "digest", "th", own.alias("own")).join(known, "digest", "left")
+    known = meet(joined, least, "comp").select("digest", "least")
+    out = meet(sketches.select("doc_id", "n_shingles", "digest", "th", own.alias("own")), known, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.nullif(F.col("least.id"), F.lit(LAST)))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), F.col("own.id").alias("key_id"), F.col("th").alias("text_hash"), F.coalesce(F.col("own") == F.col("least"), F.lit(True)).alias("first"))

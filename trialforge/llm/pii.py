@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialforge.llm.common import _WS, Ranges, buffers, constants, discard, keyed_rows, map_rows, mix, slices, tidy, written
+from trialforge.llm.common import _WS, Ranges, buffers, constants, discard, keyed_rows, map_rows, meet, mix, slices, tidy, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -277,14 +277,14 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
         yield out()
 
     found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(one, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
-    return found.join(patterns.select("pattern"), "pattern", "left_semi")
+    return meet(found, patterns.select("pattern"), "pattern", "left_semi")
 
 
 def totals(docs: DataFrame, edges: DataFrame) -> DataFrame:
     """Each pattern of the graph with all its occurrences, and its distinct instances in the graph as support."""
     known = written(edges.groupBy("pattern").agg(F.count("*").alias("support"), F.sum("n_known").alias("n_known")), "pii-patterns")
     total = (F.col("n_known") + F.coalesce("n", F.lit(0))).alias("total")
-    return written(known.join(occurrences(docs, known), "pattern", "left").select("pattern", "support", total), "pii-totals")
+    return written(meet(known, occurrences(docs, known), "pattern", "left").select("pattern", "support", total), "pii-totals")
 
 
 _NODE = pa.struct([("seed", pa.bool_()), ("random", pa.bool_()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))])
@@ -358,11 +358,11 @@ def score_patterns(edges: DataFrame, degree: DataFrame, rounds: int, prior: floa
     patterns = None
     for k in range(rounds):
         sums = believed.groupBy("pattern").agg(F.sum("belief").alias("sum"), F.sum(F.col("belief") * F.col("n")).alias("weight"))
-        patterns = sums.join(degree, "pattern").select("pattern", "support", F.when(F.col("sum") > 0, confidence).otherwise(0.0).alias("confidence"))
+        patterns = meet(sums, degree, "pattern").select("pattern", "support", F.when(F.col("sum") > 0, confidence).otherwise(0.0).alias("confidence"))
         if k + 1 < rounds:
             telling = patterns.where(F.col("confidence") >= least)
-            doubt = edges.where("not seed").join(telling, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence") * 0.999)))).alias("noisy_or"))
-            last, believed = believed, written(edges.join(doubt, "instance", "left").select("instance", "seed", "pattern", "n", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("noisy_or", F.lit(0.0))).alias("belief")), f"beliefs-{k}")
+            doubt = meet(edges.where("not seed"), telling, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence") * 0.999)))).alias("noisy_or"))
+            last, believed = believed, written(meet(edges, doubt, "instance", "left").select("instance", "seed", "pattern", "n", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("noisy_or", F.lit(0.0))).alias("belief")), f"beliefs-{k}")
             if k:
                 discard(last)
     return patterns
@@ -384,11 +384,11 @@ def find_pii(docs: DataFrame, rounds: int = 5, prior: float = 2.0, sure: float =
     links = flat.select("row", "seed", "random", "start", "end", "instance", F.explode("patterns").alias("pattern"))
     edges = written(links.groupBy("instance", "pattern").agg(F.max("seed").alias("seed"), F.count("*").alias("n"), F.sum((F.col("seed") | F.col("random")).cast("long")).alias("n_known")), "pii-edges")
     good = score_patterns(edges, totals(docs, edges), rounds, prior).where((F.col("confidence") >= sure) & (F.col("support") >= support)).select("pattern")
-    found = links.where("random or not seed").join(good, "pattern", "left_semi").select("row", "start", "end").distinct()
+    found = meet(links.where("random or not seed"), good, "pattern", "left_semi").select("row", "start", "end").distinct()
     spans = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ids"))
     ids = F.transform("ids", lambda s: F.concat_ws(":", F.lit("id"), s["start"].cast("string"), s["end"].cast("string")))
     joined = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.array_join(ids, ","))
-    return rows.drop("nodes").join(spans, "row", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", joined.alias("spans"), "text_hash")
+    return meet(rows.drop("nodes"), spans, "row", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", joined.alias("spans"), "text_hash")
 
 
 def redact(text: str | None, spans: str) -> str | None:
@@ -424,5 +424,5 @@ def redacted(docs: DataFrame) -> DataFrame:
                     columns[k] = pa.array([len(t) if s and t else n for t, s, n in zip(texts, spans, columns[k].to_pylist())], columns[k].type)
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(names))])
 
-    joined = keyed_rows(docs).join(found, ["row_id", "row_hash"], "left")
+    joined = meet(keyed_rows(docs), found, ["row_id", "row_hash"], "left")
     return map_rows(joined.select("row.*", F.col("found")), run, names)
