@@ -1,17 +1,25 @@
-"""Many id selections at once: presets resolved by a join, ranges met by ids through bins of their own size.
+"""Many id selections at once: presets resolved by a join, parts made disjoint spans, spans met by places of ids.
 
-A range of up to 2**k ids lies in one or two bins of 2**k ids, so it gives two rows at most, and an id
-gives a row for each size of range that there is. Ranges and ids meet by equality of (size, bin).
+The parts of a selection become spans that do not overlap, so an id is met once and no pair has to be told
+from its copies. Ends of spans and ids are sorted together; the number of ids before an end is its place. A
+selection's size is a sum over places; its ids are runs of blocks of sorted ids, cut at the ends of the span.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: Size of the one bin that holds all ids.
+from trialforge.operators import order
+from trialforge.sources.shared import cut
+
+#: All ids are below 2 to this.
 WHOLE = 62
 
+#: Ids of one block.
+BLOCK = 512
+
 
 def resolved(selections: DataFrame, presets: DataFrame) -> DataFrame:
     """(selection_id, spec) with preset names replaced by their text."""
@@ -34,22 +42,53 @@ def ranges(selections: DataFrame) -> DataFrame:
     return parts.select("selection_id", "part", F.col("part").startswith("!").alias("excluded"), start.alias("low"), end.alias("high"))
 
 
-def selected(selections: DataFrame, ids: DataFrame, presets: DataFrame) -> DataFrame:
-    """(selection_id, id): ids that a selection includes and does not leave out. A part that cannot be read is an error."""
+def spans(selections: DataFrame, presets: DataFrame) -> DataFrame:
+    """(selection_id, low, end): disjoint spans of what a selection includes and does not leave out, without `end`.
+
+    A part that cannot be read is an error.
+    """
     parts = ranges(resolved(selections, presets))
     wrong = F.raise_error(F.concat(F.lit("not an id or a range: "), F.col("part")))
     parts = parts.withColumn("low", F.when(F.col("low").isNull(), wrong.cast("long")).otherwise(F.col("low"))).where("low <= high")
-    size = F.least(F.lit(WHOLE), F.ceil(F.log2((F.col("high") - F.col("low") + 1).cast("double"))).cast("int"))
-    sized = parts.withColumn("size", size)
-    bin_of = lambda c: F.expr(f"shiftright({c}, size)")
-    binned = sized.withColumn("bin", F.explode(F.array_distinct(F.array(bin_of("low"), bin_of("high")))))
-    # one row for each power of two at most
-    sizes = [r[0] for r in sized.select("size").distinct().orderBy("size").collect()]
-    if not sizes:
-        return binned.select("selection_id", F.col("low").alias("id")).limit(0)
-    placed = ids.select("id", F.explode(F.array(*[F.lit(k) for k in sizes])).alias("size")).withColumn("bin", bin_of("id"))
-    met = placed.join(binned, ["size", "bin"]).where("id between low and high").select("selection_id", "id", "excluded")
-    return met.groupBy("selection_id", "id").agg(F.max("excluded").alias("out")).where("not out").select("selection_id", "id")
+    ends = F.array(F.struct(F.col("low").alias("at"), F.lit(1).alias("step")), F.struct((F.col("high") + 1).alias("at"), F.lit(-1).alias("step")))
+    steps = parts.select("selection_id", "excluded", F.inline(ends)).groupBy("selection_id", "at").agg(F.sum(F.when(~F.col("excluded"), F.col("step")).otherwise(0)).alias("more"), F.sum(F.when(F.col("excluded"), F.col("step")).otherwise(0)).alias("less"))
+    # a row for each end of a part of one selection
+    along = Window.partitionBy("selection_id").orderBy("at")
+    upto = along.rowsBetween(Window.unboundedPreceding, 0)
+    swept = steps.select("selection_id", F.col("at").alias("low"), F.lead("at").over(along).alias("end"), F.sum("more").over(upto).alias("inside"), F.sum("less").over(upto).alias("outside"))
+    return swept.where("inside > 0 and outside = 0").select("selection_id", "low", "end")
+
+
+def _placed(ids: DataFrame, of: DataFrame) -> DataFrame:
+    """(kind, which, at, selection_id, low, place) of each (which, id), kind 1, and of both ends of each (which, span), kind 0.
+
+    place: the ids of the same `which` before it.
+    """
+    ends = of.select("which", "selection_id", "low", F.explode(F.array("low", "end")).alias("at"))
+    rows = ends.select(F.lit(0).alias("kind"), "which", "at", "selection_id", "low", F.lit(0).cast("long").alias("one")).unionByName(ids.where("id is not null").distinct().select(F.lit(1).alias("kind"), "which", F.col("id").cast("long").alias("at"), F.lit(1).cast("long").alias("one")), allowMissingColumns=True)
+    return order.running(rows, ["which"], ["at", "kind"], "one", "place").withColumn("place", F.coalesce("place", F.lit(0).cast("long"))).drop("one")
+
+
+def selected(selections: DataFrame, ids: DataFrame, presets: DataFrame) -> DataFrame:
+    """(selection_id, id): ids that a selection includes and does not leave out. A part that cannot be read is an error."""
+    zero = F.lit(0).alias("which")
+    placed = cut(_placed(ids.select(zero, "id"), spans(selections, presets).select(zero, "*")), "placed")
+    block = F.expr(f"place div {BLOCK}")
+    blocks = placed.where("kind = 1").groupBy(block.alias("block")).agg(F.array_sort(F.collect_list("at")).alias("ids"))
+    runs = placed.where("kind = 0").groupBy("selection_id", "low").agg(F.min("place").alias("first"), F.max("place").alias("stop")).where("first < stop")
+    runs = runs.select("selection_id", "first", "stop", F.explode(F.sequence(F.expr(f"first div {BLOCK}"), F.expr(f"(stop - 1) div {BLOCK}"))).alias("block"))
+    start = F.greatest(F.col("first") - F.col("block") * BLOCK, F.lit(0))
+    stop = F.least(F.col("stop") - F.col("block") * BLOCK, F.lit(BLOCK))
+    return runs.join(blocks, "block").select("selection_id", F.explode(F.slice("ids", (start + 1).cast("int"), (stop - start).cast("int"))).alias("id"))
+
+
+def counted(selections: DataFrame, ids: DataFrame, installed: DataFrame, presets: DataFrame) -> DataFrame:
+    """still_to_install of `selected`, from places of spans alone: no pair of selection and id is made."""
+    known = ids.select(F.lit(0).alias("which"), "id").unionByName(ids.join(installed.select("id"), "id", "left_semi").select(F.lit(1).alias("which"), "id"))
+    of = spans(selections, presets).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("which"), "*")
+    ends = _placed(known, of).where("kind = 0").withColumn("n", F.when(F.col("at") > F.col("low"), F.col("place")).otherwise(-F.col("place")))
+    n, there = (F.sum(F.when(F.col("which") == k, F.col("n")).otherwise(0)) for k in (0, 1))
+    return ends.groupBy("selection_id").agg(n.alias("n_selected"), there.alias("n_installed"), (n - there).alias("n_missing")).where("n_selected > 0")
 
 
 def still_to_install(chosen: DataFrame, installed: DataFrame) -> DataFrame:
