@@ -77,3 +77,15 @@ def test_long_texts_have_several_files():
     payload = np.random.default_rng(2).integers(97, 123, webp.WIDTH * (webp.MAX_SIDE + 5)).astype(np.uint8).tobytes()
     media = webp.to_media(payload)
     assert media.count(b"WEBPVP8L") == 2 and webp.from_media(media) == payload
+
+
+def test_documents_use_predictors_where_shorter():
+    """A text of even steps is predicted; one of repeats keeps its palette and copies, which are shorter."""
+    ramp = bytes((i // 3 + i % 64) % 256 for i in range(64 * 200))
+    first_transform = lambda media: (int.from_bytes(media[20:28], "little") >> 40) & 7  # noqa: E731  after signature and size: present, kind
+    media = webp.to_media(ramp)
+    assert webp.from_media(media) == ramp and first_transform(media) == 1
+    for text in (b"the same words again. " * 400, bytes((7 * (i // 64) + i * i % 3) % 256 for i in range(64 * 120))):
+        payload = text + bytes(-len(text) % 64)
+        media = webp.to_media(payload)
+        assert webp.from_media(media) == payload and first_transform(media) == 1 | 3 << 1

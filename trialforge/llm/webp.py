@@ -730,15 +730,47 @@ def _uncrossed(argb: np.ndarray, size_bits: int) -> tuple[np.ndarray, np.ndarray
     return out.view("<u4").reshape(argb.shape), factors.view("<u4").reshape(to_red.shape)
 
 
+def _bits(values: np.ndarray) -> float:
+    """Bits that samples of 0 to 255 take at their entropy."""
+    n = np.bincount(values.reshape(-1), minlength=1)
+    n = n[n > 0]
+    return float((n * np.log2(values.size / n)).sum())
+
+
+def _steps_are_less(argb: np.ndarray, n_colours: int) -> bool:
+    """Whether steps from the left or upper neighbour take fewer bits than the samples under a palette do."""
+    if ((argb ^ argb[0, 0]) & np.uint32(0xFFFF00FF)).any():
+        planes = np.moveaxis(_channels(argb), 2, 0)
+    else:
+        planes = [(argb >> np.uint32(8)).astype(np.uint8)]
+    direct = left = above = 0.0
+    for plane in planes:
+        direct += _bits(plane)
+        left += _bits(plane[:, 1:] - plane[:, :-1])
+        above += _bits(plane[1:] - plane[:-1]) if len(plane) > 1 else np.inf
+    # a palette takes about a byte a colour; blocks of predictors and factors, and more codes, take their share too
+    return min(left, above) + 256 + argb.size / 16 < direct + 8 * n_colours
+
+
 def encode_webp(argb: np.ndarray, cache_bits: int = 0, size_bits: int = 4) -> bytes:
-    """A lossless WebP file: by palette up to 256 colours, else predicted, uncrossed and less green."""
+    """A lossless WebP file: by palette up to 256 colours, else predicted, uncrossed and less green.
+
+    A picture of few colours whose steps look cheaper than its samples is written both ways; the shorter file stays.
+    """
+    argb = np.ascontiguousarray(argb, "<u4")
+    colours, index = _colours(argb)
+    ways = [(colours, index)]
+    if colours is not None and _steps_are_less(argb, len(colours)):
+        ways.append((None, argb))
+    return min((_encoded(argb, *way, cache_bits, size_bits) for way in ways), key=len)
+
+
+def _encoded(argb: np.ndarray, colours: np.ndarray | None, index: np.ndarray, cache_bits: int, size_bits: int) -> bytes:
     height, width = argb.shape
     head = BitWriter()
-    argb = np.ascontiguousarray(argb, "<u4")
     # the hint that alpha is in use
     alpha = (argb ^ argb.reshape(-1)[0]) >> np.uint32(24)
     head.put(width - 1 | (height - 1) << 14 | int(alpha.any()) << 28, 32)
-    colours, index = _colours(argb)
     if colours is not None:
         head.put(1 | 3 << 1, 3)
         head.put(len(colours) - 1, 8)
