@@ -746,7 +746,7 @@ def _steps_are_less(argb: np.ndarray, n_colours: int) -> bool:
     direct = left = above = 0.0
     for plane in planes:
         direct += _bits(plane)
-        left += _bits(plane[:, 1:] - plane[:, :-1])
+        left += _bits(plane[:, 1:] - plane[:, :-1]) if plane.shape[1] > 1 else np.inf
         above += _bits(plane[1:] - plane[:-1]) if len(plane) > 1 else np.inf
     # a palette takes about a byte a colour; blocks of predictors and factors, and more codes, take their share too
     return min(left, above) + 256 + argb.size / 16 < direct + 8 * n_colours
