@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from trialforge.operators import graphs, selections
+from trialforge.operators import graphs, selections, vertex
 from trialforge.sources import shared
 
 
@@ -56,3 +56,21 @@ def test_chains_in_two_components_are_not_followed(spark, monkeypatch):
     chains = spark.createDataFrame([(1, 0, 0), (1, 0, 10), (1, 1, 1), (2, 0, 0), (3, 0, 0), (3, 0, 99), (3, 1, 1)], "run_id int, src int, qubit long")
     found = {r["run_id"]: (r["passed"], r["check"]) for r in graphs.validate(nodes, source, chains, spark.createDataFrame([], "run_id int, src int"), target).collect()}
     assert found == {1: (False, "connectivity"), 2: (False, "coverage"), 3: (False, "connectivity")}
+
+
+def test_small_graphs_are_searched_in_one_round(spark, monkeypatch):
+    """The same rows from graphs held as rows, from rounds, and from both; small ones take no table for each level."""
+    rng = random.Random(11)
+    made = {1: [(i, i + 1) for i in range(5)], 2: [(0, 1)], 3: [(a, b) for a in range(5) for b in range(a)], 4: [(a, b) for a in range(3) for b in range(3, 6)]}
+    made |= {g: list({tuple(sorted(rng.sample(range(9), 2))) for _ in range(rng.randint(3, 25))}) for g in range(5, 15)}
+    edges = spark.createDataFrame([(g, min(e), max(e)) for g, es in made.items() for e in es], "g long, u long, v long").repartition(3)
+    written, found = [], []
+    real = vertex.cut
+    monkeypatch.setattr(vertex, "cut", lambda df, name: written.append(name) or real(df, name))
+    for small, word in ((512, 4), (9, 7)):
+        monkeypatch.setattr(vertex, "SMALL", small)
+        monkeypatch.setattr(vertex, "WORD", word)
+        written.clear()
+        found.append(sorted(map(tuple, vertex.graph_properties(edges).collect())))
+        assert ("reached" in written) == (small < 512) and len(written) < 6 or small < 512
+    assert len(found[0]) == len(made) and all([repr(r) for r in f] == [repr(r) for r in found[0]] for f in found[1:])
