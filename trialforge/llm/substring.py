@@ -15,7 +15,8 @@ anchors are told apart by 124 bits of polynomials modulo a prime (for 10**12 win
 about 10**-13 that any two are mistaken for each other). Bytes (op4): anchors are the minimal hashes
 of each string; contents of segments that several buckets hold are named by 128-bit BLAKE2b digests
 first and sent once, and the deciding buckets order suffixes and make longest-previous-factor
-arrays from the previous and next smaller places.
+arrays from the previous and next smaller places, or, where any other place counts, from the
+neighbours in suffix order.
 
 A bucket sends at most one message row for each of its hashes, so messages grow with the input.
 
@@ -339,6 +340,14 @@ def previous_factors(places: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     return np.maximum(left, right)
 
 
+def other_factors(lcp: np.ndarray) -> np.ndarray:
+    """The longest common prefix with any other suffix, in suffix order: no suffix shares more than a neighbour does.
+
+    Equal to the greater of the longest factors at earlier and at later places.
+    """
+    return np.maximum(lcp, np.append(lcp[1:], 0)) if len(lcp) else lcp
+
+
 class ByteAnchors:
     """The anchor of each string of `length` bytes, by runs of strings that share one.
 
@@ -568,20 +577,21 @@ def _decide_bytes(length: int, keep_first: bool) -> Callable:
         levels: list[tuple[int, np.ndarray]] = []
         mine = suffix_classes(text, length, at, levels)
         of = np.array(table.column("of").to_pylist())
-        # places in order of the documents
-        by_place = np.lexsort((np.repeat(place, strings) + within, np.repeat(doc, strings), np.repeat(np.repeat(of, counts), strings), np.repeat(key, strings)))
-        places = np.empty(len(mine), np.int64)
-        places[by_place] = np.arange(len(mine))
-        # suffix order, the common prefixes of neighbours in it, and the longest factor at an earlier (or later) place
-        order = np.lexsort((places, mine))
+        # suffix order; equal strings by their places in order of the documents, where an earlier place counts
+        if keep_first:
+            by_place = np.lexsort((np.repeat(place, strings) + within, np.repeat(doc, strings), np.repeat(np.repeat(of, counts), strings), np.repeat(key, strings)))
+            places = np.empty(len(mine), np.int64)
+            places[by_place] = np.arange(len(mine))
+            order = np.lexsort((places, mine))
+        else:
+            order = np.argsort(mine)
+        # the common prefixes of neighbours in it, and the longest factor at an earlier (or any other) place
         lcp = np.zeros(len(mine), np.int64)
         # equal ranks by the whole length are that long a prefix; the shorter ranks and the bytes tell the others' lengths
         lcp[1:] = length
         apart = np.flatnonzero(mine[order[1:]] != mine[order[:-1]]) + 1
         lcp[apart] = common_prefixes(text, levels, at[order[apart - 1]], at[order[apart]], length)
-        factors = previous_factors(places[order], lcp)
-        if not keep_first:
-            factors = np.maximum(factors, previous_factors(-places[order], lcp))
+        factors = previous_factors(places[order], lcp) if keep_first else other_factors(lcp)
         again = np.zeros(len(mine), bool)
         again[order] = factors >= length
         if not keep_first:
