@@ -403,11 +403,11 @@ class ByteAnchors:
         self.run_start, self.run_end, self.hash = start[order], end[order], h[order]
 
 
-def suffix_classes(text: np.ndarray, length: int, at: np.ndarray | None = None, levels: list[tuple[int, np.ndarray]] | None = None) -> np.ndarray:
+def suffix_classes(text: np.ndarray, length: int, at: np.ndarray | None = None, levels: list[tuple[int, np.ndarray]] | None = None, orders: list[np.ndarray] | None = None) -> np.ndarray:
     """Rank of each position in the order of suffixes cut to `length` bytes (equal strings, equal ranks).
 
     With `at`, only these positions are ranked in the last round, and returned. `levels` gets the ranks of all
-    positions by each shorter length on the way.
+    positions by each shorter length on the way, `orders` the order in the last round.
 
     Prefix multiplication: ranks by 8 bytes, then by two or three ranks side by side as long as
     they fit in 64 bits. Past the end, bytes 0 and rank 0.
@@ -426,6 +426,8 @@ def suffix_classes(text: np.ndarray, length: int, at: np.ndarray | None = None,
         step[1:] = s[1:] != s[:-1]
         rank = np.empty(len(key), np.uint32)
         rank[order] = np.cumsum(step, dtype=np.uint32)
+        if orders is not None:
+            orders[:] = [order]
         return rank
 
     rank = ranked(key)
@@ -575,7 +577,8 @@ def _decide_bytes(length: int, keep_first: bool) -> Callable:
         within = np.arange(upto[-1]) - np.repeat(upto - strings, strings)
         at = np.repeat(begin, strings) + within
         levels: list[tuple[int, np.ndarray]] = []
-        mine = suffix_classes(text, length, at, levels)
+        orders: list[np.ndarray] = []
+        mine = suffix_classes(text, length, at, levels, orders)
         of = np.array(table.column("of").to_pylist())
         # suffix order; equal strings by their places in order of the documents, where an earlier place counts
         if keep_first:
@@ -584,7 +587,7 @@ def _decide_bytes(length: int, keep_first: bool) -> Callable:
             places[by_place] = np.arange(len(mine))
             order = np.lexsort((places, mine))
         else:
-            order = np.argsort(mine)
+            (order,) = orders
         # the common prefixes of neighbours in it, and the longest factor at an earlier (or any other) place
         lcp = np.zeros(len(mine), np.int64)
         # equal ranks by the whole length are that long a prefix; the shorter ranks and the bytes tell the others' lengths
