@@ -46,6 +46,7 @@ NEAR = [
 ]
 
 _NEAR = np.array(NEAR)
+_EIGHT = np.arange(8, dtype=np.uint32)
 
 
 class Bits:
@@ -70,6 +71,14 @@ class Bits:
 
 #: 15 bits in reverse order.
 _REVERSE = np.array([int(f"{i:015b}"[::-1], 2) for i in range(1 << 15)], np.uint16)
+#: The same for the codes of code lengths, which have 7 bits at most.
+_REVERSED = _REVERSE[:128].tolist()
+
+
+@lru_cache(maxsize=16)
+def _places(longest: int) -> np.ndarray:
+    """All numbers of `longest` bits with their bits in reverse order."""
+    return (_REVERSE[: 1 << longest] >> (15 - longest)).astype(np.int64)
 
 
 class PrefixCode:
@@ -81,13 +90,13 @@ class PrefixCode:
         if self.only is not None:
             self.table = np.array([self.only << 4], np.int32)
             return
-        order = np.argsort(lengths, kind="stable")  # symbols come in order
+        order = lengths.argsort(kind="stable")  # symbols come in order
         size = lengths[order]
         spans = 1 << (self.longest - size)
         if int(spans.sum()) != 1 << self.longest or not len(symbols):
             raise ValueError("incomplete prefix code")
-        by_code = np.repeat((symbols[order] << 4 | size).astype(np.int32), spans)
-        self.table = by_code[_REVERSE[: 1 << self.longest] if self.longest == 15 else _REVERSE[: 1 << self.longest] >> (15 - self.longest)]
+        by_code = (symbols[order] << 4 | size).astype(np.int32).repeat(spans)
+        self.table = by_code.take(_places(self.longest), mode="clip")
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
@@ -102,23 +111,44 @@ def _single(symbol: int) -> PrefixCode:
     return PrefixCode(np.array([symbol]), np.zeros(1, np.int64))
 
 
+def _table_of_lengths(steps: list[int]) -> tuple[list[int], int]:
+    """The table of a code of few symbols (symbol << 4 | length) and its mask, as `PrefixCode` makes it."""
+    used = sorted((n, s) for s, n in enumerate(steps) if n)
+    if len(used) == 1:
+        return [used[0][1] << 4], 0
+    longest = used[-1][0] if used else 0
+    table, code = [0] * (1 << longest), 0
+    for n, s in used:
+        if code >= 1 << longest:
+            raise ValueError("incomplete prefix code")
+        first = _REVERSED[code] >> (15 - longest)
+        table[first :: 1 << n] = [s << 4 | n] * (1 << (longest - n))
+        code += 1 << (longest - n)
+    if not used or code != 1 << longest:
+        raise ValueError("incomplete prefix code")
+    return table, (1 << longest) - 1
+
+
 def read_code(bits: Bits, alphabet: int) -> PrefixCode:
-    if bits.peek(1):
+    if (short := bits.peek(11)) & 7 == 0b101:
+        bits.read(11)
+        return _single(short >> 3)
+    if short & 1:
         head = bits.read(3)
         symbols = [bits.read(8 if head & 4 else 1)] + ([bits.read(8)] if head & 2 else [])
         if len(symbols) == 1 or symbols[0] == symbols[1]:
             return _single(symbols[0])
         return PrefixCode(np.sort(symbols), np.ones(2, np.int64))
-    bits.read(1)
-    steps = np.zeros(19, np.int64)
-    stored = 4 + bits.read(4)
+    bits.read(5)
+    steps = [0] * 19
+    stored = 4 + (short >> 1 & 15)
     held = bits.peek_long(3 * stored)
     bits.at += 3 * stored
-    steps[LENGTH_ORDER[:stored]] = [held >> (3 * k) & 7 for k in range(stored)]
-    used = np.flatnonzero(steps)
-    code = PrefixCode(used, steps[used])
+    for s in LENGTH_ORDER[:stored]:
+        steps[s] = held & 7
+        held >>= 3
+    table, mask = _table_of_lengths(steps)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    table, mask = code.table.tolist(), (1 << code.longest) - 1
     # a window over all the lengths: at most 14 bits each
     window = int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + 2 * min(left, alphabet) + 8], "little") >> (bits.at & 7)
     lengths: list[int] = []
@@ -143,7 +173,7 @@ def read_code(bits: Bits, alphabet: int) -> PrefixCode:
     if len(lengths) > alphabet:
         raise ValueError("too many code lengths")
     all_lengths = np.array(lengths, np.int64)
-    used = np.flatnonzero(all_lengths)
+    used = all_lengths.nonzero()[0]
     return PrefixCode(used, all_lengths[used])
 
 
@@ -184,16 +214,15 @@ def _at_once(bits: Bits, group: list[PrefixCode], n: int, width: int) -> np.ndar
     if n <= 256 and (found := _green_only(bits, group, n)) is not None:
         return found
     first = bits.at >> 3
-    raw = np.frombuffer(bits.data, np.uint8)[first:].astype(np.uint32)
+    data = bits.data[first:] + bytes(12)
     end = bits.end - 8 * first
-    # the next 15 bits at every bit; beyond the end, zeros
-    padded = np.concatenate([raw, np.zeros(8, np.uint32)])
-    windows = ((padded[:-2] | padded[1:-1] << 8 | padded[2:] << 16)[:, None] >> np.arange(8, dtype=np.uint32) & 0x7FFF).astype(np.int16).reshape(-1)
+    # the next 25 bits and more at every bit; beyond the end, zeros
+    windows = (np.ndarray((len(data) - 4,), "<u4", data, 0, (1,))[:, None] >> _EIGHT).reshape(-1)
     size = len(windows) - 64
-    look = lambda code, at: code.table[windows[at] & ((1 << code.longest) - 1)]
-    green = group[0].table[windows[:size] & ((1 << group[0].longest) - 1)] if group[0].longest else np.full(size, group[0].table[0])
+    look = lambda code, at: code.table[windows[at] & np.uint32((1 << code.longest) - 1)]
+    green = group[0].table.take((windows[:size] & np.uint32((1 << group[0].longest) - 1)).view(np.int32), mode="clip") if group[0].longest else np.full(size, group[0].table[0])
     after = np.arange(size, dtype=np.int32) + (green & 15)
-    copies = np.flatnonzero(green >= 256 << 4)
+    copies = (green >= 256 << 4).nonzero()[0]
     wide = [c for c in group[1:4] if c.longest]
     if wide:
         on = after.copy()
@@ -209,7 +238,7 @@ def _at_once(bits: Bits, group: list[PrefixCode], n: int, width: int) -> np.ndar
             more = np.where(symbol < 4, 0, (symbol - 2) >> 1)
             value = np.where(symbol < 4, symbol, (2 + (symbol & 1)) << more)
             at = np.minimum(at, size)
-            rest = windows[at].astype(np.int64) | windows[np.minimum(at + 15, size)].astype(np.int64) << 15
+            rest = windows[at].astype(np.int64)
             at = at + more
             return value + (rest & ((1 << more) - 1)) + 1
 
@@ -225,51 +254,55 @@ def _at_once(bits: Bits, group: list[PrefixCode], n: int, width: int) -> np.ndar
     after = np.minimum(after, size).astype(np.int32)
     # the chain of symbols: every eighth by one jump, the others by shorter jumps from it
     after = np.append(after, np.int32(size))
-    two = after[after]
-    four = two[two]
-    eight = memoryview(four[four])
+    two = after.take(after, mode="clip")
+    four = two.take(two, mode="clip")
+    eight = memoryview(four.take(four, mode="clip"))
     chain, at = [], bits.at & 7
     for _ in range(n // 8 + 1):
         chain.append(at)
         at = eight[at]
         if at >= size:
             break
-    at = np.array(chain, np.int32)
-    for jump in (four, two, after):
-        at = np.stack([at, jump[at]], axis=1).reshape(-1)
-    at = at[at < size]
+    runs = np.empty((len(chain), 8), np.int32)
+    runs[:, 0] = chain
+    for jump, step in ((four, 4), (two, 2), (after, 1)):
+        runs[:, step :: 2 * step] = jump[runs[:, :: 2 * step]]
+    at = runs.reshape(-1)
+    at = at[: at.searchsorted(size)]
     symbol = green[at] >> 4
     is_copy = symbol >= 256
     takes = np.ones(len(at), np.int64)
     if is_copy.any():
-        which = np.searchsorted(copies, at[is_copy])
+        which = copies.searchsorted(at[is_copy])
         takes[is_copy] = length[which]
-    upto = np.cumsum(takes)
-    last = int(np.searchsorted(upto, n))
+    upto = takes.cumsum()
+    last = int(upto.searchsorted(n))
     if last >= len(at) or upto[last] != n or after[at[last]] > end:
         raise ValueError("image data ended early")
     at, symbol, is_copy, upto = at[: last + 1], symbol[: last + 1], is_copy[: last + 1], upto[: last + 1]
     if symbol.max(initial=0) >= 280:
         raise ValueError("no such code")
     pixels = (symbol << 8).astype(np.uint32)
-    on = at + (green[at] & 15)
+    pixels |= np.uint32(sum(c.only << shift for c, shift in zip(group[1:4], (16, 0, 24)) if not c.longest))
+    on = at + (green[at] & 15) if wide else at
     for c, shift in zip(group[1:4], (16, 0, 24)):
-        found = look(c, np.minimum(on, size)) if c.longest else c.table[0]
-        pixels |= np.asarray(found >> 4, np.uint32) << np.uint32(shift)
-        on = on + (found & 15)
+        if c.longest:
+            found = look(c, np.minimum(on, size))
+            pixels |= (found >> 4).astype(np.uint32) << np.uint32(shift)
+            on = on + (found & 15)
     bits.at = 8 * first + int(after[at[-1]])
     if not is_copy.any():
         return pixels
     takes = takes[: last + 1]
-    out = np.repeat(pixels, takes)
+    out = pixels.repeat(takes)
     which = which[: int(is_copy.sum())]
     long, back = length[which], _distance(distance[which], width)
     begin = (upto - takes)[is_copy]
     if (back > begin).any():
         raise ValueError("back-reference out of the image")
-    place = np.repeat(begin - np.cumsum(long) + long, long) + np.arange(int(long.sum()))
+    place = (begin - long.cumsum() + long).repeat(long) + np.arange(int(long.sum()))
     source = np.arange(n)
-    source[place] = place - np.repeat(back, long)
+    source[place] = place - back.repeat(long)
     while len(place):
         source[place] = source[source[place]]
         place = place[source[source[place]] != source[place]]
@@ -447,32 +480,38 @@ class BitWriter:
 
 def _lengths(counts: np.ndarray, limit: int) -> np.ndarray:
     """Huffman code lengths of the symbols with counts; a longer code than the limit is made anew by package-merge."""
-    used = np.flatnonzero(counts)
+    used = counts.nonzero()[0]
     out = np.zeros(len(counts), np.int64)
     if len(used) < 2:
         out[used] = 1
         return out
     weights = counts[used].tolist()
-    # two queues: symbols by weight, and sums, which come in order
+    # two queues: symbols by weight, and sums, which come in order; a weight beyond all ends either
     leaves = sorted(range(len(used)), key=weights.__getitem__)
-    total = [weights[k] for k in leaves]
-    parent = [0] * (2 * len(used) - 1)
-    i, j, n = 0, len(used), len(used)
-    while n < 2 * len(used) - 1:
-        pair = 0
-        for _ in range(2):
-            if i < len(used) and (j >= n or total[i] <= total[j]):
-                pair += total[i]
-                parent[i] = n
-                i += 1
-            else:
-                pair += total[j]
-                parent[j] = n
-                j += 1
-        total.append(pair)
-        n += 1
-    depth = [0] * n
-    for k in range(n - 2, -1, -1):
+    n, end = len(used), sum(weights) + 1
+    single, sums = [weights[k] for k in leaves] + [end], [end] * n
+    parent = [0] * (2 * n - 1)
+    i = j = 0
+    for k in range(n - 1):
+        if single[i] <= sums[j]:
+            pair = single[i]
+            parent[i] = n + k
+            i += 1
+        else:
+            pair = sums[j]
+            parent[n + j] = n + k
+            j += 1
+        if single[i] <= sums[j]:
+            pair += single[i]
+            parent[i] = n + k
+            i += 1
+        else:
+            pair += sums[j]
+            parent[n + j] = n + k
+            j += 1
+        sums[k] = pair
+    depth = [0] * (2 * n - 1)
+    for k in range(2 * n - 3, -1, -1):
         depth[k] = depth[parent[k]] + 1
     if max(depth) > limit:
         return code_lengths(counts, limit).astype(np.int64)
@@ -482,7 +521,7 @@ def _lengths(counts: np.ndarray, limit: int) -> np.ndarray:
 
 def _put_code(head: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Write the best code for the counts; lengths and reversed codes of its symbols."""
-    used = np.flatnonzero(counts)
+    used = counts.nonzero()[0]
     reversed_codes = np.zeros(len(counts), np.uint64)
     if len(used) <= 2 and (not len(used) or used[-1] < 256):
         symbols = used.tolist() or [0]
@@ -495,9 +534,9 @@ def _put_code(head: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
             reversed_codes[used[1]] = 1
         return size, reversed_codes
     size = _lengths(counts, 15)
-    order = used[np.argsort(size[used], kind="stable")]
+    order = used[size[used].argsort(kind="stable")]
     spans = 1 << (15 - size[order])
-    reversed_codes[order] = _REVERSE[np.cumsum(spans) - spans]
+    reversed_codes[order] = _REVERSE[spans.cumsum() - spans]
     # lengths, with runs of zeros, up to the last symbol
     tokens: list[tuple[int, int, int]] = []
     at, listed = 0, size.tolist()
@@ -543,6 +582,12 @@ def _put_code(head: BitWriter, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbol, extra bits and their number of lengths and distances from 1."""
+    if len(values) and values.max() < _PREFIXES.shape[1]:
+        return tuple(_PREFIXES.take(values, axis=1))
+    return _prefix_of(values)
+
+
+def _prefix_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x = values - 1
     high = np.frexp(np.maximum(x, 1).astype(np.float64))[1] - 1
     more = np.where(x < 4, 0, high - 1)
@@ -550,44 +595,71 @@ def _prefix(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbol, x & ((1 << more) - 1), more
 
 
+#: What small values have, by value from 0, which does not occur.
+_PREFIXES = np.stack(_prefix_of(np.maximum(1, np.arange(1 << 13))))
+
+
 GRAM, LONGEST_COPY = 8, 4096
 
 
-def back_references(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _green_alone(argb: np.ndarray) -> bool:
+    """Whether all other channels are constant."""
+    return not ((argb ^ argb.reshape(-1)[0]) & np.uint32(0xFFFF00FF)).any()
+
+
+def back_references(pixels: np.ndarray, exact: bool | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin, length and distance of copies that do not overlap; a repeat counts from eight pixels on.
 
     A place is compared with the one before it of the same 16-bit hash of eight pixels; neighbours
-    of one distance are one copy, cut where an earlier copy covers it.
+    of one distance are one copy, cut where an earlier copy covers it. Eight pixels that differ in
+    green only (`exact`; None: not known) are one 64-bit number, which is compared itself.
     """
     none = np.zeros(0, np.int64)
     n = len(pixels) - GRAM + 1
     if n < 2:
         return none, none, none
-    h = np.zeros(n, np.uint64)
-    for k in range(GRAM):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + pixels[k : k + n]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    order = np.argsort((h >> np.uint64(48)).astype(np.uint16), kind="stable")
-    same = h[order[1:]] == h[order[:-1]]
-    if not same.any():
+    if exact is None:
+        exact = _green_alone(pixels)
+    if exact:
+        green = (pixels >> np.uint32(8)).astype(np.uint8)
+        key = np.ndarray((n,), "<u8", green, 0, (1,)).astype(np.uint64)
+        h = key ^ key >> np.uint64(32)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    else:
+        h = np.zeros(n, np.uint64)
+        for k in range(GRAM):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + pixels[k : k + n]
+        h ^= h >> np.uint64(32)
+        key = h
+    h = h * np.uint64(0xD6E8FEB86659FD93)
+    order = (h >> np.uint64(48)).astype(np.uint16).argsort(kind="stable")
+    sorted_key = key[order]
+    same = (sorted_key[1:] == sorted_key[:-1]).nonzero()[0]
+    if not len(same):
         return none, none, none
     distance = np.zeros(n + 1, np.int64)
-    distance[order[1:][same]] = (order[1:] - order[:-1])[same]
-    # a hash is no proof: each place of a run has its eight pixels compared
-    at = np.flatnonzero(distance)
-    good = np.ones(len(at), bool)
-    for k in range(GRAM):
-        good &= pixels[at + k] == pixels[at - distance[at] + k]
-    distance[at[~good]] = 0
-    edge = np.flatnonzero(np.diff(distance, prepend=0))
-    begin = edge[distance[edge] > 0]
-    stop = np.append(edge, n)[np.searchsorted(edge, begin) + 1] + GRAM - 1
+    at, before = order[same + 1], order[same]
+    distance[at] = at - before
+    if not exact:
+        # a hash is no proof: each place of a run has its eight pixels compared
+        good = np.ones(len(at), bool)
+        for k in range(GRAM):
+            good &= pixels[at + k] == pixels[before + k]
+        distance[at[~good]] = 0
+    changed = np.ones(n + 1, bool)
+    np.not_equal(distance[1:], distance[:-1], out=changed[1:])
+    changed[0] = distance[0] != 0
+    edge = changed.nonzero()[0]
+    run = distance[edge].nonzero()[0]
+    begin = edge[run]
+    stop = np.append(edge, n)[run + 1] + (GRAM - 1)
     back = distance[begin]
-    covered = np.concatenate([[0], np.maximum.accumulate(stop)[:-1]]) if len(stop) else none
-    begin = np.maximum(begin, covered)
+    np.maximum(begin[1:], np.maximum.accumulate(stop)[:-1], out=begin[1:])
     keep = stop - begin >= 4
     begin, stop, back = begin[keep], stop[keep], back[keep]
+    if (stop - begin).max(initial=0) <= LONGEST_COPY:
+        return begin, stop - begin, back
     parts = -(-(stop - begin) // LONGEST_COPY)
     which = np.repeat(np.arange(len(begin)), parts)
     nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -604,19 +676,21 @@ def _put_pixels(head: BitWriter, argb: np.ndarray, main: bool, copies: bool = Fa
         head.put(cache_bits, 4)
     if main:
         head.put(0, 1)
-    begin, length, back = back_references(flat) if copies else (np.zeros(0, np.int64),) * 3
+    constant = _green_alone(flat)
+    begin, length, back = back_references(flat, constant) if copies else (np.zeros(0, np.int64),) * 3
     token = np.ones(len(flat), bool)
     if len(begin):
-        covered = np.zeros(len(flat) + 1, np.int64)
-        np.add.at(covered, begin, 1)
-        np.add.at(covered, begin + length, -1)
-        token = np.cumsum(covered[:-1]) == 0
+        # copies do not overlap, so begins are distinct, and so are ends
+        covered = np.zeros(len(flat) + 1, np.int8)
+        covered[begin] += 1
+        covered[begin + length] -= 1
+        token = covered[:-1].cumsum(dtype=np.int8) == 0
         token[begin] = True
-    at = np.flatnonzero(token)
+    at = token.nonzero()[0]
     symbol = c[at, 1].astype(np.int64)
     literal = np.ones(len(at), bool)
     if len(begin):
-        which = np.searchsorted(at, begin)
+        which = at.searchsorted(begin)
         literal[which] = False
         long_symbol, long_extra, long_more = _prefix(length)
         far_symbol, far_extra, far_more = _prefix(back + 120)
@@ -629,9 +703,8 @@ def _put_pixels(head: BitWriter, argb: np.ndarray, main: bool, copies: bool = Fa
             if held.get(slot, 0) == p:
                 symbol[k], literal[k] = 280 + slot, False
             held[slot] = p
-    plain = at[literal]
     tables = [_put_code(head, np.bincount(symbol, minlength=280 + ((1 << cache_bits) if cache_bits else 0)))]
-    constant = not ((flat ^ flat[0]) & np.uint32(0xFFFF00FF)).any()
+    plain = None if constant else at[literal]
     for k in (2, 0, 3):
         if constant:
             head.put(0b101 | int(c[0, k]) << 3, 11)
@@ -730,24 +803,22 @@ def _uncrossed(argb: np.ndarray, size_bits: int) -> tuple[np.ndarray, np.ndarray
     return out.view("<u4").reshape(argb.shape), factors.view("<u4").reshape(to_red.shape)
 
 
-def _bits(values: np.ndarray) -> float:
-    """Bits that samples of 0 to 255 take at their entropy."""
-    n = np.bincount(values.reshape(-1), minlength=1)
-    n = n[n > 0]
-    return float((n * np.log2(values.size / n)).sum())
+def _bits(values: list[np.ndarray]) -> list[float]:
+    """Bits that samples of 0 to 255 take at their entropy, for each of some arrays."""
+    counts = np.stack([np.bincount(v.reshape(-1), minlength=256) for v in values])
+    total = counts.sum(axis=1, keepdims=True)
+    return (counts * np.log2(np.maximum(total, 1) / np.maximum(counts, 1))).sum(axis=1).tolist()
 
 
 def _steps_are_less(argb: np.ndarray, n_colours: int) -> bool:
     """Whether steps from the left or upper neighbour take fewer bits than the samples under a palette do."""
-    if ((argb ^ argb[0, 0]) & np.uint32(0xFFFF00FF)).any():
-        planes = np.moveaxis(_channels(argb), 2, 0)
-    else:
-        planes = [(argb >> np.uint32(8)).astype(np.uint8)]
+    planes = [(argb >> np.uint32(8)).astype(np.uint8)] if _green_alone(argb) else np.moveaxis(_channels(argb), 2, 0)
     direct = left = above = 0.0
     for plane in planes:
-        direct += _bits(plane)
-        left += _bits(plane[:, 1:] - plane[:, :-1]) if plane.shape[1] > 1 else np.inf
-        above += _bits(plane[1:] - plane[:-1]) if len(plane) > 1 else np.inf
+        plain, across, down = _bits([plane, plane[:, 1:] - plane[:, :-1], plane[1:] - plane[:-1]])
+        direct += plain
+        left += across if plane.shape[1] > 1 else np.inf
+        above += down if len(plane) > 1 else np.inf
     # a palette takes about a byte a colour; blocks of predictors and factors, and more codes, take their share too
     return min(left, above) + 256 + argb.size / 16 < direct + 8 * n_colours
 
@@ -804,7 +875,7 @@ def _encoded(argb: np.ndarray, colours: np.ndarray | None, index: np.ndarray, ca
 def _colours(argb: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
     """Up to 256 colours in order, and each pixel's number."""
     flat = argb.reshape(-1)
-    if ((flat ^ flat[0]) & np.uint32(0xFFFF00FF)).any():
+    if not _green_alone(flat):
         colours = np.unique(flat)
         if len(colours) > 256:
             return None, argb
@@ -813,7 +884,7 @@ def _colours(argb: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
     green = (argb >> np.uint32(8)).astype(np.uint8)
     seen = np.bincount(green.reshape(-1), minlength=256) > 0
     number = (np.cumsum(seen) - 1).astype(np.uint32)
-    return (np.flatnonzero(seen).astype("<u4") << 8) | (flat[0] & np.uint32(0xFFFF00FF)), number[green]
+    return (np.flatnonzero(seen).astype("<u4") << 8) | (flat[0] & np.uint32(0xFFFF00FF)), number.take(green)
 
 
 def to_media(payload: bytes) -> bytes:
