@@ -295,12 +295,13 @@ def substring_dedup(docs: DataFrame, window: int = 20, texts: bool = False, each
 # Bytes: minimal hashes and suffix order.
 
 
-def nearest_smaller(values: np.ndarray, lcp: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+def nearest_smaller(values: np.ndarray, lcp: np.ndarray | None = None, places: np.ndarray | None = None, reach: int = 0) -> tuple[np.ndarray, ...]:
     """Index of the previous value that is at most, and of the next that is below each one (-1, n: none).
 
     Pointers start at the neighbour and jump along earlier answers until they fit. With `lcp` (of each
     one and the one before it), the least of it on the way to each of the two follows; a way on which
-    it is 0 ends there.
+    it is 0 ends there. With `places`, a way ends at the first answer that is `reach` or more away, whatever
+    its value: for who asks whether the nearest one is nearer. Places below 0 are walls and do not ask.
     """
     n = len(values)
     before, after = np.arange(-1, n - 1), np.arange(1, n + 1)
@@ -309,17 +310,27 @@ def nearest_smaller(values: np.ndarray, lcp: np.ndarray | None = None) -> tuple[
         common = [lcp.copy(), np.append(lcp[1:], 0)[:n]]
         common[0][:1] = 0
     left = np.arange(1, n)
+    if places is not None:
+        left = left[places[1:] >= 0]
     while len(left):
         at = before[left]
-        left = left[(at >= 0) & (values[np.maximum(at, 0)] > values[left])]
+        on = (at >= 0) & (values[np.maximum(at, 0)] > values[left])
+        if places is not None:
+            on &= places[left] - places[at] < reach
+        left = left[on]
         if common is not None:
             left = left[common[0][left] > 0]
             common[0][left] = np.minimum(common[0][left], common[0][before[left]])
         before[left] = before[before[left]]
     left = np.arange(0, n - 1)
+    if places is not None:
+        left = left[places[:-1] >= 0]
     while len(left):
         at = after[left]
-        left = left[(at < n) & (values[np.minimum(at, n - 1)] >= values[left])]
+        on = (at < n) & (values[np.minimum(at, n - 1)] >= values[left])
+        if places is not None:
+            on &= places[np.minimum(at, n - 1)] - places[left] < reach
+        left = left[on]
         if common is not None:
             left = left[common[1][left] > 0]
             common[1][left] = np.minimum(common[1][left], common[1][after[left]])
@@ -376,7 +387,8 @@ class ByteAnchors:
                 # a wall of the least hash between documents ends every run there
                 first = np.searchsorted(doc, np.arange(b - a))
                 walled, h_walled = np.insert(at, first, -1), np.insert(h, first, 0)
-                before, after = nearest_smaller(h_walled)
+                # a candidate w bytes away is in no string with this one
+                before, after = nearest_smaller(h_walled, places=walled, reach=w)
                 keep = np.flatnonzero(walled >= 0)
                 # a hash of 0 stands behind the wall of its document, and before the next one
                 low, high = before[keep], after[keep]
@@ -403,50 +415,118 @@ class ByteAnchors:
         self.run_start, self.run_end, self.hash = start[order], end[order], h[order]
 
 
+#: Suffixes of open classes that are sorted at once; a larger class is sorted by itself.
+CHUNK = 1 << 17
+
+
+def split_classes(classes: np.ndarray, key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order by (class, key), and where another pair begins in it; classes stand in order, keys have `bits` bits.
+
+    Whole classes are sorted in chunks: class within the chunk, key and place side by side in 64 bits.
+    """
+    n = len(classes)
+    order, fresh, first = np.empty(n, np.int32), np.ones(n, bool), np.ones(n, bool)
+    np.not_equal(classes[1:], classes[:-1], out=first[1:])
+    starts = np.append(first.nonzero()[0], n)
+    a = 0
+    while a < n:
+        k = int(starts.searchsorted(a + CHUNK, side="right")) - 1
+        b = int(starts[k] if starts[k] > a else starts[k + 1])
+        number = first[a:b].cumsum(dtype=np.uint64)
+        place = (b - a - 1).bit_length()
+        packed = (number - np.uint64(1)) << np.uint64(bits) | key[a:b].astype(np.uint64)
+        packed <<= np.uint64(place)
+        packed |= np.arange(b - a, dtype=np.uint64)
+        packed.sort()
+        order[a:b] = (packed & np.uint64((1 << place) - 1)).astype(np.int32) + np.int32(a)
+        packed >>= np.uint64(place)
+        np.not_equal(packed[1:], packed[:-1], out=fresh[a + 1 : b])
+        a = b
+    return order, fresh
+
+
+def _open(fresh: np.ndarray) -> np.ndarray:
+    """Places in suffix order of the classes that have several suffixes."""
+    alone = fresh.copy()
+    alone[:-1] &= fresh[1:]
+    return (~alone).nonzero()[0]
+
+
 def suffix_classes(text: np.ndarray, length: int, at: np.ndarray | None = None, levels: list[tuple[int, np.ndarray]] | None = None, orders: list[np.ndarray] | None = None) -> np.ndarray:
     """Rank of each position in the order of suffixes cut to `length` bytes (equal strings, equal ranks).
 
-    With `at`, only these positions are ranked in the last round, and returned. `levels` gets the ranks of all
-    positions by each shorter length on the way, `orders` the order in the last round.
+    With `at`, only these positions are ranked by the whole length, and returned. `levels` gets the ranks of all
+    positions by each shorter length on the way, `orders` the order by the whole length.
 
-    Prefix multiplication: ranks by 8 bytes, then by two or three ranks side by side as long as
-    they fit in 64 bits. Past the end, bytes 0 and rank 0.
+    Prefix doubling: suffixes are sorted by as many numbers of two or three bytes as fit in 64 bits beside a
+    place. Then only classes of several suffixes are sorted, by the ranks of what follows; a rank is the place
+    of its class in suffix order, so suffixes that stand alone keep theirs. Past the end, rank 0.
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    if not n:
+        return np.zeros(0, np.int32)
+    seen = np.bincount(text, minlength=256) > 0
+    codes = np.append(seen.cumsum(dtype=np.int32)[text], np.zeros(2, np.int32))
+    base = int(seen.sum()) + 1
+    gram = 3 if base**3 <= 1 << 21 else 2
+    value = codes[:n]
+    for k in range(1, gram):
+        value = value * np.int32(base) + codes[k : k + n]
+    seen = np.zeros(base**gram, bool)
+    seen[value] = True
+    number = seen.cumsum(dtype=np.int32)
+    bits, place = int(number[-1]).bit_length(), n.bit_length()
+    ways = max(1, min((64 - place) // bits, length // gram))
+    value = np.append(number[value], np.zeros(ways * gram, np.int32))
     key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | padded[k : k + n]
-    depth = 8
-
-    def ranked(key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key)
-        s = key[order]
-        step = np.ones(len(key), bool)
-        step[1:] = s[1:] != s[:-1]
-        rank = np.empty(len(key), np.uint32)
-        rank[order] = np.cumsum(step, dtype=np.uint32)
-        if orders is not None:
-            orders[:] = [order]
-        return rank
-
-    rank = ranked(key)
-    bits = int(n + 1).bit_length()
-    ways = 3 if 3 * bits <= 64 else 2
-    while depth < length:
+    for k in range(ways):
+        key <<= np.uint64(bits)
+        key |= value[k * gram : k * gram + n].astype(np.uint64)
+    key <<= np.uint64(place)
+    key |= np.arange(n, dtype=np.uint64)
+    key.sort()
+    order = (key & np.uint64((1 << place) - 1)).astype(np.int32)
+    key >>= np.uint64(place)
+    fresh = np.ones(n, bool)
+    np.not_equal(key[1:], key[:-1], out=fresh[1:])
+    del key, value, codes
+    depth, bits = ways * gram, place
+    rank = np.zeros(n + length, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(1, n + 1, dtype=np.int32), np.int32(0)))
+    # what is left of the length takes two more numbers at most
+    while 3 * depth < length:
         if levels is not None:
-            levels.append((depth, rank))
-        reach = min(length - depth, (ways - 1) * depth)
-        last = at is not None and depth + reach == length
-        key = (rank[at] if last else rank).astype(np.uint64)
-        beyond = np.concatenate([rank, np.zeros(reach, np.uint32)])
-        for k in range(1, ways):
-            jump = min(k * depth, reach)
-            key <<= np.uint64(bits)
-            key |= beyond[at + jump] if last else beyond[jump : jump + n]
-        rank = ranked(key)
-        depth += reach
-    return rank if at is None or length > 8 else rank[at]
+            levels.append((depth, rank[:n].copy()))
+        slots = _open(fresh)
+        sub = order[slots]
+        by, apart = split_classes(rank[sub], rank[sub + np.int32(depth)], bits)
+        sub = sub[by]
+        order[slots], fresh[slots] = sub, apart
+        rank[sub] = np.maximum.accumulate(np.where(apart, slots + 1, 0))
+        depth *= 2
+    if levels is not None and depth < length:
+        levels.append((depth, rank[:n]))
+    if at is not None:
+        which = np.zeros(n, np.int32)
+        which[at] = np.arange(1, len(at) + 1, dtype=np.int32)
+        order = order[which[order] > 0]
+        fresh = np.ones(len(at), bool)
+        classes = rank[order]
+        np.not_equal(classes[1:], classes[:-1], out=fresh[1:])
+    reach = depth
+    while reach < length:
+        reach = min(length, reach + depth)
+        slots = _open(fresh)
+        sub = order[slots]
+        by, apart = split_classes(fresh.cumsum(dtype=np.int32)[slots], rank[sub + np.int32(reach - depth)], bits)
+        order[slots], fresh[slots] = sub[by], apart
+    if at is not None:
+        order = which[order] - np.int32(1)
+    if orders is not None:
+        orders[:] = [order]
+    out = np.empty(len(order), np.int32)
+    out[order] = fresh.cumsum(dtype=np.int32)
+    return out
 
 
 def common_prefixes(text: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
