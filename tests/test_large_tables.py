@@ -32,6 +32,29 @@ def test_spans_are_disjoint_and_counts_need_no_pairs(spark):
     assert counts == {(k, len(v), n := len(there.intersection(v)), len(v) - n) for k, v in want.items() if v}
 
 
+def test_runs_are_few_rows_of_a_shuffle(spark):
+    """Pairs shuffle neither as rows nor as a row for every few hundred ids."""
+    named = spark.createDataFrame([(k, "*") for k in range(300)], "selection_id long, spec string")
+    presets = spark.createDataFrame([("none", "1")], "name string, selection string")
+    stages = lambda: {x.stageId(): x.shuffleWriteRecords() for x in iterate(spark.sparkContext._jsc.sc().statusStore())}
+
+    def iterate(store):
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return [found.apply(i) for i in range(found.size())]
+
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        chosen = selections.selected(named, spark.range(100_000), presets)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        before = set(stages())
+        assert chosen.count() == 30_000_000
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert 0 < sum(n for k, n in stages().items() if k not in before) < 100 * 300
+
+
 def test_source_edges_are_sought_in_stages(spark, monkeypatch):
     rng = random.Random(3)
     chains = {(r, s): rng.sample(range(3000), 200) for r in range(6) for s in range(4)}

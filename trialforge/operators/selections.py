@@ -17,8 +17,11 @@ from trialforge.sources.shared import cut
 #: All ids are below 2 to this.
 WHOLE = 62
 
-#: Ids of one block.
-BLOCK = 512
+#: Ids of one block. A run is shuffled as a row for each block that it meets; files hold a block's ids as small numbers.
+BLOCK = 1 << 11
+
+#: Partitions of the blocks. Fewer blocks are copied, and the runs dealt over the copies.
+SHARES = 256
 
 
 def resolved(selections: DataFrame, presets: DataFrame) -> DataFrame:
@@ -73,13 +76,18 @@ def selected(selections: DataFrame, ids: DataFrame, presets: DataFrame) -> DataF
     """(selection_id, id): ids that a selection includes and does not leave out. A part that cannot be read is an error."""
     zero = F.lit(0).alias("which")
     placed = cut(_placed(ids.select(zero, "id"), spans(selections, presets).select(zero, "*")), "placed")
+    copies = -(-SHARES // max(1, -(-placed.where("kind = 1").count() // BLOCK)))
     block = F.expr(f"place div {BLOCK}")
     blocks = placed.where("kind = 1").groupBy(block.alias("block")).agg(F.array_sort(F.collect_list("at")).alias("ids"))
+    blocks = blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     runs = placed.where("kind = 0").groupBy("selection_id", "low").agg(F.min("place").alias("first"), F.max("place").alias("stop")).where("first < stop")
-    runs = runs.select("selection_id", "first", "stop", F.explode(F.sequence(F.expr(f"first div {BLOCK}"), F.expr(f"(stop - 1) div {BLOCK}"))).alias("block"))
+    dealt = F.pmod(F.xxhash64("selection_id", "low"), F.lit(copies)).cast("int").alias("copy")
+    runs = runs.select("selection_id", "first", "stop", dealt, F.explode(F.sequence(F.expr(f"first div {BLOCK}"), F.expr(f"(stop - 1) div {BLOCK}"))).alias("block"))
+    # partitions by number, as their few bytes become many rows; merged, so that ids leave block by block
+    met = runs.repartition(SHARES, "block", "copy").join(blocks.hint("merge"), ["block", "copy"])
     start = F.greatest(F.col("first") - F.col("block") * BLOCK, F.lit(0))
     stop = F.least(F.col("stop") - F.col("block") * BLOCK, F.lit(BLOCK))
-    return runs.join(blocks, "block").select("selection_id", F.explode(F.slice("ids", (start + 1).cast("int"), (stop - start).cast("int"))).alias("id"))
+    return met.select("selection_id", F.explode(F.slice("ids", (start + 1).cast("int"), (stop - start).cast("int"))).alias("id"))
 
 
 def counted(selections: DataFrame, ids: DataFrame, installed: DataFrame, presets: DataFrame) -> DataFrame:
